@@ -1,9 +1,10 @@
 """Fields of an HTML page as JVM-side regular expressions.
 
-A page is scanned in document order. ``visible`` first blanks comments, scripts,
-styles and templates, so no later expression sees markup inside them. Text is
-what stands between tags: each piece is entity-decoded, stripped, and the
-non-empty pieces are joined.
+A page is scanned in document order. ``visible`` prepares it once: comments,
+scripts, styles and templates are blanked, so no later expression sees markup
+inside them, and character references are decoded. Decoded markup characters
+stay disguised as control characters until text or attributes are cut out, so
+``&lt;p&gt;`` never turns into a tag.
 
 Repeated groups are possessive, which Java matches in a loop; the greedy form
 recurses once per repetition and overflows the stack on long pages.
@@ -18,9 +19,11 @@ from html.entities import html5, name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pickwell.functions.strings import blank_to_null, strip
+from pickwell.functions.strings import blank_to_null, let, strip
 
 _BREAK = "\u0001"
+_MARKUP = "<>&\"'"
+_DISGUISE = "\u0002\u0003\u0004\u0005\u0006"
 
 # attributes of a start tag, quotes respected
 _ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
@@ -41,8 +44,11 @@ _ATTRIBUTE = r"""(?s)[^\s=>"'/<]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+)"""
 
 
 def visible(html: Column) -> Column:
-    """The page with hidden parts replaced by an empty declaration."""
-    return F.regexp_replace(html, _HIDDEN, "<!>")
+    """The page without hidden parts and with character references decoded."""
+    return let(
+        F.regexp_replace(html, _HIDDEN, "<!>"),
+        lambda page: F.when(page.contains("&"), _decode(page)).otherwise(page),
+    )
 
 
 def _entity_table() -> str:
@@ -60,35 +66,43 @@ def _entity_table() -> str:
 _ENTITY_JSON = _entity_table()
 
 
-def decode_entities(text: Column) -> Column:
+def _decode(page: Column) -> Column:
     """Replace character references; an unknown name keeps its ``&``."""
     table = F.from_json(F.lit(_ENTITY_JSON), "map<string,string>")
     pieces = F.regexp_extract_all(
-        text, F.lit(r"[^&]+|&(?:#[xX]?[0-9a-fA-F]+|[a-zA-Z][-.a-zA-Z0-9]*);?|&"), F.lit(0)
+        page, F.lit(r"[^&]+|&(?:#[xX]?[0-9a-fA-F]+|[a-zA-Z][-.a-zA-Z0-9]*);?|&"), F.lit(0)
     )
 
-    def decode(piece: Column) -> Column:
-        name = F.regexp_replace(piece, r"^&|;$", "")
-        number = F.when(
-            name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 12), 16, 10).try_cast("bigint")
-        ).otherwise(F.substring(name, 2, 12).try_cast("bigint"))
-        is_char = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    def numeric(number: Column) -> Column:
+        is_char = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
         char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
         return (
-            F.when(~piece.startswith("&") | (piece == "&"), piece)
-            .when(~name.startswith("#"), F.coalesce(table[name], F.concat(F.lit("&"), name)))
-            .when(number.between(128, 159), table[F.concat(F.lit("#"), number.cast("string"))])
-            .otherwise(F.when(is_char, char).otherwise("�"))
+            F.when(number.between(128, 159), table[F.concat(F.lit("#"), number.cast("string"))])
+            .when(is_char, char)
+            .otherwise("\N{REPLACEMENT CHARACTER}")
         )
 
-    return F.when(text.contains("&"), F.array_join(F.transform(pieces, decode), "")).otherwise(text)
+    def character(name: Column) -> Column:
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 12), 16, 10)).otherwise(F.substring(name, 2, 12))
+        return F.when(name.startswith("#"), let(code.try_cast("bigint"), numeric)).otherwise(
+            F.coalesce(table[name], F.concat(F.lit("&"), name))
+        )
+
+    def decode(piece: Column) -> Column:
+        found = let(F.regexp_replace(piece, "^&|;$", ""), character)
+        return F.when(piece.startswith("&") & (piece != "&"), F.translate(found, _MARKUP, _DISGUISE)).otherwise(piece)
+
+    return F.array_join(F.transform(pieces, decode), "")
+
+
+def _undisguise(text: Column) -> Column:
+    return F.translate(text, _DISGUISE, _MARKUP)
 
 
 def text_of(markup: Column, joiner: str) -> Column:
     """Text of a piece of visible markup, its parts stripped and joined."""
-    broken = decode_entities(F.regexp_replace(markup, _TAG, _BREAK))
-    parts = F.filter(F.transform(F.split(broken, _BREAK), strip), lambda part: part != "")
-    return F.array_join(parts, joiner)
+    parts = F.transform(F.split(F.regexp_replace(markup, _TAG, _BREAK), _BREAK), strip)
+    return _undisguise(F.array_join(F.filter(parts, lambda part: part != ""), joiner))
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -98,8 +112,7 @@ def attribute(tag: Column, name: str) -> Column:
         lambda a: a.rlike(rf"(?i)^{name}\s*="),
     )
     raw = F.regexp_replace(F.try_element_at(found, F.lit(-1)), r"^[^=]*=\s*", "")
-    bare = F.when(raw.rlike("^[\"']"), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    return decode_entities(bare)
+    return _undisguise(F.regexp_replace(raw, r"""^["']|["']$""", ""))
 
 
 # ---------------------------------------------------------------- elements
@@ -136,6 +149,10 @@ def anchors(markup: Column) -> Column:
     )
 
 
+def start_tag(element: Column) -> Column:
+    return F.regexp_extract(element, rf"(?s)^<{_ATTRS}>", 0)
+
+
 def _elements_of_class(markup: Column, classes: Sequence[str]) -> Column:
     """Elements carrying one of the classes, up to the end tag of the same name."""
     names = "|".join(classes)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pickwell.functions.strings import blank_to_null, strip
+from pickwell.functions.strings import blank_to_null, let, strip
 
 
 def _without_suffix(url: Column) -> Column:
@@ -57,22 +57,26 @@ def resolve_href(href: Column, site: str) -> Column:
     """Absolute URL of a link, seen from the root of ``site`` (scheme://host)."""
     site = site.rstrip("/")
     scheme = site.split("://", 1)[0]
+
+    def relative(href: Column) -> Column:
+        path = F.regexp_replace(href, r"[?#].*$", "")
+        suffix = F.regexp_extract(href, r"[?#].*$", 0)
+        # only a path that is not rooted loses its empty inner segments
+        full = F.when(path.startswith("/") | (path == ""), path).otherwise(
+            F.concat(F.lit("/"), F.regexp_replace(path, "/{2,}", "/"))
+        )
+        return F.concat(F.lit(site), let(full, lambda f: F.when(f.contains("/."), _drop_dots(f)).otherwise(f)), suffix)
+
+    def resolve(href: Column) -> Column:
+        return (
+            F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
+            .when(href.startswith("//"), F.concat(F.lit(scheme + ":"), href))
+            .otherwise(relative(href))
+        )
+
     href = F.regexp_replace(href, r"[\t\r\n]", "")
     # "https:path" with the site's own scheme and no host is a relative link
-    href = F.regexp_replace(href, rf"(?i)^{scheme}:(?!//)", "")
-    path = F.regexp_replace(href, r"[?#].*$", "")
-    suffix = F.regexp_extract(href, r"[?#].*$", 0)
-
-    rooted = path.startswith("/")
-    # only a path that is not rooted loses its empty inner segments
-    full = F.when(rooted, path).otherwise(F.concat(F.lit("/"), F.regexp_replace(path, "/{2,}", "/")))
-    relative = F.concat(F.lit(site), F.when(full.contains("/."), _drop_dots(full)).otherwise(full), suffix)
-    return (
-        F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(F.lit(scheme + ":"), href))
-        .when(path == "", F.concat(F.lit(site), suffix))
-        .otherwise(relative)
-    )
+    return let(F.regexp_replace(href, rf"(?i)^{scheme}:(?!//)", ""), resolve)
 
 
 def _drop_dots(path: Column) -> Column:
@@ -83,10 +87,12 @@ def _drop_dots(path: Column) -> Column:
         parent = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
         return F.when(seg == "..", parent).when(seg == ".", kept).otherwise(F.array_append(kept, seg))
 
-    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
-    ends_in_dots = F.element_at(segments, -1).isin(".", "..")
-    joined = F.array_join(F.when(ends_in_dots, F.array_append(kept, F.lit(""))).otherwise(kept), "/")
-    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+    def join(kept: Column) -> Column:
+        ends_in_dots = F.element_at(segments, -1).isin(".", "..")
+        return F.array_join(F.when(ends_in_dots, F.array_append(kept, F.lit(""))).otherwise(kept), "/")
+
+    joined = let(F.aggregate(segments, F.array().cast("array<string>"), step), join)
+    return let(joined, lambda j: F.when(j.startswith("/"), j).otherwise(F.concat(F.lit("/"), j)))
 
 
 def markdown_link(url: Column, label: str = "link") -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pickwell.functions import html as H
 from pickwell.functions import text as X
-from pickwell.functions.strings import null_to_blank, strip
+from pickwell.functions.strings import let, null_to_blank, strip
 from pickwell.functions.urls import resolve_href
 from pickwell.operators.dedup import keep_first
 
@@ -24,17 +24,22 @@ def extract_links(
     min_text: int = 3,
 ) -> DataFrame:
     """``page_id, pos, title, url`` of every anchor whose URL holds one of the fragments."""
-    found = pages.select("page_id", F.posexplode(H.anchors(H.visible(F.col("html")))).alias("pos", "anchor"))
-    start = F.regexp_extract("anchor", rf"(?s)^<{H._ATTRS}>", 0)
-    links = found.select("page_id", "pos", "anchor", strip(H.attribute(start, "href")).alias("href")).filter(
-        F.col("href") != ""
+    def link(anchor: Column, pos: Column) -> Column:
+        url = let(
+            strip(H.attribute(H.start_tag(anchor), "href")),
+            lambda href: F.when(href != "", resolve_href(href, site)),
+        )
+        return F.struct(pos.alias("pos"), anchor.alias("anchor"), url.alias("url"))
+
+    # Selecting inside the array computes each URL once; as a filter on rows it
+    # would be pushed below the projection and computed again there.
+    every = F.transform(H.anchors(H.visible(F.col("html"))), link)
+    chosen = F.filter(every, lambda l: X.contains_any(l["url"], fragments))
+    titled = F.transform(
+        chosen,
+        lambda l: F.struct(l["pos"].alias("pos"), H.text_of(l["anchor"], "").alias("title"), l["url"].alias("url")),
     )
-    links = links.select("page_id", "pos", "anchor", resolve_href(F.col("href"), site).alias("url")).filter(
-        X.contains_any(F.col("url"), fragments)
-    )
-    # text is cut out only for the anchors that passed the URL test
-    titled = links.select("page_id", "pos", H.text_of(F.col("anchor"), "").alias("title"), "url")
-    return titled.filter(F.length("title") >= min_text)
+    return pages.select("page_id", F.inline(F.filter(titled, lambda l: F.length(l["title"]) >= min_text)))
 
 
 def dedup_links(links: DataFrame) -> DataFrame:
@@ -98,11 +103,11 @@ def page_fields(
     return df.select(*keep, *(c.alias(n) for n, c in fields.items()))
 
 
-def page_reject_reason(title: Column) -> Column:
+def page_reject_reason(url: Column, html: Column, title: Column) -> Column:
     """Why a page gives no catalog row, NULL if it gives one."""
     return (
-        F.when(null_to_blank(F.col("url")) == "", "no url")
-        .when(F.col("html").isNull(), "no html")
+        F.when(null_to_blank(url) == "", "no url")
+        .when(html.isNull(), "no html")
         .when(null_to_blank(title) == "", "no title")
         .when(X.is_bundle(title), "bundle")
     )
@@ -110,7 +115,15 @@ def page_reject_reason(title: Column) -> Column:
 
 def page_rejects(pages: DataFrame) -> DataFrame:
     """``page_id, url, reason`` of the pages that are skipped; the others go on."""
-    titled = pages.select("page_id", "url", "html", H.heading(H.visible(F.col("html"))).alias("title"))
-    return titled.select("page_id", "url", page_reject_reason(F.col("title")).alias("reason")).filter(
-        F.col("reason").isNotNull()
+    reason = let(
+        H.heading(H.visible(F.col("html"))), lambda t: page_reject_reason(F.col("url"), F.col("html"), t)
     )
+    checked = F.filter(F.array(F.struct(reason.alias("reason"))), lambda c: c["reason"].isNotNull())
+    return pages.select("page_id", "url", F.inline(checked))
+
+
+def page_titles(pages: DataFrame) -> DataFrame:
+    """``page_id, title`` of the pages that have a title and are no bundle."""
+    title = F.array(H.heading(H.visible(F.col("html"))))
+    kept = F.filter(title, lambda t: t.isNotNull() & ~X.is_bundle(t))
+    return pages.select("page_id", F.explode(kept).alias("title"))

@@ -15,19 +15,25 @@ from pickwell.session import materialise
 
 
 def catalog_rows(pages: DataFrame) -> DataFrame:
-    """Catalog rows of parsed pages, keyed by ``page_id``: bundles and untitled pages go, ids come."""
+    """Catalog rows of parsed pages: bundles and untitled pages go, ids come."""
     kept = pages.filter(F.col("title").isNotNull() & ~is_bundle(F.col("title")))
-    return conform(kept.withColumn("assessment_id", slug(F.col("url"))), keep=["page_id"])
+    return conform(kept.withColumn("assessment_id", slug(F.col("url"))))
 
 
-def build_catalog(pages: DataFrame) -> DataFrame:
-    """Catalog of every page that has a title; one row per URL, the first page wins.
+def first_pages(pages: DataFrame, variant: str) -> DataFrame:
+    """Parsed fields of the first page of every URL.
 
     The wide HTML column is consumed by a map-only step; only typed fields are
-    shuffled for the de-duplication.
+    shuffled. Rows are selected after this, as a page seen first counts even if
+    it is dropped later; that also keeps filters from being pushed below the
+    parser, where they would run it once more.
     """
-    rows = catalog_rows(page_fields(pages, "crawl"))
-    return keep_first(rows, ["url"], ["page_id"]).drop("page_id")
+    return keep_first(page_fields(pages, variant), ["url"], ["page_id"])
+
+
+def build_catalog(pages: DataFrame) -> DataFrame:
+    """Catalog of every page that has a title; one row per URL, the first page wins."""
+    return catalog_rows(first_pages(pages, "crawl"))
 
 
 def crawl_catalog(
@@ -39,10 +45,10 @@ def crawl_catalog(
     """
     found = dedup_links(extract_links(list_pages, site, fragments))
     links = materialise(found.select("url", F.col("title").alias("_anchor")))
-    fields = keep_first(page_fields(restrict_to(pages, links, "url"), "crawl"), ["url"], ["page_id"])
+    fields = first_pages(restrict_to(pages, links, "url"), "crawl")
     linked = fields.join(links, "url")
     titled = linked.withColumn("title", F.coalesce(blank_to_null(F.col("title")), "_anchor"))
-    return catalog_rows(titled).drop("page_id")
+    return catalog_rows(titled)
 
 
 def missing_urls(catalog: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -63,7 +69,7 @@ def augment_rows(
 ) -> DataFrame:
     """Catalog rows for the given URLs out of their pages; sparse pages borrow from the URL."""
     wanted = materialise(urls.select("url").distinct())
-    fields = keep_first(page_fields(restrict_to(pages, wanted, "url"), "augment"), ["url"], ["page_id"]).drop("page_id")
+    fields = first_pages(restrict_to(pages, wanted, "url"), "augment").drop("page_id")
     rows = fields.join(wanted, "url")
     rows = rows.withColumn("title", F.coalesce(blank_to_null(F.col("title")), title_from_url(F.col("url"), default_title)))
     rows = rows.withColumn("description", F.coalesce(blank_to_null(F.col("description")), "title"))

@@ -86,9 +86,18 @@ PAGES = [
     ("html", _HTML),
 ]
 
+# Tables whose rows are parsed, encoded or scored.
+WIDE_WORK = ("documents", "embeddings", "pages", "part")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; one that is too small to occupy all cores is spread over them.
+
+    A table of many splits is read as it lies, without a shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores and name in WIDE_WORK else df
 
 
 def derived(spark: SparkSession, sf_dir: str, columns: list[tuple[str, str]], source: str = "part") -> DataFrame:

@@ -32,7 +32,7 @@ PROSE_P, PROSE_K, PROSE_LEVELS = ("quell", "tionhand"), ("schkeit", "erenst"), (
 LINK_PATHS = ("/the", "/la", "/ei")
 
 
-def _round(column: str, digits: int = 6):
+def _round(column: str, digits: int = 9):
     return F.round(column, digits).alias(column)
 
 
@@ -41,9 +41,7 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # one small file would otherwise be one task
-    rows = _catalog(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
-    return build_index(rows, ENCODER, item_id="item_id")
+    return build_index(_catalog(spark, sf_dir), ENCODER, item_id="item_id")
 
 
 def _wishes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +52,10 @@ def _wishes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_topk(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").repartition(spark.sparkContext.defaultParallelism)
+    vectors = table(spark, sf_dir, "embeddings")
     queries = vectors.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     items = vectors.select(F.col("vec_id").alias("item_id"), "embedding")
-    return top_k(queries, items, TOPK).df.select("qid", "item_id", "rank", _round("similarity"))
+    return top_k(queries, items, TOPK).df.select("qid", "item_id", "rank", "similarity")
 
 
 def vector_topk_blocks(spark, sf_dir):
@@ -65,7 +63,7 @@ def vector_topk_blocks(spark, sf_dir):
     queries = vectors.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     items = vectors.select(F.col("vec_id").alias("item_id"), "embedding")
     hits = top_k(queries, items, TOPK, max_query_bytes=0, query_block_rows=512, item_block_rows=512)
-    return hits.df.select("qid", "item_id", "rank", _round("similarity"))
+    return hits.df.select("qid", "item_id", "rank", "similarity")
 
 
 def vector_normalize(spark, sf_dir):
@@ -86,7 +84,7 @@ def vector_dims(spark, sf_dir):
 
 def vector_inner_product(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    return v.select("vec_id", F.round(V.dot(F.col("embedding"), F.reverse("embedding")), 6).alias("product"))
+    return v.select("vec_id", F.round(V.dot(F.col("embedding"), F.reverse("embedding")), 9).alias("product"))
 
 
 # ------------------------------------------------------------ URLs
@@ -232,9 +230,7 @@ def duration_window(spark, sf_dir):
 
 
 def exclude_bundles(spark, sf_dir):
-    return P.page_fields(derived(spark, sf_dir, I.PAGES)).filter(
-        F.col("title").isNotNull() & ~X.is_bundle(F.col("title"))
-    ).select("page_id", "title")
+    return P.page_titles(derived(spark, sf_dir, I.PAGES))
 
 
 def strong_terms(spark, sf_dir):
@@ -303,11 +299,11 @@ def build_doc(spark, sf_dir):
 def _cells(df: DataFrame, key: str) -> DataFrame:
     """Non-zero cells of the vectors, to compare them."""
     exploded = df.select(key, F.posexplode("embedding").alias("bucket", "weight")).filter("weight <> 0")
-    return exploded.select(key, "bucket", F.round(F.col("weight").cast("double"), 6).alias("weight"))
+    return exploded.select(key, "bucket", F.round(F.col("weight").cast("double"), 9).alias("weight"))
 
 
 def hash_encode(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism)
+    docs = table(spark, sf_dir, "documents")
     return _cells(docs.select("doc_id", ENCODER(F.col("text")).alias("embedding")), "doc_id")
 
 
@@ -317,10 +313,10 @@ def build_index_query(spark, sf_dir):
 
 
 def text_topk(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism)
+    texts = table(spark, sf_dir, "documents")
     docs = texts.select(F.col("doc_id").alias("item_id"), ENCODER(F.col("text")).alias("embedding"))
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), ENCODER(F.col("text")).alias("qvec"))
-    return top_k(queries, docs, TOPK, dim=ENCODER.dim).df.select("qid", "item_id", "rank", _round("similarity"))
+    return top_k(queries, docs, TOPK, dim=ENCODER.dim).df.select("qid", "item_id", "rank", "similarity")
 
 
 # ------------------------------------------------------------ recommend
@@ -347,7 +343,7 @@ def topk_with_meta(spark, sf_dir):
     queries = _wishes(spark, sf_dir)
     found = search(queries, _index(spark, sf_dir), 5, ENCODER)
     return found.join(queries.select("qid", "query"), "qid").select(
-        "query", "rank", _round("similarity"), "item_id", "title", "url", "category", "tags", "duration_min"
+        "query", "rank", "similarity", "item_id", "title", "url", "category", "tags", "duration_min"
     )
 
 
@@ -364,7 +360,7 @@ def duration_score(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), "p_size")
     timed = _texts(spark, sf_dir).select("item_id", w.alias("w")).join(part, "item_id")
     score = R.duration_score(F.nullif(F.col("p_size"), F.lit(13)), F.col("w.lo"), F.col("w.hi"))
-    return timed.select("item_id", F.round(score, 6).alias("duration_score"))
+    return timed.select("item_id", F.round(score, 9).alias("duration_score"))
 
 
 def _recommended(spark, sf_dir):
@@ -376,13 +372,13 @@ def recommend_query(spark, sf_dir):
     queries, hits = _recommended(spark, sf_dir)
     return hits.join(queries.select("qid", "query"), "qid").select(
         "query", "rank", "item_id", "title", "url", "test_type", "level", "language", "duration_min",
-        "description", _round("similarity"), _round("duration_score"), _round("score"),
+        "description", "similarity", _round("duration_score"), "score",
     )
 
 
 def result_view(spark, sf_dir):
     _, hits = _recommended(spark, sf_dir)
-    return O.result_view(hits.withColumn("similarity", F.round("similarity", 6)), keep=("item_id", "rank"))
+    return O.result_view(hits, keep=("item_id", "rank"))
 
 
 def response_nested(spark, sf_dir):

@@ -125,9 +125,7 @@ def window_bounds(low: str, short_hours: bool = False) -> tuple[str, str]:
 
     a, b, v = minutes(span, 1, 3), minutes(span, 2, 3), minutes(single, 1, 2)
     return (
-        f"CASE WHEN regexp_matches({low}, '{span}') THEN least({a}, {b}) ELSE greatest(0, {v} - 15) END"
-        if False
-        else f"CASE WHEN regexp_matches({low}, '{span}') THEN least({a}, {b}) WHEN {v} IS NOT NULL THEN greatest(0, {v} - 15) END",
+        f"CASE WHEN regexp_matches({low}, '{span}') THEN least({a}, {b}) WHEN {v} IS NOT NULL THEN greatest(0, {v} - 15) END",
         f"CASE WHEN regexp_matches({low}, '{span}') THEN greatest({a}, {b}) ELSE {v} + 15 END",
     )
 
@@ -281,19 +279,19 @@ RECALL = f"""SELECT t.query, t.n_truth, coalesce(h.hits, 0) / greatest(1, t.n_di
       FROM ({sparse_topk(encoded(f'SELECT DISTINCT query AS qid, query FROM ({PAIRS})', 'qid', 'query'), CATALOG_VECTORS, TOPK)}) JOIN ({CATALOG}) USING (item_id)) p
     JOIN (SELECT DISTINCT query, norm FROM ({_TRUTH})) k ON k.query = p.qid AND k.norm = p.norm GROUP BY 1) h USING (query)"""
 
-VECTOR_TOPK = f"""SELECT qid, item_id, CAST(rank AS INT) AS rank, round(s, 6) AS similarity FROM (
+VECTOR_TOPK = f"""SELECT qid, item_id, CAST(rank AS INT) AS rank, s AS similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, item_id) AS rank FROM (
     SELECT a.vec_id AS qid, b.vec_id AS item_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s
     FROM embeddings a CROSS JOIN embeddings b)) WHERE rank <= {TOPK}"""
 
-CELLS = "SELECT {key}, bucket, round(weight::DOUBLE, 6) AS weight FROM ({source})"
+CELLS = "SELECT {key}, bucket, round(weight::DOUBLE, 9) AS weight FROM ({source})"
 _lo, _hi = window_bounds("low")
 _lo_hr, _hi_hr = window_bounds("low", True)
 
 SQL: dict[str, str] = {
     "vector_topk": VECTOR_TOPK,
     "vector_topk_blocks": VECTOR_TOPK,
-    "vector_normalize": """SELECT vec_id, round(n, 6) AS norm, CAST(pos - 1 AS INT) AS pos, round(CASE WHEN n > 0 THEN x / n ELSE 0 END, 6) AS x
+    "vector_normalize": """SELECT vec_id, round(n, 9) AS norm, CAST(pos - 1 AS INT) AS pos, round(CASE WHEN n > 0 THEN x / n ELSE 0 END, 9) AS x
         FROM (SELECT vec_id, n, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM (
           SELECT *, sqrt(list_inner_product(v, v)) AS n FROM (
             SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * label) AS v FROM embeddings)))""",
@@ -301,7 +299,7 @@ SQL: dict[str, str] = {
         f"SELECT '{side}' AS side, CAST(min(len(embedding)) AS INT) AS min_dim, CAST(max(len(embedding)) AS INT) AS max_dim, count(embedding) AS rows FROM embeddings"
         for side in ("queries", "items")
     ),
-    "vector_inner_product": "SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS product FROM embeddings",
+    "vector_inner_product": "SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 9) AS product FROM embeddings",
     "url_normalize": f"SELECT page_id, form, {norm_url('url')} AS norm FROM ({SPELLINGS})",
     "url_slug": f"SELECT page_id, form, {slug('url')} AS slug, coalesce(nullif({slug('url')}, ''), 'item') AS slug_or_item FROM ({SPELLINGS})",
     "url_title_fallback": f"SELECT page_id, form, {url_title('url')} AS title FROM ({SPELLINGS})",
@@ -346,31 +344,31 @@ SQL: dict[str, str] = {
     "build_doc": f"SELECT item_id, {DOC} AS doc FROM ({CATALOG})",
     "hash_encode": CELLS.format(key="doc_id", source=encoded("SELECT * FROM documents", "doc_id", "text")),
     "build_index": f"SELECT * FROM ({CELLS.format(key='item_id', source=CATALOG_VECTORS)}) JOIN (SELECT item_id, title, url, duration_min FROM ({CATALOG})) USING (item_id)",
-    "text_topk": f"""SELECT qid, item_id, CAST(rank AS INT) AS rank, round(similarity, 6) AS similarity FROM ({sparse_topk(
+    "text_topk": f"""SELECT qid, item_id, CAST(rank AS INT) AS rank, similarity FROM ({sparse_topk(
         encoded('SELECT item_id AS qid, text FROM benchmark', 'qid', 'text'), encoded('SELECT doc_id AS item_id, text FROM documents', 'item_id', 'text'), TOPK)})""",
     "clamp_topk": "SELECT p_partkey, CAST(CASE WHEN p_size IN (20, 27) THEN 10 WHEN p_size < 20 THEN 1 ELSE least(10, p_size - 20) END AS INT) AS topk FROM part",
     "clean_queries": f"""SELECT sha256('10' || chr(1) || query) AS qid, query, CAST(10 AS INT) AS topk, count(*) AS copies
         FROM (SELECT {strip("string_split(text, chr(10))[2]")} AS query FROM conversations) WHERE query <> '' GROUP BY query""",
     "recommend_rejects": rf"""SELECT conv_id, turn, query, 'empty query' AS reason FROM (SELECT *, regexp_replace(text, '^[^\n]*\n?', '') AS query FROM conversations)
         WHERE {strip('query')} = ''""",
-    "topk_with_meta": f"""SELECT w.query, CAST(h.rank AS INT) AS rank, round(h.similarity, 6) AS similarity, c.item_id, c.title, c.url, c.category, c.tags, c.duration_min
+    "topk_with_meta": f"""SELECT w.query, CAST(h.rank AS INT) AS rank, h.similarity, c.item_id, c.title, c.url, c.category, c.tags, c.duration_min
         FROM ({WISHES}) w JOIN ({wish_topk(5)}) h ON h.qid = w.query JOIN ({CATALOG}) c USING (item_id)""",
     "keyword_gate": f"""SELECT w.query, CAST(h.rank AS INT) AS rank, c.item_id, c.title
         FROM ({WISHES}) w JOIN ({wish_topk(TOPK)}) h ON h.qid = w.query JOIN ({CATALOG}) c USING (item_id)
         WHERE len(list_filter({terms_of('w.query', TITLE_WORDS)}, lambda t: contains(lower(concat_ws(' ', c.title, c.description, c.tags, c.category)), t))) > 0
            OR len({terms_of('w.query', TITLE_WORDS)}) = 0""",
-    "duration_score": f"""SELECT item_id, round({duration_fit('nullif(p_size, 13)', 'lo', 'hi')}, 6) AS duration_score
+    "duration_score": f"""SELECT item_id, round({duration_fit('nullif(p_size, 13)', 'lo', 'hi')}, 9) AS duration_score
         FROM (SELECT item_id, {_lo} AS lo, {_hi} AS hi FROM ({TEXTS})) JOIN part ON p_partkey = item_id""",
     "recommend": f"""SELECT query, CAST(rnk AS INT) AS rank, item_id, title, url, test_type, level, language, duration_min, description,
-        round(sim, 6) AS similarity, round(duration_score, 6) AS duration_score, round(score, 6) AS score FROM ({recommended()})""",
+        sim AS similarity, round(duration_score, 9) AS duration_score, score FROM ({recommended()})""",
     "result_view": f"""SELECT item_id, CAST(rnk AS INT) AS rank, title AS "Assessment", '[link](' || url || ')' AS "URL", test_type AS "Type", level AS "Level",
-        language AS "Language", duration_min AS "Duration (min)", round(sim, 6) AS "Similarity", description AS "Description" FROM ({recommended()})""",
+        language AS "Language", duration_min AS "Duration (min)", sim AS "Similarity", description AS "Description" FROM ({recommended()})""",
     "response_nested": f"""SELECT w.query, CAST(coalesce(n, 0) AS INT) AS count, coalesce(r, '') AS recommendations FROM ({WISHES}) w LEFT JOIN (
         SELECT query, topk, count(*) AS n, string_agg(concat_ws('|', title, url, duration_min), ';' ORDER BY rnk) AS r FROM ({recommended()}) GROUP BY 1, 2) USING (query, topk)""",
     "batch_export": f"""WITH lines AS (SELECT p_name || ' ' || lower(p_type) AS query FROM part),
         hits AS ({sparse_topk(encoded('SELECT DISTINCT query AS qid, query FROM lines', 'qid', 'query'), CATALOG_VECTORS, TOPK)})
         SELECT query AS "Query", url AS "Assessment_url" FROM lines JOIN hits ON qid = query JOIN ({CATALOG}) USING (item_id)""",
     "truth_sets": f"SELECT query, count(*) AS n_truth, count(DISTINCT norm) AS n_distinct FROM ({_TRUTH}) GROUP BY 1",
-    "recall_at_k": f"SELECT query, n_truth, round(recall, 6) AS recall FROM ({RECALL})",
-    "mean_recall": f"SELECT count(*) AS queries, round(avg(recall), 6) AS mean_recall FROM ({RECALL})",
+    "recall_at_k": f"SELECT query, n_truth, round(recall, 9) AS recall FROM ({RECALL})",
+    "mean_recall": f"SELECT count(*) AS queries, round(avg(recall), 9) AS mean_recall FROM ({RECALL})",
 }
