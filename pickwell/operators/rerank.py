@@ -79,4 +79,5 @@ def final_rank(hits: DataFrame, similarity_weight: float = SIMILARITY_WEIGHT, du
     )
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("similarity"), "item_id")
     ranked = hits.withColumn("score", score).withColumn("rank", F.row_number().over(w))
-    return ranked.filter(F.col("rank") <= F.col("topk"))
+    # the constant bound lets the plan cut rows before the shuffle
+    return ranked.filter((F.col("rank") <= MAX_TOPK) & (F.col("rank") <= F.col("topk")))

@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 DIGITS = 9
 MAX_QUERY_BYTES = 32 * 1024 * 1024
-QUERY_BLOCK_ROWS = 8_192
-ITEM_BLOCK_ROWS = 65_536
+QUERY_BLOCK_ROWS = 32_768
+ITEM_BLOCK_ROWS = 131_072
 SCAN_TASKS = 20_000
 _SCORE_CELLS = 4_000_000
 

@@ -14,6 +14,7 @@ from pickwell.functions.urls import normalize_url
 from pickwell.functions.vectors import HashEncoder
 from pickwell.operators.rerank import MAX_TOPK
 from pickwell.plans.search import search
+from pickwell.session import materialise
 
 
 def truth_pairs(pairs: DataFrame) -> DataFrame:
@@ -27,12 +28,8 @@ def truth_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
-def truth_sets(pairs: DataFrame) -> DataFrame:
-    """``query, n_truth, n_distinct``: labelled URLs of a query, with repeats and as a set."""
-    return _truth_sizes(truth_pairs(pairs)).drop("qid")
-
-
-def _truth_sizes(truth: DataFrame) -> DataFrame:
+def truth_sets(truth: DataFrame) -> DataFrame:
+    """``qid, query, n_truth, n_distinct``: labelled URLs of a query, with repeats and as a set."""
     # one row per normal form first: two plain counts instead of a distinct count
     per_url = truth.groupBy("qid", "query", "norm").agg(F.sum("mentions").alias("mentions"))
     return per_url.groupBy("qid", "query").agg(
@@ -41,18 +38,17 @@ def _truth_sizes(truth: DataFrame) -> DataFrame:
     )
 
 
-def recall_at_k(pairs: DataFrame, predictions: DataFrame, k: int = MAX_TOPK) -> DataFrame:
+def recall_at_k(truth: DataFrame, predictions: DataFrame, k: int = MAX_TOPK) -> DataFrame:
     """``query, n_truth, recall`` of every labelled query.
 
-    ``predictions``: ``qid, rank, url``, the id as made by ``truth_pairs``. A hit is
-    a prediction whose normal form is in the query's truth; two spellings of one
-    URL are two hits.
+    ``truth`` as made by ``truth_pairs``; ``predictions``: ``qid, rank, url``. A hit
+    is a prediction whose normal form is in the query's truth; two spellings of
+    one URL are two hits.
     """
-    truth = truth_pairs(pairs)
     known = truth.filter(F.col("norm") != "").select("qid", "norm").distinct()
     predicted = predictions.filter(F.col("rank") <= k).select("qid", normalize_url(F.col("url")).alias("norm"))
     hits = predicted.join(known, ["qid", "norm"], "left_semi").groupBy("qid").agg(F.count("*").alias("hits"))
-    scored = _truth_sizes(truth).join(hits, "qid", "left")
+    scored = truth_sets(truth).join(hits, "qid", "left")
     recall = F.coalesce("hits", F.lit(0)) / F.greatest(F.lit(1), F.col("n_distinct"))
     return scored.select("query", "n_truth", recall.alias("recall"))
 
@@ -62,7 +58,12 @@ def mean_recall(per_query: DataFrame) -> DataFrame:
 
 
 def evaluate(pairs: DataFrame, index: DataFrame, k: int = MAX_TOPK, encoder=HashEncoder(), **options) -> DataFrame:
-    """Search every labelled query and report its recall, worst first."""
-    queries = truth_pairs(pairs).select("qid", "query").distinct()
-    found = search(queries, index, k, encoder, **options)
-    return recall_at_k(pairs, found, k).orderBy("recall", "query")
+    """Search every labelled query and score it: ``query, n_truth, recall``."""
+    truth = materialise(truth_pairs(pairs))
+    queries = truth.select("qid", "query").distinct()
+    return recall_at_k(truth, search(queries, index, k, encoder, **options), k)
+
+
+def report(per_query: DataFrame) -> DataFrame:
+    """Worst queries first."""
+    return per_query.orderBy("recall", "query")

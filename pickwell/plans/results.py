@@ -57,12 +57,12 @@ def batch_export(queries: DataFrame, hits: DataFrame) -> DataFrame:
     all rows is written by many tasks.
     """
     rows = hits.select("qid", "url").join(queries.select("qid", "query", "copies"), "qid")
-    single = rows.filter(F.col("copies") == 1).select("query", "url")
-    cut = (
-        rows.filter(F.col("copies") > 1)
-        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(copies - 1) div {COPIES_PER_TASK}"))))
-        .repartition("qid", "url", "_block")
-    )
-    here = F.least(F.lit(COPIES_PER_TASK), F.col("copies") - F.col("_block") * COPIES_PER_TASK)
-    repeated = cut.select("query", "url", F.explode(F.sequence(F.lit(1).cast("bigint"), here)).alias("_n")).drop("_n")
-    return single.unionByName(repeated).select(F.col("query").alias("Query"), F.col("url").alias("Assessment_url"))
+    zero = F.lit(0).cast("bigint")
+    last_block = F.expr(f"(copies - 1) div {COPIES_PER_TASK}")
+    blocks = rows.withColumn("_block", F.explode(F.sequence(zero, last_block))).repartition("qid", "url", "_block")
+    here = F.least(F.lit(COPIES_PER_TASK).cast("bigint"), F.col("copies") - F.col("_block") * COPIES_PER_TASK)
+    return blocks.select(
+        F.col("query").alias("Query"),
+        F.col("url").alias("Assessment_url"),
+        F.explode(F.sequence(zero + 1, here)).alias("_copy"),
+    ).drop("_copy")

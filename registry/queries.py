@@ -399,12 +399,12 @@ def batch_export(spark, sf_dir):
 
 
 def truth_sets(spark, sf_dir):
-    return E.truth_sets(_labelled(spark, sf_dir))
+    return E.truth_sets(E.truth_pairs(_labelled(spark, sf_dir))).drop("qid")
 
 
 def recall_at_k(spark, sf_dir):
     per_query = E.evaluate(_labelled(spark, sf_dir), _index(spark, sf_dir), TOPK, ENCODER)
-    return per_query.select("query", "n_truth", _round("recall"))
+    return E.report(per_query.select("query", "n_truth", _round("recall")))
 
 
 def mean_recall(spark, sf_dir):
