@@ -145,7 +145,7 @@ def meta_content(metas: Column, key: str, value: str) -> Column:
 def anchors(markup: Column) -> Column:
     """Every ``<a …>…`` up to its end tag or the next anchor."""
     return F.regexp_extract_all(
-        markup, F.lit(rf"(?is)<a\s{_ATTRS}>.*?(?=<a[\s>]|</a\s*>|\z)"), F.lit(0)
+        markup, F.lit(rf"(?is)<a(?:\s{_ATTRS})?>.*?(?=<a[\s>]|</a\s*>|\z)"), F.lit(0)
     )
 
 
