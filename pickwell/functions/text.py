@@ -6,12 +6,11 @@ Every vocabulary is a default argument; callers may pass their own.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pickwell.functions.strings import null_to_blank
+from pickwell.functions.strings import SPACE, WORD_END, WORD_START, contains_any, null_to_blank
 
 # The words that decide each class, in the order they are tried.
 PERSONALITY_CRAWL = ("personality", "behavior", "behaviour", "openness", "conscientiousness")
@@ -35,11 +34,6 @@ STRONG_TERMS = (
 )
 
 
-def contains_any(text: Column, words: Sequence[str]) -> Column:
-    """Whether any of the words occurs as a substring."""
-    return reduce(lambda a, b: a | b, (text.contains(w) for w in words))
-
-
 # ---------------------------------------------------------------- classifiers
 # ``low`` is text already in lower case.
 
@@ -73,7 +67,7 @@ def level_word(low: Column, levels: Sequence[str] = LEVELS_AUGMENT) -> Column:
     """First level of the list found as a whole word."""
     # the cheap substring test spares most rows the regular expression
     return F.coalesce(
-        *(F.when(low.contains(lv) & low.rlike(rf"(?U)\b{lv}\b"), lv.capitalize()) for lv in levels)
+        *(F.when(low.contains(lv) & low.rlike(f"{WORD_START}{lv}{WORD_END}"), lv.capitalize()) for lv in levels)
     )
 
 
@@ -83,10 +77,11 @@ def is_bundle(title: Column, marks: Sequence[str] = BUNDLE_MARKS) -> Column:
 
 # ---------------------------------------------------------------- durations
 
-_UNIT_PAGE_MIN = r"(minutes|min)\b"
-_UNIT_PAGE_HOUR = r"(hours|hour|hrs|hr)\b"
-_UNIT_QUERY = r"(hour|hr|hours|hrs|minute|min|minutes)\b"
-_RANGE_DASH = r"\s*-\s*"
+_PAGE_MINUTES = f"{SPACE}*(minutes|min){WORD_END}"
+_PAGE_HOURS = f"{SPACE}*(hours|hour|hrs|hr){WORD_END}"
+_QUERY_UNIT = f"{SPACE}*(hour|hr|hours|hrs|minute|min|minutes){WORD_END}"
+_DASH = f"{SPACE}*-{SPACE}*"
+_UP_TO_3 = "([0-9]{1,3})"
 
 
 def _number(text: Column, pattern: str, group: int) -> Column:
@@ -95,7 +90,7 @@ def _number(text: Column, pattern: str, group: int) -> Column:
 
 def duration_simple(low: Column) -> Column:
     """Minutes named first in the text: one to three digits before min or minutes."""
-    return _number(low, rf"(?U)([0-9]{{1,3}})\s*{_UNIT_PAGE_MIN}", 1).cast("int")
+    return _number(low, _UP_TO_3 + _PAGE_MINUTES, 1).cast("int")
 
 
 def duration_full(text: Column, short_hours: bool = False) -> Column:
@@ -106,10 +101,10 @@ def duration_full(text: Column, short_hours: bool = False) -> Column:
     duration. ``short_hours=True`` converts them like ``hours``.
     """
     low = F.lower(text)
-    min_range = rf"(?U)([0-9]{{1,3}}){_RANGE_DASH}([0-9]{{1,3}})\s*{_UNIT_PAGE_MIN}"
-    hour_range = rf"(?U)([0-9]{{1,3}}){_RANGE_DASH}([0-9]{{1,3}})\s*{_UNIT_PAGE_HOUR}"
-    minutes = rf"(?U)([0-9]{{1,3}})\s*{_UNIT_PAGE_MIN}"
-    hours = rf"(?U)([0-9]{{1,2}})\s*{_UNIT_PAGE_HOUR}"
+    min_range = _UP_TO_3 + _DASH + _UP_TO_3 + _PAGE_MINUTES
+    hour_range = _UP_TO_3 + _DASH + _UP_TO_3 + _PAGE_HOURS
+    minutes = _UP_TO_3 + _PAGE_MINUTES
+    hours = "([0-9]{1,2})" + _PAGE_HOURS
 
     def mean(pattern: str) -> Column:
         return F.bround((_number(low, pattern, 1) + _number(low, pattern, 2)) / F.lit(2.0), 0)
@@ -127,8 +122,8 @@ def duration_full(text: Column, short_hours: bool = False) -> Column:
         _number(low, minutes, 1).cast("int"),
         F.when(spelled_out(hours, 2), (_number(low, hours, 1) * 60).cast("int")),
     )
-    # no unit, no duration: one cheap test before four regular expressions
-    return F.when(low.contains("min") | low.contains("hour") | low.contains("hr"), found)
+    # few pages have a number before a unit: one pass spares the others all patterns
+    return F.when(low.rlike(f"[0-9]{SPACE}*(?:min|h)"), found)
 
 
 def duration_window(text: Column, tolerance: int = 15, short_hours: bool = False) -> Column:
@@ -139,8 +134,8 @@ def duration_window(text: Column, tolerance: int = 15, short_hours: bool = False
     ``short_hours`` is set.
     """
     low = F.lower(F.coalesce(text, F.lit("")))
-    span = rf"(?U)([0-9]+){_RANGE_DASH}([0-9]+)\s*{_UNIT_QUERY}"
-    single = rf"(?U)([0-9]+)\s*{_UNIT_QUERY}"
+    span = "([0-9]+)" + _DASH + "([0-9]+)" + _QUERY_UNIT
+    single = "([0-9]+)" + _QUERY_UNIT
 
     def minutes(pattern: str, group: int, unit_group: int) -> Column:
         unit = F.regexp_extract(low, pattern, unit_group)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pickwell.functions import html as H
 from pickwell.functions import text as X
-from pickwell.functions.strings import let, null_to_blank, strip
+from pickwell.functions.strings import contains_any, let, null_to_blank, strip
 from pickwell.functions.urls import resolve_href
 from pickwell.operators.dedup import keep_first
 
@@ -34,7 +34,7 @@ def extract_links(
     # Selecting inside the array computes each URL once; as a filter on rows it
     # would be pushed below the projection and computed again there.
     every = F.transform(H.anchors(H.visible(F.col("html"))), link)
-    chosen = F.filter(every, lambda l: X.contains_any(l["url"], fragments))
+    chosen = F.filter(every, lambda l: contains_any(l["url"], fragments))
     titled = F.transform(
         chosen,
         lambda l: F.struct(l["pos"].alias("pos"), H.text_of(l["anchor"], "").alias("title"), l["url"].alias("url")),

@@ -116,7 +116,9 @@ def _grid(
     queries: DataFrame, items: DataFrame, k: int, query_rows: int, item_rows: int, out: T.StructType
 ) -> DataFrame:
     q_blocks = max(1, math.ceil(queries.count() / query_rows))
-    i_blocks = max(1, math.ceil(items.count() / item_rows))
+    # at least one cell per core, however small the table
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    i_blocks = max(math.ceil(items.count() / item_rows), math.ceil(cores / q_blocks))
 
     def block_of(column: str, n: int) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
@@ -130,11 +132,12 @@ def _grid(
     )
 
     def cell(q: pa.Table, i: pa.Table) -> pa.Table:
+        schema = _arrow_schema(q.schema.field("qid").type, i.schema.field("item_id").type)
         if not q.num_rows or not i.num_rows:
-            return pa.Table.from_batches([], _arrow_schema(q.schema.field("qid").type, i.schema.field("item_id").type))
+            return pa.Table.from_batches([], schema)
         best = _Best(_ids(q["qid"]), _matrix(q["qvec"]), k)
         best.add(i["item_id"], i["embedding"])
-        return pa.Table.from_batches(list(best.batches()), best.schema())
+        return pa.Table.from_batches(list(best.batches()), schema)
 
     keys = ["_qb", "_ib"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, out)
@@ -170,10 +173,13 @@ class _Best:
         self.q64 = qmat.astype(np.float64)
         self.q32 = qmat.astype(np.float32)
         self.qnorm = np.linalg.norm(self.q64, axis=1)
+        self.qmax = self.qnorm[np.isfinite(self.qnorm)].max(initial=0.0)
         self.floor = np.full(len(qmat), -np.inf)
         self.q = np.zeros(0, np.int64)
         self.sim = np.zeros(0)
         self.ids: pa.Array | None = None
+        self.pending: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.pending_rows = 0
 
     def add(self, ids: pa.Array | pa.ChunkedArray, vectors: pa.Array | pa.ChunkedArray) -> None:
         ids, mat = _ids(ids), _matrix(vectors)
@@ -195,18 +201,27 @@ class _Best:
         result is that of double precision throughout.
         """
         x64 = mat.astype(np.float64)
-        slack = (mat.shape[1] + 8) * 2.0**-23 * self.qnorm * np.linalg.norm(x64, axis=1).max() + 10.0**-DIGITS
-        scores = self.q32 @ mat.astype(np.float32).T
-        if not np.isfinite(scores).all():
+        usable = np.isfinite(x64).all(axis=1)
+        if not usable.all():
+            # a vector with NaN or infinity is similar to nothing
+            mat, x64, ids = mat[usable], x64[usable], ids.filter(pa.array(usable))
+            if not len(mat):
+                return
+        xnorm = np.linalg.norm(x64, axis=1).max()
+        slack = (mat.shape[1] + 8) * 2.0**-23 * self.qnorm * xnorm + 10.0**-DIGITS
+        # beyond this a single-precision sum might overflow
+        if self.qmax * xnorm < 1e30:
+            scores = self.q32 @ mat.astype(np.float32).T
+        else:
             scores = self.q64 @ x64.T
-        floor = self.floor - slack
-        alive = scores >= floor[:, None]
+        alive = scores >= (self.floor - slack)[:, None]
         if np.count_nonzero(alive) > 2 * self.k * len(scores):
-            # the block's own k-th best is a lower bound as well
+            # k items of this very block lie above its own k-th best
             cut = scores.shape[1] - self.k
             if cut > 0:
                 kth = np.partition(scores, cut, axis=1)[:, cut]
-                alive = scores >= np.maximum(floor, kth - 2 * slack)[:, None]
+                self.floor = np.maximum(self.floor, kth - slack)
+                alive = scores >= (self.floor - slack)[:, None]
         q, i = np.nonzero(alive)
         if not len(q):
             return
@@ -216,12 +231,20 @@ class _Best:
             part = slice(s, s + step)
             exact[part] = np.einsum("ij,ij->i", self.q64[q[part]], x64[i[part]])
         # adding 0.0 turns -0.0 into 0.0
-        self._merge(q, np.round(exact, DIGITS) + 0.0, ids.take(pa.array(i)))
-
-    def _merge(self, q: np.ndarray, sim: np.ndarray, ids: pa.Array) -> None:
-        if self.ids is not None:
-            q, sim = np.concatenate([self.q, q]), np.concatenate([self.sim, sim])
-            ids = pa.concat_arrays([self.ids, ids])
+        self.pending.append((q, np.round(exact, DIGITS) + 0.0, ids.take(pa.array(i))))
+        self.pending_rows += len(q)
+        # sorting the survivors costs as much as all kept rows, so they pile up first
+        if self.pending_rows >= max(len(self.q) // 2, 10_000):
+            self._merge()
+
+    def _merge(self) -> None:
+        """Cut the kept and the pending rows down to k per query and raise the floors."""
+        if not self.pending:
+            return
+        kept = [] if self.ids is None else [(self.q, self.sim, self.ids)]
+        qs, sims, ids = zip(*kept, *self.pending)
+        self.pending, self.pending_rows = [], 0
+        q, sim, ids = np.concatenate(qs), np.concatenate(sims), pa.concat_arrays(ids)
         order = np.lexsort((_sort_codes(ids), -sim, q))
         q, sim = q[order], sim[order]
         starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
@@ -229,16 +252,14 @@ class _Best:
         kept = place < self.k
         self.q, self.sim, self.ids = q[kept], sim[kept], ids.take(pa.array(order[kept]))
         full = place == self.k - 1
-        self.floor[q[full]] = sim[full]
-
-    def schema(self) -> pa.Schema:
-        return _arrow_schema(self.qids.type, self.ids.type)
+        self.floor[q[full]] = np.maximum(self.floor[q[full]], sim[full])
 
     def batches(self) -> Iterator[pa.RecordBatch]:
+        self._merge()
         if self.ids is None:
             return
         columns = [self.qids.take(pa.array(self.q)), self.ids, pa.array(self.sim)]
-        yield from pa.Table.from_arrays(columns, schema=self.schema()).to_batches(max_chunksize=65_536)
+        yield from pa.Table.from_arrays(columns, schema=_arrow_schema(self.qids.type, self.ids.type)).to_batches(max_chunksize=65_536)
 
 
 def _sort_codes(ids: pa.Array) -> np.ndarray:

@@ -29,15 +29,23 @@ def get_session(app: str = "pickwell", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder and drop its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor sees, as named by ``spark.checkpoint.dir``.
 
-    Used where a costly result is read more than once. The files live in the
-    folder named by ``spark.checkpoint.dir``, so they outlive lost executors.
+    Only where the cluster names none, as in local tests, a temporary one is made.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pickwell-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into the shared folder and drop its lineage.
+
+    Used where a costly result is read more than once. The files outlive lost
+    executors.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

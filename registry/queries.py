@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from pickwell.plans import evaluate as E
 from pickwell.plans import results as O
 from pickwell.plans.index import build_index
 from pickwell.plans.search import recommend, search
+from pickwell.session import shared_folder
+from pickwell.streaming.recommend import recommend_stream
 from registry import inputs as I
 from registry.inputs import derived, derived_queries, table
 
@@ -395,6 +399,25 @@ def batch_export(spark, sf_dir):
     return O.batch_export(queries, search(queries, _index(spark, sf_dir), TOPK, ENCODER))
 
 
+def recommend_stream_query(spark, sf_dir):
+    """Every part as an arriving query, answered by micro-batches into a table."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "part").schema
+    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/part.parquet*").select(
+        F.concat_ws(" ", "p_name", F.lower("p_type")).alias("query"), F.lit(3).alias("topk")
+    )
+
+    def write(answers, batch_id):
+        answers.write.mode("overwrite").parquet(f"{folder}/answers/batch={batch_id}")
+
+    stream = recommend_stream(arriving, _index(spark, sf_dir), write, f"{folder}/state", encoder=ENCODER, vocabulary=TITLE_WORDS)
+    stream.awaitTermination()
+    answers = spark.read.parquet(f"{folder}/answers")
+    return answers.select("query", F.posexplode("recommendations").alias("place", "hit")).select(
+        "query", (F.col("place") + 1).alias("rank"), "hit.assessment_name", "hit.assessment_url", "hit.similarity"
+    )
+
+
 # ------------------------------------------------------------ evaluation
 
 
@@ -425,7 +448,7 @@ QUERIES = {
         missing_labelled_urls, augment_rows, catalog_merge, catalog_dedup, catalog_conform, catalog_counts,
         build_doc, hash_encode, build_index_query, text_topk,
         clamp_topk, clean_queries, recommend_rejects, topk_with_meta, keyword_gate, duration_score,
-        recommend_query, result_view, response_nested, batch_export,
+        recommend_query, result_view, response_nested, batch_export, recommend_stream_query,
         truth_sets, recall_at_k, mean_recall,
     )
 }

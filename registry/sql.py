@@ -205,18 +205,18 @@ def sparse_topk(queries: str, items: str, k: int) -> str:
 CATALOG_VECTORS = encoded(f"SELECT item_id, {DOC} AS doc FROM ({CATALOG})", "item_id", "doc")
 
 
-def wish_topk(k: int) -> str:
-    return sparse_topk(encoded(f"SELECT DISTINCT query AS qid, query FROM ({WISHES})", "qid", "query"), CATALOG_VECTORS, k)
+def wish_topk(k: int, wishes: str = WISHES) -> str:
+    return sparse_topk(encoded(f"SELECT DISTINCT query AS qid, query FROM ({wishes})", "qid", "query"), CATALOG_VECTORS, k)
 
 
-def recommended() -> str:
+def recommended(wishes: str = WISHES) -> str:
     lo, hi = window_bounds("lower(query)")
     text = "lower(coalesce(title,'') || ' ' || coalesce(description,'') || ' ' || coalesce(tags,'') || ' ' || coalesce(category,''))"
     return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, topk ORDER BY score DESC, sim DESC, item_id) AS rnk FROM (
     SELECT *, round(0.85::DOUBLE * sim + 0.15::DOUBLE * duration_score, 9) AS score FROM (
       SELECT *, {duration_fit('duration_min', 'lo', 'hi')} AS duration_score FROM (
         SELECT w.query, w.topk, h.similarity AS sim, c.*, {lo.replace('query', 'w.query')} AS lo, {hi.replace('query', 'w.query')} AS hi
-        FROM ({WISHES}) w JOIN ({wish_topk(40)}) h ON h.qid = w.query AND h.rank <= 4 * w.topk JOIN ({CATALOG}) c USING (item_id)
+        FROM ({wishes}) w JOIN ({wish_topk(40, wishes)}) h ON h.qid = w.query AND h.rank <= 4 * w.topk JOIN ({CATALOG}) c USING (item_id)
         WHERE len({terms_of('w.query', TITLE_WORDS)}) = 0 OR len(list_filter({terms_of('w.query', TITLE_WORDS)}, lambda t: contains({text}, t))) > 0)))) WHERE rnk <= topk"""
 
 
@@ -368,6 +368,8 @@ SQL: dict[str, str] = {
     "batch_export": f"""WITH lines AS (SELECT p_name || ' ' || lower(p_type) AS query FROM part),
         hits AS ({sparse_topk(encoded('SELECT DISTINCT query AS qid, query FROM lines', 'qid', 'query'), CATALOG_VECTORS, TOPK)})
         SELECT query AS "Query", url AS "Assessment_url" FROM lines JOIN hits ON qid = query JOIN ({CATALOG}) USING (item_id)""",
+    "recommend_stream": f"""SELECT query, CAST(rnk AS INT) AS rank, title AS assessment_name, url AS assessment_url, sim AS similarity
+        FROM ({recommended("SELECT DISTINCT p_name || ' ' || lower(p_type) AS query, 3 AS topk FROM part")})""",
     "truth_sets": f"SELECT query, count(*) AS n_truth, count(DISTINCT norm) AS n_distinct FROM ({_TRUTH}) GROUP BY 1",
     "recall_at_k": f"SELECT query, n_truth, round(recall, 9) AS recall FROM ({RECALL})",
     "mean_recall": f"SELECT count(*) AS queries, round(avg(recall), 9) AS mean_recall FROM ({RECALL})",

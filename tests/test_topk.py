@@ -86,6 +86,19 @@ def test_huge_values_fall_back_to_double(spark):
     assert [r.item_id for r in top_k(q, items, 1).df.collect()] == [1]
 
 
+@pytest.mark.parametrize("way", WAYS)
+def test_vectors_that_are_no_numbers_are_no_hits(spark, way):
+    rng = np.random.default_rng(6)
+    q, x = rng.normal(size=(3, 4)), rng.normal(size=(40, 4))
+    x[::3] = np.nan
+    x[1] = np.inf
+    q[1] = np.nan
+    queries, items = tables(spark, q, x)
+    ids = [i for i in range(40) if i % 3 and i != 1]
+    want = [h for h in brute(q[[0, 2]], x[ids], ids, 30)]
+    assert got(top_k(queries, items, 30, **way)) == sorted((0 if h[0] == 0 else 2, *h[1:]) for h in want)
+
+
 @pytest.mark.parametrize("way", WAYS)
 def test_no_items_and_no_queries(spark, way):
     queries, items = tables(spark, np.ones((2, 3)), np.ones((2, 3)))
