@@ -63,6 +63,7 @@ def page_fields(
     pages: DataFrame,
     variant: str = "crawl",
     tag_classes: Sequence[str] = TAG_CLASSES,
+    short_hours: bool = False,
 ) -> DataFrame:
     """Typed fields of every page, next to the input columns other than ``html``.
 
@@ -94,7 +95,7 @@ def page_fields(
             "category": F.lit(""),
             "test_type": X.test_type_knowledge_first(body),
             "level": X.level_word(body),
-            "duration_min": X.duration_full(body),
+            "duration_min": X.duration_full(body, short_hours),
             "language": X.language(body),
             "tags": F.lit(""),
         }

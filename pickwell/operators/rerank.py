@@ -25,17 +25,25 @@ def clamp_topk(topk: Column, default: int = MAX_TOPK, most: int = MAX_TOPK) -> C
     return F.greatest(F.lit(1), F.least(F.lit(most), F.coalesce(F.nullif(topk, F.lit(0)), F.lit(default)))).cast("int")
 
 
-def clean_queries(queries: DataFrame, text: str = "query", topk: str | None = None, qid: str | None = None) -> DataFrame:
+def clean_queries(
+    queries: DataFrame,
+    text: str = "query",
+    topk: str | None = None,
+    qid: str | None = None,
+    trim: bool = True,
+) -> DataFrame:
     """``qid, query, topk, copies`` of the usable queries.
 
     Without an id column, equal queries become one row with the number of their
     copies, and the id is a hash of the text; so a query repeated many times is
-    searched once.
+    searched once. ``trim=False`` keeps the text as it is, as a batch export
+    repeats it.
     """
     wanted = clamp_topk(F.col(topk) if topk else F.lit(None).cast("int"))
+    query = strip(F.col(text)) if trim else F.col(text)
     df = queries.select(
-        *([F.col(qid).alias("qid")] if qid else []), strip(F.col(text)).alias("query"), wanted.alias("topk")
-    ).filter(F.col("query") != "")
+        *([F.col(qid).alias("qid")] if qid else []), query.alias("query"), wanted.alias("topk")
+    ).filter(strip(F.col("query")) != "")
     if qid:
         return df.withColumn("copies", F.lit(1).cast("bigint"))
     counted = df.groupBy("query", "topk").agg(F.count("*").alias("copies"))

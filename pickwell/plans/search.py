@@ -36,6 +36,7 @@ def recommend(
     encoder=HashEncoder(),
     vocabulary: Sequence[str] = X.STRONG_TERMS,
     whole_word: bool = False,
+    short_hours: bool = False,
     overfetch: int = OVERFETCH,
     **options,
 ) -> DataFrame:
@@ -43,9 +44,11 @@ def recommend(
 
     Fetches ``overfetch * topk`` by similarity, drops off-topic hits, blends
     similarity with the fit to the wished duration, and ranks again.
+    ``whole_word`` keeps a term such as "r" from matching inside other words,
+    ``short_hours`` reads "hr" and "hrs" as hours.
     """
     hits = find(queries, index, overfetch * MAX_TOPK, encoder, **options)
-    window = X.duration_window(F.col("query"))
+    window = X.duration_window(F.col("query"), short_hours=short_hours)
     # what the rules need of a query; distinct terms, so its size is bounded by the vocabulary
     wishes = queries.select(
         "qid",

@@ -66,6 +66,11 @@ def write_metadata(catalog: DataFrame, path: str) -> None:
     conform(catalog).write.mode("overwrite").parquet(path)
 
 
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """Catalog columns written by ``write_metadata``."""
+    return conform(spark.read.parquet(path))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(header="true", quote='"', escape='"', encoding="UTF-8").csv(path)
 
@@ -84,6 +89,11 @@ def write_merged_catalog(catalog: DataFrame, added: DataFrame, path: str) -> boo
     return True
 
 
+def write_result_view(view: DataFrame, path: str) -> None:
+    """The rows people see, under their display names."""
+    write_csv(view, path)
+
+
 def write_batch_export(rows: DataFrame, path: str) -> None:
     """Result pairs of a query file; the header is written even without rows."""
     write_csv(rows.select("Query", "Assessment_url"), path)

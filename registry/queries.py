@@ -395,7 +395,7 @@ def response_nested(spark, sf_dir):
 def batch_export(spark, sf_dir):
     """A query file with repeated lines: one query per part, equal ones searched once."""
     lines = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("query"))
-    queries = R.clean_queries(lines)
+    queries = R.clean_queries(lines, trim=False)
     return O.batch_export(queries, search(queries, _index(spark, sf_dir), TOPK, ENCODER))
 
 

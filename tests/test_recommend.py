@@ -39,6 +39,8 @@ def test_clean_queries_clamp_count_and_reject(spark):
     got = sorted((r.query, r.topk, r.copies) for r in R.clean_queries(raw, topk="topk").collect())
     assert got == [("a", 3, 1), ("a", 10, 3), ("b", 1, 1)]
     assert sorted(r.reason for r in R.query_rejects(raw).collect()) == ["empty query", "no query"]
+    raw_texts = R.clean_queries(raw, trim=False).select("query").collect()
+    assert sorted(r.query for r in raw_texts) == [" a ", "a", "b"]
     kept = R.clean_queries(raw.withColumn("id", F.monotonically_increasing_id()), topk="topk", qid="id")
     assert kept.count() == 5 and kept.select("qid").distinct().count() == 5
 

@@ -7,6 +7,7 @@ import pytest
 from pickwell.functions.vectors import HashEncoder
 from pickwell.operators.dedup import conform
 from pickwell.plans.index import build_index, require_encoder
+from pickwell.plans.results import result_view
 from pickwell.schemas import CATALOG_COLUMNS, CATALOG_SCHEMA
 from pickwell.sources import tables as S
 
@@ -71,6 +72,15 @@ def test_index_keeps_vectors_and_encoder(spark, catalog, tmp_path):
     meta = str(tmp_path / "meta")
     S.write_metadata(back, meta)
     assert spark.read.parquet(meta).columns == CATALOG_COLUMNS
+    assert sorted(map(str, S.read_metadata(spark, meta).collect())) == sorted(map(str, catalog.collect()))
+
+
+def test_result_view_csv(spark, catalog, tmp_path):
+    path = str(tmp_path / "view")
+    S.write_result_view(result_view(catalog), path)
+    back = S._read_csv(spark, path)
+    assert back.columns == ["Assessment", "URL", "Type", "Level", "Language", "Duration (min)", "Description"]
+    assert back.orderBy("URL").first()["Assessment"] == TRICKY
 
 
 def test_merge_is_written_only_if_something_is_added(spark, catalog, tmp_path):
