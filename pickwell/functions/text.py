@@ -77,6 +77,7 @@ def is_bundle(title: Column, marks: Sequence[str] = BUNDLE_MARKS) -> Column:
 
 # ---------------------------------------------------------------- durations
 
+# The units pages and queries are searched for.
 _PAGE_MINUTES = f"{SPACE}*(minutes|min){WORD_END}"
 _PAGE_HOURS = f"{SPACE}*(hours|hour|hrs|hr){WORD_END}"
 _QUERY_UNIT = f"{SPACE}*(hour|hr|hours|hrs|minute|min|minutes){WORD_END}"

@@ -13,6 +13,7 @@ from pickwell.functions.strings import contains_any, let, null_to_blank, strip
 from pickwell.functions.urls import resolve_href
 from pickwell.operators.dedup import keep_first
 
+# Parts of a product URL, and classes of tag elements.
 PRODUCT_PATHS = ("/products/", "/solutions/products/")
 TAG_CLASSES = ("tag", "badge", "label")
 

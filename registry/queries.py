@@ -21,7 +21,7 @@ from pickwell.plans import evaluate as E
 from pickwell.plans import results as O
 from pickwell.plans.index import build_index
 from pickwell.plans.search import recommend, search
-from pickwell.session import shared_folder
+from pickwell.session import materialise, shared_folder
 from pickwell.streaming.recommend import recommend_stream
 from registry import inputs as I
 from registry.inputs import derived, derived_queries, table
@@ -273,7 +273,8 @@ def augment_rows(spark, sf_dir):
 
 
 def catalog_merge(spark, sf_dir):
-    known = _known(spark, sf_dir)
+    # read twice by the merge, as the stored catalog it stands for
+    known = materialise(_known(spark, sf_dir))
     return C.augment_catalog(known, _page_pairs(spark, sf_dir), derived(spark, sf_dir, I.PAGES))
 
 
@@ -300,10 +301,10 @@ def build_doc(spark, sf_dir):
     return _catalog(spark, sf_dir).select("item_id", X.document().alias("doc"))
 
 
-def _cells(df: DataFrame, key: str) -> DataFrame:
+def _cells(df: DataFrame, *keys: str) -> DataFrame:
     """Non-zero cells of the vectors, to compare them."""
-    exploded = df.select(key, F.posexplode("embedding").alias("bucket", "weight")).filter("weight <> 0")
-    return exploded.select(key, "bucket", F.round(F.col("weight").cast("double"), 9).alias("weight"))
+    exploded = df.select(*keys, F.posexplode("embedding").alias("bucket", "weight")).filter("weight <> 0")
+    return exploded.select(*keys, "bucket", F.round(F.col("weight").cast("double"), 9).alias("weight"))
 
 
 def hash_encode(spark, sf_dir):
@@ -312,8 +313,7 @@ def hash_encode(spark, sf_dir):
 
 
 def build_index_query(spark, sf_dir):
-    index = _index(spark, sf_dir)
-    return _cells(index, "item_id").join(index.select("item_id", "title", "url", "duration_min"), "item_id")
+    return _cells(_index(spark, sf_dir), "item_id", "title", "url", "duration_min")
 
 
 def text_topk(spark, sf_dir):

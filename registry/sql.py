@@ -6,8 +6,8 @@ the derivations of the inputs are shared.
 
 from __future__ import annotations
 
+from pickwell.functions import text as X
 from pickwell.functions.strings import WHITESPACE
-from pickwell.functions.text import STRONG_TERMS
 from registry import inputs as I
 from registry.queries import ENCODER, LINK_PATHS, PROSE_K, PROSE_LEVELS, PROSE_P, SITE, TITLE_WORDS, TOPK
 
@@ -70,19 +70,11 @@ def first_level(x: str, levels, word: bool = False) -> str:
     return "CASE " + " ".join(f"WHEN {test(w)} THEN '{w.capitalize()}'" for w in levels) + " END"
 
 
-P_CRAWL = ["personality", "behavior", "behaviour", "openness", "conscientiousness"]
-K_CRAWL = ["knowledge", "skill", "technical", "coding", "numerical", "verbal", "logical", "cognitive", "aptitude"]
-P_AUGMENT = ["personality", "behavior", "behaviour", "interpersonal", "communication", "situational judgment", "sjq", "sjt"]
-K_AUGMENT = K_CRAWL + ["programming", "python", "java", "sql", "automata"]
-L_CRAWL = ["entry", "graduate", "junior", "mid", "senior", "manager", "lead"]
-L_AUGMENT = ["graduate", "entry", "junior", "mid", "senior", "manager", "lead"]
-
-
-def type_p_first(x: str, p=P_CRAWL, k=K_CRAWL) -> str:
+def type_p_first(x: str, p=X.PERSONALITY_CRAWL, k=X.KNOWLEDGE_CRAWL) -> str:
     return f"CASE WHEN {any_of(x, p)} THEN 'P' WHEN {any_of(x, k)} THEN 'K' END"
 
 
-def type_k_first(x: str, p=P_AUGMENT, k=K_AUGMENT) -> str:
+def type_k_first(x: str, p=X.PERSONALITY_AUGMENT, k=X.KNOWLEDGE_AUGMENT) -> str:
     return f"CASE WHEN {any_of(x, k)} THEN 'K' WHEN {any_of(x, p)} THEN 'P' END"
 
 
@@ -232,18 +224,18 @@ def page_fields(variant: str, source: str = PAGES) -> str:
     )
     if variant == "crawl":
         fields = f"""{heading(m)} AS title, coalesce({meta(m, 'name', 'description')}, {paragraph(m)}) AS description,
-          {crumb} AS category, {type_p_first(low)} AS test_type, {first_level(low, L_CRAWL)} AS level,
+          {crumb} AS category, {type_p_first(low)} AS test_type, {first_level(low, X.LEVELS_CRAWL)} AS level,
           {simple_minutes(low)} AS duration_min, CASE WHEN contains(low, 'english') THEN 'English' END AS language, {tags} AS tags"""
     else:
         fields = f"""coalesce({heading(m)}, {meta(m, 'property', 'og:title')}) AS title,
           coalesce({meta(m, 'name', 'description')}, {meta(m, 'property', 'og:description')}, {paragraph(m)}) AS description,
-          '' AS category, {type_k_first(low)} AS test_type, {first_level(low, L_AUGMENT, True)} AS level,
+          '' AS category, {type_k_first(low)} AS test_type, {first_level(low, X.LEVELS_AUGMENT, True)} AS level,
           {full_minutes(low)} AS duration_min, CASE WHEN contains(low, 'english') THEN 'English' END AS language, '' AS tags"""
     return f"""SELECT page_id, url, {fields} FROM (SELECT *, lower({text_of('m', ' ')}) AS low FROM (
       SELECT page_id, url, {visible('html')} AS m FROM ({source})))"""
 
 
-BUNDLES = ["pre-packaged", "prepackaged", "job solution", "solution:"]
+BUNDLES = X.BUNDLE_MARKS
 
 
 def built_catalog(source: str = PAGES) -> str:
@@ -321,8 +313,8 @@ SQL: dict[str, str] = {
     "classify_type_p_first": f"SELECT item_id, {type_p_first('low')} AS test_type FROM ({TEXTS})",
     "classify_type_k_first": f"SELECT item_id, {type_k_first('low')} AS test_type FROM ({TEXTS})",
     "classify_language": f"SELECT item_id, CASE WHEN low LIKE '%english%' THEN 'English' END AS language FROM ({TEXTS})",
-    "classify_level_substring": f"SELECT item_id, {first_level('low', L_CRAWL)} AS level FROM ({TEXTS})",
-    "classify_level_word": f"SELECT item_id, {first_level('low', L_AUGMENT, True)} AS level FROM ({TEXTS})",
+    "classify_level_substring": f"SELECT item_id, {first_level('low', X.LEVELS_CRAWL)} AS level FROM ({TEXTS})",
+    "classify_level_word": f"SELECT item_id, {first_level('low', X.LEVELS_AUGMENT, True)} AS level FROM ({TEXTS})",
     "classify_documents": f"""SELECT doc_id, {type_p_first('low', PROSE_P, PROSE_K)} AS p_first, {type_k_first('low', PROSE_P, PROSE_K)} AS k_first,
         {first_level('low', PROSE_LEVELS)} AS level_substring,
         CASE {' '.join(f"WHEN regexp_matches(low, '(^|[^{chr(92)}pL{chr(92)}pN_]){w}([^{chr(92)}pL{chr(92)}pN_]|$)') THEN '{w.capitalize()}'" for w in PROSE_LEVELS)} END AS level_word,
@@ -331,7 +323,7 @@ SQL: dict[str, str] = {
     "duration_full": f"SELECT item_id, {full_minutes('low')} AS minutes, {full_minutes('low', True)} AS minutes_with_hr FROM ({TEXTS})",
     "duration_window": f"SELECT item_id, {_lo} AS lo, {_hi} AS hi, {_lo_hr} AS lo_with_hr, {_hi_hr} AS hi_with_hr FROM ({TEXTS})",
     "exclude_bundles": f"SELECT page_id, title FROM (SELECT page_id, {heading(visible('html'))} AS title FROM ({PAGES})) WHERE title IS NOT NULL AND NOT {any_of('lower(title)', BUNDLES)}",
-    "strong_terms": f"SELECT item_id, array_to_string({terms_of('text', STRONG_TERMS)}, ' ') AS terms, array_to_string({terms_of('text', TITLE_WORDS)}, ' ') AS title_terms FROM ({TEXTS})",
+    "strong_terms": f"SELECT item_id, array_to_string({terms_of('text', X.STRONG_TERMS)}, ' ') AS terms, array_to_string({terms_of('text', TITLE_WORDS)}, ' ') AS title_terms FROM ({TEXTS})",
     "missing_labelled_urls": f"""SELECT relevant_url AS url, count(*) AS mentions FROM ({PAIRS})
         WHERE {norm_url('relevant_url')} NOT IN (SELECT {norm_url('url')} FROM ({KNOWN})) GROUP BY 1""",
     "augment_rows": AUGMENTED,

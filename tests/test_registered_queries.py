@@ -39,6 +39,8 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_query_equals_sql(spark, duck, sf_dir, name):
     df = contract.queries()[name](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     result = duck.execute(contract.oracle_sql()[name])
     types = {c[0]: str(c[1]) for c in result.description}
     assert {f.name: TYPES[f.dataType.simpleString()] for f in df.schema} == types
