@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from pickwell.operators.topk import Hits
 from pickwell.session import materialise
 
-# Hits are broadcast up to this many rows (four short columns each).
-MAX_BROADCAST_ROWS = 200_000
+# Hits (four short columns) are broadcast unmeasured up to this many rows.
+MAX_BROADCAST_ROWS = 100_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def _bytes(df: DataFrame, *columns: str) -> int:
+    """Measured size of the columns, with an allowance for each row."""
+    lengths = [F.octet_length(F.col(c).cast("string")) for c in columns]
+    return df.agg(F.sum(sum(lengths, F.lit(32)))).first()[0] or 0
+
+
 def restrict_to(wide: DataFrame, wanted: DataFrame, key: str, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Rows of ``wide`` whose key is wanted, if that can be told without shuffling ``wide``.
 
@@ -20,8 +26,7 @@ def restrict_to(wide: DataFrame, wanted: DataFrame, key: str, max_bytes: int = M
     it is, and the caller's own join, made on narrower rows, does the selecting.
     ``wanted`` is read twice: pass a materialised table.
     """
-    size = wanted.agg(F.sum(F.octet_length(key) + 16).alias("bytes")).first()["bytes"] or 0
-    if size > max_bytes:
+    if _bytes(wanted, key) > max_bytes:
         return wide
     return wide.join(F.broadcast(wanted.select(key)), key, "left_semi")
 
@@ -47,11 +52,21 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, spread_by: str, salts
     return salted.drop("_hot").join(spread.drop("_hot"), [key, "_salt"]).drop("_salt")
 
 
-def gather_items(hits: Hits, items: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def gather_items(
+    hits: Hits,
+    items: DataFrame,
+    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+) -> DataFrame:
     """Hits with the columns of their items, joined only after the top-k cut.
 
-    Few hits travel to the item table, which is then read once without a shuffle.
+    Hits small enough travel to the item table, which is then read once without
+    a shuffle: at once if their number is known to be low, else after they were
+    stored and measured. Above that both sides are shuffled, frequent items salted.
     """
     if hits.max_rows is not None and hits.max_rows <= max_broadcast_rows:
         return items.join(F.broadcast(hits.df), "item_id")
-    return salted_join(materialise(hits.df), items, "item_id", spread_by="qid")
+    rows = materialise(hits.df)
+    if _bytes(rows, "qid", "item_id") <= max_broadcast_bytes:
+        return items.join(F.broadcast(rows), "item_id")
+    return salted_join(rows, items, "item_id", spread_by="qid")

@@ -59,9 +59,8 @@ def recommend(
     )
     if hits.max_rows is not None and hits.max_rows <= MAX_BROADCAST_ROWS:
         wishes = F.broadcast(wishes)
-    fetched = hits.df.join(wishes, "qid").filter(F.col("rank") <= F.col("topk") * overfetch)
-    items = index.select("item_id", *CATALOG_COLUMNS)
-    full = keyword_gate(gather_items(Hits(fetched, hits.max_rows), items), "terms", whole_word)
+    found = gather_items(hits, index.select("item_id", *CATALOG_COLUMNS)).join(wishes, "qid")
+    full = keyword_gate(found.filter(F.col("rank") <= F.col("topk") * overfetch), "terms", whole_word)
     scored = full.withColumn("duration_score", duration_score(F.col("duration_min"), F.col("lo"), F.col("hi")))
     return final_rank(scored).select(
         "qid", "rank", "item_id", *CATALOG_COLUMNS, "similarity", "duration_score", "score"

@@ -145,9 +145,14 @@ def test_gather_is_the_same_by_broadcast_and_by_shuffle(spark):
         F.col("id").alias("qid"), (F.col("id") % 5).alias("item_id"), F.lit(1).alias("rank"), F.lit(0.5).alias("similarity")
     )
     items = spark.range(9).select(F.col("id").alias("item_id"), F.concat(F.lit("t"), "id").alias("title"))
-    small = gather_items(Hits(hits, 400), items).select("qid", "item_id", "title")
-    large = gather_items(Hits(hits, None), items).select("qid", "item_id", "title")
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    ways = [
+        gather_items(Hits(hits, 400), items),
+        gather_items(Hits(hits, 400), items, max_broadcast_rows=399),
+        gather_items(Hits(hits, None), items, max_broadcast_bytes=0),
+    ]
+    first, *others = [sorted(map(tuple, w.select("qid", "item_id", "title").collect())) for w in ways]
+    assert len(first) == 400 and all(o == first for o in others)
+    assert "_salt" in ways[2]._jdf.queryExecution().toString()
 
 
 def test_restrict_to_measures_before_it_broadcasts(spark):
