@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 DIGITS = 9
 MAX_QUERY_BYTES = 32 * 1024 * 1024
-QUERY_BLOCK_ROWS = 32_768
-ITEM_BLOCK_ROWS = 131_072
+QUERY_BLOCK_BYTES = 64 * 1024 * 1024
+ITEM_BLOCK_BYTES = 128 * 1024 * 1024
 SCAN_TASKS = 20_000
 _SCORE_CELLS = 4_000_000
 
@@ -68,16 +68,17 @@ def top_k(
     items: DataFrame,
     k: int,
     max_query_bytes: int = MAX_QUERY_BYTES,
-    query_block_rows: int = QUERY_BLOCK_ROWS,
-    item_block_rows: int = ITEM_BLOCK_ROWS,
+    query_block_rows: int | None = None,
+    item_block_rows: int | None = None,
     scan_tasks: int = SCAN_TASKS,
     dim: int | None = None,
 ) -> Hits:
     """The k best items of each query.
 
     ``queries``: ``qid, qvec``; ``items``: ``item_id, embedding``. Ids are unique
-    on each side. Fewer items than k give fewer rows. ``dim`` spares the check of
-    the vectors' sizes. ``scan_tasks`` bounds the tasks of the first way, and with
+    on each side. Fewer items than k give fewer rows. The width of the vectors is
+    that of the first one unless ``dim`` tells it; a task that meets another width
+    fails with a message. ``scan_tasks`` bounds the tasks of the first way, and with
     them the candidates shuffled: at most k per query and task.
     """
     queries, items = queries.select("qid", "qvec"), items.select("item_id", "embedding")
@@ -85,19 +86,30 @@ def top_k(
     out = T.StructType(
         [T.StructField("qid", qtype), T.StructField("item_id", itype), T.StructField("similarity", T.DoubleType())]
     )
+    dim = dim or _first_dim(queries, items)
     # Counting reads ids only; vectors are fetched once their number is known to fit.
     n = queries.count()
-    if n * (dim or require_same_dims(queries, items)) * 8 <= max_query_bytes:
+    if n * dim * 8 <= max_query_bytes:
         candidates = _scan_items(queries.toArrow(), items.coalesce(scan_tasks), k, out)
         bound = n * k
     else:
-        candidates = _grid(queries, items, k, query_block_rows, item_block_rows, out)
+        query_rows = query_block_rows or max(1, QUERY_BLOCK_BYTES // (4 * dim))
+        item_rows = item_block_rows or max(1, ITEM_BLOCK_BYTES // (4 * dim))
+        candidates = _grid(queries, items, k, query_rows, item_rows, out)
         bound = None
     w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "item_id")
     ranked = candidates.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return Hits(ranked.select("qid", "item_id", "rank", "similarity"), bound)
 
 
+def _first_dim(queries: DataFrame, items: DataFrame) -> int:
+    firsts = [df.select(F.size(c)).first() for df, c in ((queries, "qvec"), (items, "embedding"))]
+    widths = sorted({r[0] for r in firsts if r and r[0]})
+    if len(widths) > 1:
+        raise ValueError(f"vectors of different dimension: {widths}; were they made by the same encoder?")
+    return max(widths, default=1)
+
+
 def _scan_items(block: pa.Table, items: DataFrame, k: int, out: T.StructType) -> DataFrame:
     if block.num_rows == 0:
         return items.sparkSession.createDataFrame([], out)

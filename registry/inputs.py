@@ -35,6 +35,13 @@ QUERIES = [
 ]
 QUERY_KEYS = ["p_name", "p_brand"]
 
+# part -> lines of a query file: padded, blank, missing and repeated ones
+LINES = [
+    ("item_id", "p_partkey"),
+    ("query", "CASE WHEN p_size <= 5 THEN repeat(' ', p_size) WHEN p_size > 6 THEN repeat(' ', p_size) || p_name || '  ' END"),
+    ("topk", "p_size - 20"),
+]
+
 # part -> labelled pairs, the URL in another spelling than the catalog's
 PAIRS = [
     ("query", "p_name || ' ' || p_brand"),

@@ -333,14 +333,11 @@ def clamp_topk(spark, sf_dir):
 
 
 def clean_queries(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").withColumn("second", F.get(F.split("text", "\n"), F.lit(1)))
-    return R.clean_queries(turns, text="second").select("qid", "query", "topk", "copies")
+    return R.clean_queries(derived(spark, sf_dir, I.LINES), topk="topk")
 
 
 def recommend_rejects(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
-    first = F.regexp_replace("text", r"^[^\n]*\n?", "")
-    return R.query_rejects(turns.select("conv_id", "turn", first.alias("query"))).select("conv_id", "turn", "query", "reason")
+    return R.query_rejects(derived(spark, sf_dir, I.LINES)).select("item_id", "query", "reason")
 
 
 def topk_with_meta(spark, sf_dir):

@@ -339,10 +339,10 @@ SQL: dict[str, str] = {
     "text_topk": f"""SELECT qid, item_id, CAST(rank AS INT) AS rank, similarity FROM ({sparse_topk(
         encoded('SELECT item_id AS qid, text FROM benchmark', 'qid', 'text'), encoded('SELECT doc_id AS item_id, text FROM documents', 'item_id', 'text'), TOPK)})""",
     "clamp_topk": "SELECT p_partkey, CAST(CASE WHEN p_size IN (20, 27) THEN 10 WHEN p_size < 20 THEN 1 ELSE least(10, p_size - 20) END AS INT) AS topk FROM part",
-    "clean_queries": f"""SELECT sha256('10' || chr(1) || query) AS qid, query, CAST(10 AS INT) AS topk, count(*) AS copies
-        FROM (SELECT {strip("string_split(text, chr(10))[2]")} AS query FROM conversations) WHERE query <> '' GROUP BY query""",
-    "recommend_rejects": rf"""SELECT conv_id, turn, query, 'empty query' AS reason FROM (SELECT *, regexp_replace(text, '^[^\n]*\n?', '') AS query FROM conversations)
-        WHERE {strip('query')} = ''""",
+    "clean_queries": f"""SELECT sha256(topk || chr(1) || query) AS qid, query, topk, count(*) AS copies FROM (SELECT {strip('query')} AS query,
+        CAST(greatest(1, least(10, coalesce(nullif(topk, 0), 10))) AS INT) AS topk FROM ({I.derived_sql(I.LINES)})) WHERE query <> '' GROUP BY query, topk""",
+    "recommend_rejects": f"""SELECT item_id, query, CASE WHEN query IS NULL THEN 'no query' ELSE 'empty query' END AS reason
+        FROM ({I.derived_sql(I.LINES)}) WHERE query IS NULL OR {strip('query')} = ''""",
     "topk_with_meta": f"""SELECT w.query, CAST(h.rank AS INT) AS rank, h.similarity, c.item_id, c.title, c.url, c.category, c.tags, c.duration_min
         FROM ({WISHES}) w JOIN ({wish_topk(5)}) h ON h.qid = w.query JOIN ({CATALOG}) c USING (item_id)""",
     "keyword_gate": f"""SELECT w.query, CAST(h.rank AS INT) AS rank, c.item_id, c.title
