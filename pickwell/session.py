@@ -13,6 +13,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files go once nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # recording a Python call site per column expression doubles the time to build a plan
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
