@@ -40,7 +40,8 @@ def extract_links(
         chosen,
         lambda l: F.struct(l["pos"].alias("pos"), H.text_of(l["anchor"], "").alias("title"), l["url"].alias("url")),
     )
-    return pages.select("page_id", F.inline(F.filter(titled, lambda l: F.length(l["title"]) >= min_text)))
+    long_enough = F.filter(titled, lambda l: F.length(l["title"]) >= min_text)
+    return pages.select("page_id", F.inline(long_enough))
 
 
 def dedup_links(links: DataFrame) -> DataFrame:

@@ -75,8 +75,8 @@ def vector_normalize(spark, sf_dir):
     scaled = table(spark, sf_dir, "embeddings").withColumn(
         "v", F.transform("embedding", lambda x: x.cast("double") * F.col("label"))
     )
-    unit = scaled.select("vec_id", V.norm(F.col("v")).alias("norm"), V.normalize(F.col("v")).alias("unit"))
-    return unit.select("vec_id", _round("norm"), F.posexplode("unit").alias("pos", "x")).select(
+    unit = F.transform(V.normalize(F.col("v")), lambda x, i: F.struct(i.alias("pos"), x.alias("x")))
+    return scaled.select("vec_id", F.round(V.norm(F.col("v")), 9).alias("norm"), F.inline(unit)).select(
         "vec_id", "norm", "pos", _round("x")
     )
 
@@ -302,9 +302,14 @@ def build_doc(spark, sf_dir):
 
 
 def _cells(df: DataFrame, *keys: str) -> DataFrame:
-    """Non-zero cells of the vectors, to compare them."""
-    exploded = df.select(*keys, F.posexplode("embedding").alias("bucket", "weight")).filter("weight <> 0")
-    return exploded.select(*keys, "bucket", F.round(F.col("weight").cast("double"), 9).alias("weight"))
+    """Non-zero cells of the vectors, to compare them.
+
+    Exploding the bare column would make the optimizer test its size first, and
+    for that run the encoder a second time below.
+    """
+    cells = F.transform("embedding", lambda w, i: F.struct(i.alias("bucket"), w.cast("double").alias("weight")))
+    exploded = df.select(*keys, F.inline(F.filter(cells, lambda c: c["weight"] != 0)))
+    return exploded.select(*keys, "bucket", _round("weight"))
 
 
 def hash_encode(spark, sf_dir):

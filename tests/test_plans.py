@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pickwell.operators.dedup import keep_first
+from pickwell.operators.pages import extract_links, page_fields, page_rejects, page_titles
 from pickwell.operators.topk import top_k
 from pickwell.plans.index import build_index
-from registry.inputs import CATALOG, derived
+from registry.inputs import CATALOG, PAGES, derived
+from registry.queries import QUERIES
 
 
 def plan(df) -> str:
@@ -41,3 +43,10 @@ def test_page_markup_is_never_shuffled(spark, sf_dir, tmp_path):
     assert "html#" not in above_scan[: above_scan.index("Exchange")].split("Project")[-1]
     # the parser runs once: no filter was pushed below it
     assert above_scan.count("</script") == 1
+
+
+def test_expensive_steps_run_once(spark, sf_dir):
+    pages = derived(spark, sf_dir, PAGES)
+    for df in (extract_links(pages, "https://x.com"), page_rejects(pages), page_titles(pages), page_fields(pages)):
+        assert plan(df).count(r"</script\s") == 1
+    assert plan(QUERIES["hash_encode"](spark, sf_dir)).count("ArrowEvalPython") == 1
