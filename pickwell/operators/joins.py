@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from pickwell.operators.topk import Hits
 from pickwell.session import materialise
 
-# Hits (four short columns) are broadcast unmeasured up to this many rows.
-MAX_BROADCAST_ROWS = 100_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -52,19 +50,14 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, spread_by: str, salts
     return salted.drop("_hot").join(spread.drop("_hot"), [key, "_salt"]).drop("_salt")
 
 
-def gather_items(
-    hits: Hits,
-    items: DataFrame,
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-) -> DataFrame:
+def gather_items(hits: Hits, items: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Hits with the columns of their items, joined only after the top-k cut.
 
     Hits small enough travel to the item table, which is then read once without
-    a shuffle: at once if their number is known to be low, else after they were
-    stored and measured. Above that both sides are shuffled, frequent items salted.
+    a shuffle: at once if a bound of their size is known, else after they were
+    stored and measured. Above the limit both sides are shuffled, frequent items salted.
     """
-    if hits.max_rows is not None and hits.max_rows <= max_broadcast_rows:
+    if hits.max_bytes is not None and hits.max_bytes <= max_broadcast_bytes:
         return items.join(F.broadcast(hits.df), "item_id")
     rows = materialise(hits.df)
     if _bytes(rows, "qid", "item_id") <= max_broadcast_bytes:

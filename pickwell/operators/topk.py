@@ -37,10 +37,24 @@ _SCORE_CELLS = 4_000_000
 
 @dataclass
 class Hits:
-    """Top-k rows ``qid, item_id, rank, similarity`` and, when known, a bound of their number."""
+    """Top-k rows ``qid, item_id, rank, similarity`` and what is known of their size.
+
+    ``queries`` and ``query_bytes`` (of their ids) are set if the queries were few
+    enough to be counted out, ``item_bytes`` if item ids have a fixed width.
+    """
 
     df: DataFrame
-    max_rows: int | None
+    k: int
+    queries: int | None = None
+    query_bytes: int | None = None
+    item_bytes: int | None = None
+
+    @property
+    def max_bytes(self) -> int | None:
+        """A proven bound of the size of all rows, or None."""
+        if self.queries is None or self.item_bytes is None:
+            return None
+        return self.k * (self.query_bytes + self.queries * (self.item_bytes + 32))
 
 
 def check_dims(queries: DataFrame, items: DataFrame, qvec: str = "qvec", ivec: str = "embedding") -> DataFrame:
@@ -90,16 +104,18 @@ def top_k(
     # Counting reads ids only; vectors are fetched once their number is known to fit.
     n = queries.count()
     if n * dim * 8 <= max_query_bytes:
-        candidates = _scan_items(queries.toArrow(), items.coalesce(scan_tasks), k, out)
-        bound = n * k
+        block = queries.toArrow()
+        candidates = _scan_items(block, items.coalesce(scan_tasks), k, out)
+        size = {"queries": block.num_rows, "query_bytes": block["qid"].nbytes}
     else:
         query_rows = query_block_rows or max(1, QUERY_BLOCK_BYTES // (4 * dim))
         item_rows = item_block_rows or max(1, ITEM_BLOCK_BYTES // (4 * dim))
         candidates = _grid(queries, items, k, query_rows, item_rows, out)
-        bound = None
+        size = {}
     w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "item_id")
     ranked = candidates.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return Hits(ranked.select("qid", "item_id", "rank", "similarity"), bound)
+    item_bytes = 8 if isinstance(itype, T.IntegralType) else None
+    return Hits(ranked.select("qid", "item_id", "rank", "similarity"), k, item_bytes=item_bytes, **size)
 
 
 def _first_dim(queries: DataFrame, items: DataFrame) -> int:

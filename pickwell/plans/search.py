@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pickwell.functions import text as X
 from pickwell.functions.vectors import HashEncoder
-from pickwell.operators.joins import MAX_BROADCAST_ROWS, gather_items
+from pickwell.operators.joins import MAX_BROADCAST_BYTES, gather_items
 from pickwell.operators.rerank import MAX_TOPK, OVERFETCH, duration_score, final_rank, keyword_gate
 from pickwell.operators.topk import Hits, top_k
 from pickwell.plans.index import require_encoder
@@ -57,8 +57,10 @@ def recommend(
         window["lo"].alias("lo"),
         window["hi"].alias("hi"),
     )
-    if hits.max_rows is not None and hits.max_rows <= MAX_BROADCAST_ROWS:
-        wishes = F.broadcast(wishes)
+    if hits.queries is not None:
+        per_query = sum(len(word.encode()) + 16 for word in vocabulary) + 64
+        if hits.query_bytes + hits.queries * per_query <= MAX_BROADCAST_BYTES:
+            wishes = F.broadcast(wishes)
     found = gather_items(hits, index.select("item_id", *CATALOG_COLUMNS)).join(wishes, "qid")
     full = keyword_gate(found.filter(F.col("rank") <= F.col("topk") * overfetch), "terms", whole_word)
     scored = full.withColumn("duration_score", duration_score(F.col("duration_min"), F.col("lo"), F.col("hi")))

@@ -44,6 +44,13 @@ def test_equals_brute_force(spark, way, k):
     assert got(top_k(queries, items, k, **way)) == sorted(brute(q, x, list(range(200)), k))
 
 
+def test_the_size_of_few_hits_is_known(spark):
+    queries, items = tables(spark, np.ones((3, 2)), np.ones((9, 2)))
+    assert top_k(queries, items, 5).max_bytes == 5 * (3 * 4 + 3 * 40)
+    assert top_k(queries, items.withColumn("item_id", F.col("item_id").cast("string")), 5).max_bytes is None
+    assert top_k(queries, items, 5, **WAYS[1]).max_bytes is None
+
+
 @pytest.mark.parametrize("way", WAYS)
 def test_copies_holding_a_third_of_all_rows_rank_by_id(spark, way):
     rng = np.random.default_rng(4)
@@ -146,9 +153,9 @@ def test_gather_is_the_same_by_broadcast_and_by_shuffle(spark):
     )
     items = spark.range(9).select(F.col("id").alias("item_id"), F.concat(F.lit("t"), "id").alias("title"))
     ways = [
-        gather_items(Hits(hits, 400), items),
-        gather_items(Hits(hits, 400), items, max_broadcast_rows=399),
-        gather_items(Hits(hits, None), items, max_broadcast_bytes=0),
+        gather_items(Hits(hits, 1, queries=400, query_bytes=3200, item_bytes=8), items),
+        gather_items(Hits(hits, 1, queries=400, query_bytes=3200), items),
+        gather_items(Hits(hits, 1), items, max_broadcast_bytes=0),
     ]
     first, *others = [sorted(map(tuple, w.select("qid", "item_id", "title").collect())) for w in ways]
     assert len(first) == 400 and all(o == first for o in others)
