@@ -186,13 +186,18 @@ def mix_plan(
     return out.withColumn("taken", F.col("size") * F.size("draws"))
 
 
-def mix(docs: DataFrame, shards: int = 8, key: str = "doc_id", **options) -> DataFrame:
-    """The mixed rows: each document as often as it is drawn, with ``mix_shard`` and, to be
-    sorted by inside the shard, ``mix_order``; the columns of ``docs`` come along."""
+def mix(docs: DataFrame, shards: int = 8, key: str = "doc_id", slices: int = 64, **options) -> DataFrame:
+    """The mixed rows: each document as often as it is drawn, with all columns of ``docs``.
+
+    ``mix_shard`` is the output shard; inside it rows lie in the random order of
+    ``mix_order``, in ``slices`` consecutive partitions so that no task holds a whole shard.
+    """
     old = [c for c in docs.columns if c not in (*ADDED, "mix_shard", "mix_order")]
     planned = mix_plan(docs.select(*[F.col(f"`{c}`") for c in old]), key=key, shards=shards, **options)
     taken = planned.select(*[F.col(f"`{c}`") for c in old], F.posexplode("draws").alias("_time", "mix_shard"))
-    return taken.withColumn("mix_order", _hash(F.col("mix_shard"), F.col("_time"), F.col(key).cast("string"))).drop("_time")
+    placed = taken.withColumn("mix_order", _hash(F.col("mix_shard"), F.col("_time"), F.col(key).cast("string"))).drop("_time")
+    piece = F.floor(F.col("mix_order") / F.lit(2.0**64 / slices))
+    return placed.repartition("mix_shard", piece).sortWithinPartitions("mix_shard", "mix_order")
 
 
 def mixing_query(docs: DataFrame) -> DataFrame:

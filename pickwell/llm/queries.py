@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pickwell.llm import chat, langid, mixing, sentencepiece, sharding, toxicity
+from pickwell.llm import chat, jaccard, langid, lm, mixing, sentencepiece, sharding, topk, toxicity, vecdup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_query(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_query(_read(spark, sf_dir, "documents"))
+
+
 def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharding_query(_read(spark, sf_dir, "documents"))
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.topk_query(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_query(_read(spark, sf_dir, "documents"))
 
@@ -35,7 +43,18 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encoding_query(_read(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdup.vecdup_query(_read(spark, sf_dir, "embeddings"))
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_query(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_chat_format, op3_toxicity, op5_hilbert_sharding, op7_mixing, op8_sentencepiece)
-}
+    for f in (
+        op1_language_id, op2_chat_format, op3_toxicity, op4_ngram_jaccard, op5_hilbert_sharding,
+        op6_exact_topk, op7_mixing, op8_sentencepiece, op9_embedding_dedup, op10_lm_score,
+    )
+}
