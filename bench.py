@@ -1,4 +1,4 @@
-"""Times the headline queries and prints one JSON line.
+"""Times the headline queries (median of three runs) and prints one JSON line.
 
 BENCH_SF_DIR: folder of the tables (default /root/testdata/sf0.1)
 BENCH_CPUS:   cores of the local session (default 8)
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import tempfile
 import time
@@ -23,6 +24,9 @@ HEADLINE = (
 )
 
 
+RUNS = 3
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -40,9 +44,12 @@ def main() -> None:
     QUERIES["hash_encode"](spark, sf_dir).limit(1).collect()
     seconds = {}
     for name in names:
-        started = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - started, 3)
+        runs = []
+        for _ in range(RUNS):
+            started = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            runs.append(time.perf_counter() - started)
+        seconds[name] = round(statistics.median(runs), 3)
     print(
         json.dumps(
             {

@@ -45,9 +45,14 @@ _ATTRIBUTE = r"""(?s)[^\s=>"'/<]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+)"""
 
 
 def visible(html: Column) -> Column:
-    """The page without hidden parts and with character references decoded."""
+    """The page without hidden parts and with character references decoded.
+
+    The control characters used as disguise are taken out of the page first.
+    """
+    own = _BREAK + _DISGUISE
+    plain = F.when(html.rlike(f"[{own}]"), F.translate(html, own, "")).otherwise(html)
     return let(
-        F.regexp_replace(html, _HIDDEN, "<!>"),
+        F.regexp_replace(plain, _HIDDEN, "<!>"),
         lambda page: F.when(page.contains("&"), _decode(page)).otherwise(page),
     )
 
@@ -78,7 +83,8 @@ def _decode(page: Column) -> Column:
         is_char = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
         char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
         return (
-            F.when(number.between(128, 159), table[F.concat(F.lit("#"), number.cast("string"))])
+            F.when(number.between(1, len(_DISGUISE) + 1), "")
+            .when(number.between(128, 159), table[F.concat(F.lit("#"), number.cast("string"))])
             .when(is_char, char)
             .otherwise("\N{REPLACEMENT CHARACTER}")
         )
@@ -119,6 +125,14 @@ def attribute(tag: Column, name: str) -> Column:
     return _undisguise(F.regexp_replace(raw, r"""^["']|["']$""", ""))
 
 
+# Elements within a line of text.
+_INLINE = (
+    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "button", "cite", "code", "data", "del", "dfn", "em", "font", "i",
+    "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time",
+    "tt", "u", "var",
+)
+
+
 # ---------------------------------------------------------------- elements
 # All take visible markup.
 
@@ -130,8 +144,11 @@ def heading(markup: Column) -> Column:
 
 
 def first_paragraph(markup: Column) -> Column:
-    """Text of the first ``<p>``; the next ``<p>`` or the end of its container closes it."""
-    closers = r"<p[\s>]|</(?:p|article|section|main|div|li|td|blockquote|body|html)\s*>|\z"
+    """Text of the first ``<p>``; the next ``<p>`` or the end of its container closes it.
+
+    A container is any element that is not part of a line of text.
+    """
+    closers = rf"<p[\s>]|</(?!(?:{'|'.join(_INLINE)})\s*>)[a-zA-Z][^>]*>|\z"
     inner = F.regexp_extract(markup, rf"(?is)<p(?:\s{_ATTRS})?>(.*?)(?:{closers})", 1)
     return blank_to_null(text_of(inner, " "))
 

@@ -63,13 +63,19 @@ class HashEncoder:
 
         @F.arrow_udf("array<float>")
         def encode(texts: pa.Array) -> pa.Array:
-            parts = [_hash_texts(texts.slice(i, _TEXTS_AT_ONCE), dim) for i in range(0, len(texts), _TEXTS_AT_ONCE)]
+            step = _texts_at_once(dim)
+            parts = [_hash_texts(texts.slice(i, step), dim) for i in range(0, len(texts), step)]
             return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
 
         return encode(F.coalesce(text, F.lit("")))
 
 
-_TEXTS_AT_ONCE = 1024
+# the dense counts of the texts hashed at once take about this much
+_COUNT_BYTES = 16 * 1024 * 1024
+
+
+def _texts_at_once(dim: int) -> int:
+    return max(1, min(1024, _COUNT_BYTES // (8 * dim)))
 
 
 def _hash_texts(texts: pa.Array, dim: int) -> pa.Array:

@@ -17,12 +17,13 @@ SIMILARITY_WEIGHT = 0.85
 DURATION_WEIGHT = 0.15
 MIN_TOLERANCE = 15.0
 
+# The columns a hit's text is made of, in this order.
 GATE_COLUMNS = ("title", "description", "tags", "category")
 
 
 def clamp_topk(topk: Column, default: int = MAX_TOPK, most: int = MAX_TOPK) -> Column:
-    """Results wanted: 1 to ``most``; 0 and NULL mean the default, negatives 1."""
-    return F.greatest(F.lit(1), F.least(F.lit(most), F.coalesce(F.nullif(topk, F.lit(0)), F.lit(default)))).cast("int")
+    """Results wanted: 1 to ``most``; 0 and NULL mean the default (at most ``most``), negatives 1."""
+    return F.greatest(F.lit(1), F.least(F.lit(most), F.coalesce(F.nullif(topk, F.lit(0)), F.lit(min(default, most))))).cast("int")
 
 
 def clean_queries(
@@ -31,15 +32,17 @@ def clean_queries(
     topk: str | None = None,
     qid: str | None = None,
     trim: bool = True,
+    max_topk: int = MAX_TOPK,
 ) -> DataFrame:
     """``qid, query, topk, copies`` of the usable queries.
 
     Without an id column, equal queries become one row with the number of their
     copies, and the id is a hash of the text; so a query repeated many times is
     searched once. ``trim=False`` keeps the text as it is, as a batch export
-    repeats it.
+    repeats it. ``max_topk`` is the most results a query can ask for; give
+    ``recommend`` the same.
     """
-    wanted = clamp_topk(F.col(topk) if topk else F.lit(None).cast("int"))
+    wanted = clamp_topk(F.col(topk) if topk else F.lit(None).cast("int"), most=max_topk)
     query = strip(F.col(text)) if trim else F.col(text)
     df = queries.select(
         *([F.col(qid).alias("qid")] if qid else []), query.alias("query"), wanted.alias("topk")
@@ -64,10 +67,13 @@ def gate_text(columns: Sequence[str] = GATE_COLUMNS) -> Column:
 def keyword_gate(hits: DataFrame, terms: str = "terms", whole_word: bool = False) -> DataFrame:
     """Hits whose text holds any strong term of their query; no terms keep all.
 
-    A row predicate over the hits: it runs after the top-k cut, as moving it
-    before would bring other items in.
+    It runs after the top-k cut, as moving it before would bring other items in.
+    Evaluated inside an array, it is no join condition and cannot be moved to
+    one side of the join that brings hits and queries together.
     """
-    return hits.filter(X.on_topic(gate_text(), F.col(terms), whole_word))
+    text = F.array(F.struct(gate_text().alias("_gate")))
+    on_topic = F.filter(text, lambda t: X.on_topic(t["_gate"], F.col(terms), whole_word))
+    return hits.select("*", F.inline(on_topic)).drop("_gate")
 
 
 def duration_score(duration: Column, lo: Column, hi: Column) -> Column:
@@ -80,12 +86,17 @@ def duration_score(duration: Column, lo: Column, hi: Column) -> Column:
     return F.greatest(F.lit(0.0), fit)
 
 
-def final_rank(hits: DataFrame, similarity_weight: float = SIMILARITY_WEIGHT, duration_weight: float = DURATION_WEIGHT) -> DataFrame:
-    """Blend both scores and keep each query's ``topk`` best."""
+def final_rank(
+    hits: DataFrame,
+    similarity_weight: float = SIMILARITY_WEIGHT,
+    duration_weight: float = DURATION_WEIGHT,
+    max_topk: int = MAX_TOPK,
+) -> DataFrame:
+    """Blend both scores and keep each query's ``topk`` best; no ``topk`` is above ``max_topk``."""
     score = F.round(
         F.lit(similarity_weight) * F.col("similarity") + F.lit(duration_weight) * F.col("duration_score"), 9
     )
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("similarity"), "item_id")
     ranked = hits.withColumn("score", score).withColumn("rank", F.row_number().over(w))
     # the constant bound lets the plan cut rows before the shuffle
-    return ranked.filter((F.col("rank") <= MAX_TOPK) & (F.col("rank") <= F.col("topk")))
+    return ranked.filter((F.col("rank") <= max_topk) & (F.col("rank") <= F.col("topk")))

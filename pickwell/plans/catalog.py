@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pickwell.functions.strings import blank_to_null
-from pickwell.functions.text import is_bundle
 from pickwell.functions.urls import normalize_url, slug, title_from_url
 from pickwell.operators.dedup import conform, keep_first
 from pickwell.operators.joins import restrict_to
-from pickwell.operators.pages import PRODUCT_PATHS, dedup_links, extract_links, page_fields
+from pickwell.operators.pages import PRODUCT_PATHS, dedup_links, extract_links, page_fields, page_reject_reason
 from pickwell.session import materialise
 
 
 def catalog_rows(pages: DataFrame) -> DataFrame:
-    """Catalog rows of parsed pages: bundles and untitled pages go, ids come."""
-    kept = pages.filter(F.col("title").isNotNull() & ~is_bundle(F.col("title")))
+    """Catalog rows of parsed pages: pages without URL, untitled ones and bundles go, ids come.
+
+    The rule is that of ``page_rejects``.
+    """
+    kept = pages.filter(page_reject_reason(F.col("url"), F.lit(""), F.col("title")).isNull())
     return conform(kept.withColumn("assessment_id", slug(F.col("url"))))
 
 

@@ -16,7 +16,7 @@ def result_view(hits: DataFrame, keep: tuple[str, ...] = ("qid", "rank")) -> Dat
     """The display columns that exist, under their display names, the URL as a link."""
     shown = [c for c in VIEW_COLUMNS if c in hits.columns]
     if not shown:
-        raise ValueError("no expected columns in the search results")
+        raise ValueError(f"none of {list(VIEW_COLUMNS)} among the hits' columns")
     columns = [markdown_link(F.col(c)) if c == "url" else F.col(c) for c in shown]
     return hits.select(*(k for k in keep if k in hits.columns), *(c.alias(VIEW_COLUMNS[n]) for n, c in zip(shown, columns)))
 

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pickwell.functions import text as X
 from pickwell.functions.vectors import HashEncoder
 from pickwell.operators.joins import MAX_BROADCAST_BYTES, gather_items
-from pickwell.operators.rerank import MAX_TOPK, OVERFETCH, duration_score, final_rank, keyword_gate
+from pickwell.operators.rerank import MAX_TOPK, OVERFETCH, clamp_topk, duration_score, final_rank, keyword_gate
 from pickwell.operators.topk import Hits, top_k
 from pickwell.plans.index import require_encoder
 from pickwell.schemas import CATALOG_COLUMNS
+from pickwell.session import materialise
 
 
 def find(queries: DataFrame, index: DataFrame, k: int, encoder=HashEncoder(), **options) -> Hits:
@@ -38,16 +39,21 @@ def recommend(
     whole_word: bool = False,
     short_hours: bool = False,
     overfetch: int = OVERFETCH,
+    max_topk: int = MAX_TOPK,
     **options,
 ) -> DataFrame:
     """Up to ``topk`` items per query (``qid, query, topk``), best first.
 
+    ``topk`` is clamped to 1 .. ``max_topk``; NULL and 0 mean the default of ten.
+
     Fetches ``overfetch * topk`` by similarity, drops off-topic hits, blends
     similarity with the fit to the wished duration, and ranks again.
     ``whole_word`` keeps a term such as "r" from matching inside other words,
     ``short_hours`` reads "hr" and "hrs" as hours.
     """
-    hits = find(queries, index, overfetch * MAX_TOPK, encoder, **options)
+    # stored, as it is counted, encoded and joined
+    queries = materialise(queries.select("qid", "query", clamp_topk(F.col("topk"), most=max_topk).alias("topk")))
+    hits = find(queries, index, overfetch * max_topk, encoder, **options)
     window = X.duration_window(F.col("query"), short_hours=short_hours)
     # what the rules need of a query; distinct terms, so its size is bounded by the vocabulary
     wishes = queries.select(
@@ -64,6 +70,6 @@ def recommend(
     found = gather_items(hits, index.select("item_id", *CATALOG_COLUMNS)).join(wishes, "qid")
     full = keyword_gate(found.filter(F.col("rank") <= F.col("topk") * overfetch), "terms", whole_word)
     scored = full.withColumn("duration_score", duration_score(F.col("duration_min"), F.col("lo"), F.col("hi")))
-    return final_rank(scored).select(
+    return final_rank(scored, max_topk=max_topk).select(
         "qid", "rank", "item_id", *CATALOG_COLUMNS, "similarity", "duration_score", "score"
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# The catalog's columns in their order.
 CATALOG_SCHEMA = T.StructType(
     [
         T.StructField("assessment_id", T.StringType()),
@@ -27,10 +28,10 @@ PAIRS_SCHEMA = T.StructType(
     ]
 )
 
-# Names under which a query file may keep its text.
+# Names under which a query file may keep its text.
 QUERY_COLUMN_NAMES = ("query", "queries", "jd", "job_description", "text")
 
-# Columns of the result view, in order, with the names shown to people.
+# Columns of the result view, in order, with the names shown to people.
 VIEW_COLUMNS = {
     "title": "Assessment",
     "url": "URL",

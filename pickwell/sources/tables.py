@@ -42,7 +42,7 @@ def query_column(df: DataFrame) -> str:
     for name in df.columns:
         if name.strip().lower() in QUERY_COLUMN_NAMES:
             return name
-    raise ValueError(f"no query column among {df.columns}; expected one of {list(QUERY_COLUMN_NAMES)}")
+    raise ValueError(f"the text must be in a column named {' or '.join(QUERY_COLUMN_NAMES)}, but the file has {df.columns}")
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:

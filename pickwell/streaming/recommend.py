@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from pickwell.operators.rerank import clean_queries
+from pickwell.operators.rerank import MAX_TOPK, clean_queries
 from pickwell.plans.results import responses
 from pickwell.plans.search import recommend
 
@@ -25,21 +25,33 @@ def recommend_stream(
     index: DataFrame,
     write: Callable[[DataFrame, int], None],
     checkpoint: str,
+    trigger: dict | None = None,
     **options,
 ) -> StreamingQuery:
     """Answer each micro-batch with the batch plan and hand it to ``write(answers, batch_id)``.
 
+    ``trigger`` takes the arguments of ``DataStreamWriter.trigger``, for instance
+    ``{"processingTime": "10 seconds"}``; without it the query answers what is there
+    and ends. The index is read for every batch, so it must be a stored one
+    (``write_index`` and ``read_index``): a plan that would encode it each time is refused.
+
     Rows are independent, so there is no state and no watermark. A batch is run
     again after a failure: ``write`` should be idempotent per batch id.
     """
 
+    if not index.inputFiles() or "PythonUDF" in index._jdf.queryExecution().optimizedPlan().toString():
+        raise ValueError("store the index first: it would be encoded again for every batch")
+
     def answer(batch: DataFrame, batch_id: int) -> None:
-        clean = clean_queries(batch, topk="topk")
-        write(responses(clean, recommend(clean, index, **options)), batch_id)
+        clean = clean_queries(batch, topk="topk", max_topk=options.get("max_topk", MAX_TOPK)).persist()
+        try:
+            write(responses(clean, recommend(clean, index, **options)), batch_id)
+        finally:
+            clean.unpersist()
 
     return (
         queries.writeStream.foreachBatch(answer)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

@@ -27,6 +27,14 @@ CATALOG = [
     ("tags", "replace(p_brand, '#', '-')"),
 ]
 
+# part -> the same items under URLs that repeat, are empty or missing
+LOOSE_URLS = [
+    (name, "CASE WHEN p_size % 7 = 1 THEN NULL WHEN p_size % 7 = 2 THEN ' ' WHEN p_size % 7 < 5 THEN 'https://www.example.com/' || p_name ELSE p_brand END")
+    if name == "url"
+    else (name, made)
+    for name, made in CATALOG
+]
+
 # part -> one wish per name and brand: text with a duration, and a number of results
 _WISH = "CASE WHEN min(p_size) = max(p_size) THEN CAST(min(p_size) AS STRING) ELSE CAST(min(p_size) AS STRING) || '-' || CAST(max(p_size) AS STRING) END"
 QUERIES = [

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ from pickwell.plans import evaluate as E
 from pickwell.plans import results as O
 from pickwell.plans.index import build_index
 from pickwell.plans.search import recommend, search
-from pickwell.session import materialise, shared_folder
+from pickwell.session import materialise, scratch_path
 from pickwell.streaming.recommend import recommend_stream
 from registry import inputs as I
 from registry.inputs import derived, derived_queries, table
@@ -318,7 +317,15 @@ def hash_encode(spark, sf_dir):
 
 
 def build_index_query(spark, sf_dir):
-    return _cells(_index(spark, sf_dir), "item_id", "title", "url", "duration_min")
+    """From a catalog that lacks a column, which is filled."""
+    index = build_index(_catalog(spark, sf_dir).drop("language"), ENCODER, item_id="item_id")
+    return _cells(index, "item_id", "title", "url", "duration_min", "language")
+
+
+def index_ids(spark, sf_dir):
+    """Items under URLs that repeat or are missing."""
+    index = build_index(derived(spark, sf_dir, I.LOOSE_URLS), ENCODER)
+    return index.select("item_id", "title", "duration_min")
 
 
 def text_topk(spark, sf_dir):
@@ -390,7 +397,14 @@ def result_view(spark, sf_dir):
 def response_nested(spark, sf_dir):
     queries, hits = _recommended(spark, sf_dir)
     answers = O.responses(queries, hits)
-    names = F.transform("recommendations", lambda r: F.concat_ws("|", r["assessment_name"], r["assessment_url"], r["duration_min"]))
+    billionths = lambda x: F.round(x * 1e9).cast("bigint")
+    names = F.transform(
+        "recommendations",
+        lambda r: F.concat_ws(
+            "|", r["assessment_name"], r["assessment_url"], r["test_type"], r["level"], r["language"],
+            r["duration_min"], billionths(r["similarity"]), r["description"],
+        ),
+    )
     return answers.select("query", "count", F.array_join(names, ";").alias("recommendations"))
 
 
@@ -403,7 +417,7 @@ def batch_export(spark, sf_dir):
 
 def recommend_stream_query(spark, sf_dir):
     """Every part as an arriving query, answered by micro-batches into a table."""
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = scratch_path(spark)
     schema = table(spark, sf_dir, "part").schema
     arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/part.parquet*").select(
         F.concat_ws(" ", "p_name", F.lower("p_type")).alias("query"), F.lit(3).alias("topk")
@@ -412,7 +426,7 @@ def recommend_stream_query(spark, sf_dir):
     def write(answers, batch_id):
         answers.write.mode("overwrite").parquet(f"{folder}/answers/batch={batch_id}")
 
-    stream = recommend_stream(arriving, _index(spark, sf_dir), write, f"{folder}/state", encoder=ENCODER, vocabulary=TITLE_WORDS)
+    stream = recommend_stream(arriving, materialise(_index(spark, sf_dir)), write, f"{folder}/state", encoder=ENCODER, vocabulary=TITLE_WORDS)
     stream.awaitTermination()
     answers = spark.read.parquet(f"{folder}/answers")
     return answers.select("query", F.posexplode("recommendations").alias("place", "hit")).select(
@@ -448,7 +462,7 @@ QUERIES = {
         classify_level_word, classify_documents, duration_simple, duration_full, duration_window,
         exclude_bundles, strong_terms,
         missing_labelled_urls, augment_rows, catalog_merge, catalog_dedup, catalog_conform, catalog_counts,
-        build_doc, hash_encode, build_index_query, text_topk,
+        build_doc, hash_encode, build_index_query, index_ids, text_topk,
         clamp_topk, clean_queries, recommend_rejects, topk_with_meta, keyword_gate, duration_score,
         recommend_query, result_view, response_nested, batch_export, recommend_stream_query,
         truth_sets, recall_at_k, mean_recall,

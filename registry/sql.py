@@ -49,7 +49,7 @@ def heading(m: str) -> str:
 
 
 def paragraph(m: str) -> str:
-    closers = r"<p[\s>]|</(?:p|article|section|main|div|li|td|blockquote|body|html)\s*>|\z"
+    closers = r"<p[\s>]|</(?:p|article|section|main|div|li|td|th|tr|tbody|table|ul|ol|dl|dt|dd|nav|header|footer|aside|form|fieldset|figure|figcaption|blockquote|pre|details|h[1-6]|center|body|html)\s*>|\z"
     inner = rf"regexp_extract({m}, '(?is)<p(?:\s{_ATTRS})?>(.*?)(?:{closers})', 1)"
     return f"nullif({text_of(inner, ' ')}, '')"
 
@@ -335,7 +335,9 @@ SQL: dict[str, str] = {
         unnest([count(*), count(description), count(test_type), count(duration_min)]) FROM ({KNOWN})""",
     "build_doc": f"SELECT item_id, {DOC} AS doc FROM ({CATALOG})",
     "hash_encode": CELLS.format(key="doc_id", source=encoded("SELECT * FROM documents", "doc_id", "text")),
-    "build_index": f"SELECT * FROM ({CELLS.format(key='item_id', source=CATALOG_VECTORS)}) JOIN (SELECT item_id, title, url, duration_min FROM ({CATALOG})) USING (item_id)",
+    "build_index": f"SELECT * FROM ({CELLS.format(key='item_id', source=CATALOG_VECTORS)}) JOIN (SELECT item_id, title, url, duration_min, '' AS language FROM ({CATALOG})) USING (item_id)",
+    "index_ids": f"""SELECT url AS item_id, title, duration_min FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY item_id) AS n
+        FROM ({I.derived_sql(I.LOOSE_URLS)})) WHERE n = 1 AND trim(url) <> ''""",
     "text_topk": f"""SELECT qid, item_id, CAST(rank AS INT) AS rank, similarity FROM ({sparse_topk(
         encoded('SELECT item_id AS qid, text FROM benchmark', 'qid', 'text'), encoded('SELECT doc_id AS item_id, text FROM documents', 'item_id', 'text'), TOPK)})""",
     "clamp_topk": "SELECT p_partkey, CAST(CASE WHEN p_size IN (20, 27) THEN 10 WHEN p_size < 20 THEN 1 ELSE least(10, p_size - 20) END AS INT) AS topk FROM part",
@@ -356,7 +358,7 @@ SQL: dict[str, str] = {
     "result_view": f"""SELECT item_id, CAST(rnk AS INT) AS rank, title AS "Assessment", '[link](' || url || ')' AS "URL", test_type AS "Type", level AS "Level",
         language AS "Language", duration_min AS "Duration (min)", sim AS "Similarity", description AS "Description" FROM ({recommended()})""",
     "response_nested": f"""SELECT w.query, CAST(coalesce(n, 0) AS INT) AS count, coalesce(r, '') AS recommendations FROM ({WISHES}) w LEFT JOIN (
-        SELECT query, topk, count(*) AS n, string_agg(concat_ws('|', title, url, duration_min), ';' ORDER BY rnk) AS r FROM ({recommended()}) GROUP BY 1, 2) USING (query, topk)""",
+        SELECT query, topk, count(*) AS n, string_agg(concat_ws('|', title, url, test_type, level, language, duration_min, CAST(round(sim * 1e9) AS BIGINT), description), ';' ORDER BY rnk) AS r FROM ({recommended()}) GROUP BY 1, 2) USING (query, topk)""",
     "batch_export": f"""WITH lines AS (SELECT p_name || ' ' || lower(p_type) AS query FROM part),
         hits AS ({sparse_topk(encoded('SELECT DISTINCT query AS qid, query FROM lines', 'qid', 'query'), CATALOG_VECTORS, TOPK)})
         SELECT query AS "Query", url AS "Assessment_url" FROM lines JOIN hits ON qid = query JOIN ({CATALOG}) USING (item_id)""",

@@ -8,6 +8,7 @@ from pickwell.operators.rerank import clean_queries
 from pickwell.plans.index import build_index
 from pickwell.plans.results import responses
 from pickwell.plans.search import recommend
+from pickwell.sources.tables import read_index, write_index
 from pickwell.streaming.recommend import query_stream, recommend_stream
 
 ENC = HashEncoder(32)
@@ -17,7 +18,8 @@ def test_stream_answers_like_a_batch_and_only_new_files(spark, tmp_path):
     items = conform(
         spark.createDataFrame([(f"https://x.com/{i}", f"{w} test") for i, w in enumerate(["java", "sales", "tea", "data"] * 5)], "url string, title string")
     )
-    index = build_index(items, ENC).cache()
+    write_index(build_index(items, ENC), str(tmp_path / "index"))
+    index = read_index(spark, str(tmp_path / "index"))
     inbox, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
     inbox.mkdir()
 
