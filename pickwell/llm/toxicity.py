@@ -29,9 +29,10 @@ from pyspark.sql import types as T
 from pickwell.llm import common as C
 
 MAX_ROWS = 6000
-MIN_DF = 4
+MIN_DF = 10
 FACTORS = 8
-EPOCHS = 8
+EPOCHS = 10
+L2, FACTOR_L2, FACTOR_RATE = 0.1, 0.5, 0.03
 PREFIXES = (3, 4, 5)
 
 
@@ -85,7 +86,7 @@ def _logit(bias: float, weights: np.ndarray, rows: np.ndarray, at: np.ndarray, n
     return np.clip(out, -30, 30), sums
 
 
-def fit(row_terms: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, l2: float = 1e-5) -> FactorModel:
+def fit(row_terms: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, l2: float = L2, factor_l2: float = FACTOR_L2, factor_rate: float = FACTOR_RATE) -> FactorModel:
     """AdaGrad on the logistic loss over small batches in a fixed random order."""
     rng = np.random.default_rng(7)
     keys, df = np.unique(np.concatenate([*row_terms, np.zeros(0, np.int64)]), return_counts=True)
@@ -102,6 +103,8 @@ def fit(row_terms: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS,
     weights = np.zeros((len(keys), 1 + factors), np.float64)
     weights[:, 1:] = rng.normal(0, 0.01, (len(keys), factors))
     seen = np.full(weights.shape, 1e-3)
+    penalty = np.r_[l2, np.full(factors, factor_l2)]
+    pace = np.r_[1.0, np.full(factors, factor_rate)]
     share = min(max(labels.mean(), 1e-3), 1 - 1e-3)
     bias, bias_seen = float(np.log(share / (1 - share))), 1e-3
     for epoch in range(epochs):
@@ -116,10 +119,10 @@ def fit(row_terms: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS,
             slope[:, 0] = error[rows]
             slope[:, 1:] = error[rows][:, None] * (sums[rows] - weights[own, 1:])
             terms_, which = np.unique(own, return_inverse=True)
-            total = np.stack([np.bincount(which, slope[:, j], len(terms_)) for j in range(1 + factors)], 1) + l2 * weights[terms_]
+            total = np.stack([np.bincount(which, slope[:, j], len(terms_)) for j in range(1 + factors)], 1) + penalty * weights[terms_]
             seen[terms_] += total**2
             rate = 0.3 / (1 + epoch)
-            weights[terms_] -= rate * np.concatenate([total[:, :1], 0.2 * total[:, 1:]], 1) / np.sqrt(seen[terms_])
+            weights[terms_] -= rate * pace * total / np.sqrt(seen[terms_])
             bias_seen += error.sum() ** 2
             bias -= rate * error.sum() / np.sqrt(bias_seen)
     return FactorModel(bias, keys, weights.astype(np.float32))
@@ -141,9 +144,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
             yield pa.RecordBatch.from_arrays([C.column(block, "key").cast(pa.int64()), C.column(block, "label").cast(pa.int32()), found], ["key", "label", "terms"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         row_terms = [np.asarray(x.values) for x in table.column("terms")]
         order = sorted(range(len(row_terms)), key=lambda i: (table.column("key")[i].as_py(), row_terms[i].tobytes()))
         model = fit([row_terms[i] for i in order], table.column("label").to_numpy()[order].astype(float))

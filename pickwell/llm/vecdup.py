@@ -83,7 +83,7 @@ def grid_join(x: np.ndarray, y: np.ndarray | None, directions: np.ndarray, thres
     todo = [(0, len(first[1]), 0, len(second[1]))]
     while todo:
         a, b, c, d = todo.pop()
-        if y is None and c < a:
+        if y is None and d <= a:
             continue  # the mirror image is looked at
         low, high = box1[a, b], box2[c, d]
         gap = np.maximum(0, np.maximum(low[0] - high[1], high[0] - low[1]))
