@@ -174,25 +174,78 @@ def start_tag(element: Column) -> Column:
     return F.regexp_extract(element, rf"(?s)^<{_ATTRS}>", 0)
 
 
+# Elements without content.
+_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+
+
+def _tokens(markup: Column) -> Column:
+    """Tags and the text between them, in order, as ``raw, name, step`` (1: start tag, -1: end tag, 0: neither)."""
+
+    def token(raw: Column) -> Column:
+        name = F.lower(F.regexp_extract(raw, "^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+        step = F.when(name.isin("", *_VOID), 0).when(raw.startswith("</"), -1).otherwise(1)
+        return F.struct(raw.alias("raw"), name.alias("name"), step.alias("step"))
+
+    return F.transform(F.regexp_extract_all(markup, F.lit(rf"{_TAG}|[^<]++|<"), F.lit(0)), token)
+
+
 def _elements_of_class(markup: Column, classes: Sequence[str]) -> Column:
-    """Elements carrying one of the classes, up to the end tag of the same name."""
-    names = "|".join(classes)
-    value = rf"""(?:"(?:[^"]*\s)?(?:{names})(?:\s[^"]*)?"|'(?:[^']*\s)?(?:{names})(?:\s[^']*)?'|(?:{names})(?=[\s>]))"""
-    void = r"(?!(?i:input|img|br|hr|meta|link)\b)"
-    opening = rf"<{void}([a-zA-Z][a-zA-Z0-9]*)(?=\s[^>]*?\b(?i:class)\s*=\s*{value}){_ATTRS}>"
-    found = F.regexp_extract_all(markup, F.lit(rf"(?s){opening}.*?(?=(?i:</\1\s*>)|\z)"), F.lit(0))
+    """Elements carrying one of the classes, as ``start, stop, markup``, in order of their start tags.
+
+    An element goes on to the end tag that closes it, elements of the same name
+    inside it counted; one inside another is an element of its own.
+    """
+    wanted = F.array(*map(F.lit, classes))
+
+    def carries(token: Column) -> Column:
+        names = F.split(strip(attribute(token["raw"], "class")), r"\s+")
+        return (token["step"] == 1) & contains_any(token["raw"], classes) & F.coalesce(F.arrays_overlap(names, wanted), F.lit(False))
+
+    def element(tokens: Column, start: Column) -> Column:
+        name = tokens[start]["name"]
+        begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("taken"), F.lit(True).alias("open"))
+
+        def step(state: Column, token: Column) -> Column:
+            depth = state["depth"] + F.when(token["name"] == name, token["step"]).otherwise(0)
+            return F.when(
+                state["open"],
+                F.struct(depth.alias("depth"), (state["taken"] + 1).alias("taken"), (depth > 0).alias("open")),
+            ).otherwise(state)
+
+        taken = F.aggregate(F.slice(tokens, start + 1, F.size(tokens)), begin, step, lambda state: state["taken"])
+        return let(
+            taken,
+            lambda n: F.struct(
+                start.alias("start"),
+                (start + n).alias("stop"),
+                F.array_join(F.transform(F.slice(tokens, start + 1, n), lambda t: t["raw"]), "").alias("markup"),
+            ),
+        )
+
+    def every(tokens: Column) -> Column:
+        places = F.filter(F.transform(tokens, lambda t, i: F.when(carries(t), i)), lambda i: i.isNotNull())
+        return F.transform(places, lambda i: element(tokens, i))
+
     # most pages name none of the classes: a plain search spares them the expression
-    return F.when(contains_any(markup, classes), found).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<struct<start:int,stop:int,markup:string>>")
+    return F.when(contains_any(markup, classes), let(_tokens(markup), every)).otherwise(none)
 
 
 def class_texts(markup: Column, classes: Sequence[str]) -> Column:
     """Non-empty texts of the elements carrying one of the classes, in order."""
     found = _elements_of_class(markup, classes)
-    return F.filter(F.transform(found, lambda e: text_of(e, "")), lambda t: t != "")
+    return F.filter(F.transform(found, lambda e: text_of(e["markup"], "")), lambda t: t != "")
 
 
 def breadcrumb(markup: Column, cls: str = "breadcrumb", joiner: str = " > ") -> Column:
-    """Anchor texts inside the elements of class ``breadcrumb``, or NULL."""
-    links = F.flatten(F.transform(_elements_of_class(markup, [cls]), anchors))
+    """Anchor texts inside the elements of class ``breadcrumb``, or NULL. An anchor counts once, however deep it lies."""
+    begin = F.struct(F.lit(0).alias("stop"), F.array().cast("array<string>").alias("kept"))
+
+    def outermost(state: Column, e: Column) -> Column:
+        further = F.struct(e["stop"].alias("stop"), F.concat(state["kept"], F.array(e["markup"])).alias("kept"))
+        return F.when(e["start"] >= state["stop"], further).otherwise(state)
+
+    containers = F.aggregate(_elements_of_class(markup, [cls]), begin, outermost, lambda state: state["kept"])
+    links = F.flatten(F.transform(containers, anchors))
     texts = F.filter(F.transform(links, lambda a: text_of(a, "")), lambda t: t != "")
     return blank_to_null(F.array_join(texts, joiner))

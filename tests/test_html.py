@@ -193,3 +193,36 @@ def test_whitespace_is_stripped_as_python_does(rows):
 
     assert rows([WHITESPACE + "x" + WHITESPACE], strip) == ["x"]
     assert re.fullmatch(r"\s+", WHITESPACE)
+
+
+def test_nested_elements_are_whole(rows):
+    pages = [
+        '<span class="badge"><span class="icon"></span>New</span><b class="x tag">Hot</b>',
+        '<div class="tag">a<div class="label">b</div>c</div>',
+        '<p data-class="tag">no</p><i title="a > b" class="tag">yes</i><br class="tag"><i class=tag>plain</i>',
+        '<span class="tag">open <b>end',
+        '<span class="tags">no</span>',
+        None,
+    ]
+    got = rows(pages, lambda c: H.class_texts(H.visible(c), ["tag", "badge", "label"]))
+    assert got == [["New", "Hot"], ["abc", "b"], ["yes", "plain"], ["openend"], [], got[5]] and not got[5]
+
+
+def test_breadcrumb_over_nested_containers(rows):
+    pages = [
+        '<div class="breadcrumb"><div><a>Home</a></div><div><a href="/p">Products</a></div></div><a>other</a>',
+        '<nav class="breadcrumb"><ol class="breadcrumb"><li><a>One</a></li></ol><a>Two</a></nav>',
+        "<nav><a>x</a></nav>",
+    ]
+    assert rows(pages, lambda c: H.breadcrumb(H.visible(c))) == ["Home > Products", "One > Two", None]
+
+
+def test_paragraph_ends_with_its_container(rows):
+    names = ["footer", "nav", "form", "aside", "ul", "section", "table"]
+    pages = [f"<{n}><p>a <b>b</b></{n}>tail" for n in names] + ["<p>x</span> y</p>z"]
+    assert rows(pages, lambda c: H.first_paragraph(H.visible(c))) == ["a b"] * len(names) + ["x y"]
+
+
+def test_control_characters_are_not_markup(rows):
+    pages = ["\x02p\x03a\x01b", "<p>a&#3;b&#2;c&lt;d</p>", "x\x06&#1;y"]
+    assert rows(pages, lambda c: H.text_of(H.visible(c), " ")) == ["pab", "abc<d", "xy"]
