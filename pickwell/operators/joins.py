@@ -9,6 +9,7 @@ from pickwell.operators.topk import Hits
 from pickwell.session import materialise
 
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+FILTER_BITS = 1 << 24  # 262,144 rows of 16 bytes at most
 
 
 def _bytes(df: DataFrame, *columns: str) -> int:
@@ -17,16 +18,21 @@ def _bytes(df: DataFrame, *columns: str) -> int:
     return df.agg(F.sum(sum(lengths, F.lit(32)))).first()[0] or 0
 
 
-def restrict_to(wide: DataFrame, wanted: DataFrame, key: str, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Rows of ``wide`` whose key is wanted, if that can be told without shuffling ``wide``.
+def restrict_to(wide: DataFrame, wanted: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of ``wide`` whose key may be wanted: all that are, and few others, without shuffling ``wide``.
 
-    The wanted keys are measured; beyond ``max_bytes`` the table is returned as
-    it is, and the caller's own join, made on narrower rows, does the selecting.
-    ``wanted`` is read twice: pass a materialised table.
+    The wanted keys are marked in an array of ``bits`` bits, kept as at most
+    ``bits / 64`` rows and broadcast; its size does not depend on the number of
+    keys, so the plan is always the same. The more keys there are, the more other
+    rows pass, and the caller's own join drops them. NULL keys are not wanted.
     """
-    if _bytes(wanted, key) > max_bytes:
-        return wide
-    return wide.join(F.broadcast(wanted.select(key)), key, "left_semi")
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(63).cast("int")
+    mark = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    marks = wanted.filter(F.col(key).isNotNull()).select(word.alias("_word"), mark.alias("_mark"))
+    marks = marks.groupBy("_word").agg(F.bit_or("_mark").alias("_marks"))
+    held = F.call_function("shiftright", F.col("_marks"), bit).bitwiseAND(1) == 1
+    return wide.filter(F.col(key).isNotNull()).join(F.broadcast(marks), (word == F.col("_word")) & held, "left_semi")
 
 
 def salted_join(many: DataFrame, one: DataFrame, key: str, spread_by: str, salts: int = 200) -> DataFrame:

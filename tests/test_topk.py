@@ -162,9 +162,14 @@ def test_gather_is_the_same_by_broadcast_and_by_shuffle(spark):
     assert "_salt" in ways[2]._jdf.queryExecution().toString()
 
 
-def test_restrict_to_measures_before_it_broadcasts(spark):
+def test_restrict_to_keeps_what_is_wanted_whatever_the_size(spark):
     wide = spark.createDataFrame([("a", 1), ("b", 2)], "url string, v int")
-    wanted = spark.createDataFrame([("a",)], "url string")
+    wide = wide.unionByName(spark.createDataFrame([(None, 3)], "url string, v int"))
+    wanted = spark.createDataFrame([("a",), (None,)], "url string")
     assert [r.v for r in restrict_to(wide, wanted, "url").collect()] == [1]
-    assert restrict_to(wide, wanted, "url", max_bytes=1).count() == 2
+    many = spark.range(5000).select(F.concat(F.lit("u"), "id").alias("url"))
+    for bits in (64, 1 << 12, 1 << 20):
+        kept = restrict_to(spark.range(20_000).select(F.concat(F.lit("u"), "id").alias("url")), many, "url", bits)
+        assert kept.join(many, "url").count() == 5000
+    assert kept.count() < 5200 and restrict_to(wide, wanted.limit(0), "url").count() == 0
     assert joins.MAX_BROADCAST_BYTES <= 1 << 27
