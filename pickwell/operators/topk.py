@@ -6,8 +6,10 @@ those leave the task, and one window per query picks the final k.
 
 Two ways, the same result:
 
-* few queries (their matrix fits ``max_query_bytes``): the matrix goes to every
-  task, items are scanned where they lie, nothing but candidates is shuffled;
+* few queries (their vectors and ids fit ``max_query_bytes``, and k of each
+  ``MAX_KEPT``): the matrix goes to every task, items are scanned where they lie,
+  and nothing but candidates is shuffled, under the number of their query; ids
+  come back after the last cut;
 * more queries: both sides are cut into blocks by a hash of their id and each
   (query block, item block) cell is one bounded task.
 
@@ -32,6 +34,8 @@ MAX_QUERY_BYTES = 32 * 1024 * 1024
 QUERY_BLOCK_BYTES = 64 * 1024 * 1024
 ITEM_BLOCK_BYTES = 128 * 1024 * 1024
 SCAN_TASKS = 20_000
+# candidates one task keeps
+MAX_KEPT = 4_000_000
 _SCORE_CELLS = 4_000_000
 
 
@@ -101,11 +105,16 @@ def top_k(
         [T.StructField("qid", qtype), T.StructField("item_id", itype), T.StructField("similarity", T.DoubleType())]
     )
     dim = dim or _first_dim(queries, items)
-    # Counting reads ids only; vectors are fetched once their number is known to fit.
-    n = queries.count()
-    if n * dim * 8 <= max_query_bytes:
+    # Measuring reads ids only; vectors are fetched once they are known to fit.
+    n, id_bytes = queries.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("qid").cast("string"))), F.lit(0))).first()
+    names = None
+    if n * dim * 8 + id_bytes <= max_query_bytes and n * k <= MAX_KEPT:
         block = queries.toArrow()
-        candidates = _scan_items(block, items.coalesce(scan_tasks), k, out)
+        candidates = _scan_items(block["qvec"], items.coalesce(scan_tasks), k, itype)
+        names = items.sparkSession.createDataFrame(
+            pa.table({"_number": pa.array(np.arange(block.num_rows), pa.int32()), "_name": block["qid"]}),
+            T.StructType([T.StructField("_number", T.IntegerType()), T.StructField("_name", qtype)]),
+        )
         size = {"queries": block.num_rows, "query_bytes": block["qid"].nbytes}
     else:
         query_rows = query_block_rows or max(1, QUERY_BLOCK_BYTES // (4 * dim))
@@ -114,6 +123,9 @@ def top_k(
         size = {}
     w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "item_id")
     ranked = candidates.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    if names is not None:
+        named = ranked.withColumnRenamed("qid", "_number").join(F.broadcast(names), "_number")
+        ranked = named.withColumnRenamed("_name", "qid")
     item_bytes = 8 if isinstance(itype, T.IntegralType) else None
     return Hits(ranked.select("qid", "item_id", "rank", "similarity"), k, item_bytes=item_bytes, **size)
 
@@ -126,10 +138,14 @@ def _first_dim(queries: DataFrame, items: DataFrame) -> int:
     return max(widths, default=1)
 
 
-def _scan_items(block: pa.Table, items: DataFrame, k: int, out: T.StructType) -> DataFrame:
-    if block.num_rows == 0:
+def _scan_items(qvecs: pa.ChunkedArray, items: DataFrame, k: int, itype: T.DataType) -> DataFrame:
+    """Candidates whose ``qid`` is the number of the query in the block."""
+    out = T.StructType(
+        [T.StructField("qid", T.IntegerType()), T.StructField("item_id", itype), T.StructField("similarity", T.DoubleType())]
+    )
+    if not len(qvecs):
         return items.sparkSession.createDataFrame([], out)
-    qids, qmat = _ids(block["qid"]), _matrix(block["qvec"])
+    qids, qmat = pa.array(np.arange(len(qvecs)), pa.int32()), _matrix(qvecs)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(qids, qmat, k)

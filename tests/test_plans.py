@@ -28,8 +28,8 @@ def test_top_k_reads_only_ids_and_vectors_and_cuts_before_the_shuffle(spark, sf_
     queries = index.select(F.col("item_id").alias("qid"), F.col("embedding").alias("qvec"))
     text = plan(top_k(queries, index, 5).df)
     assert "ReadSchema: struct<item_id:bigint,embedding:array<float>>" in text
-    assert text.count("Exchange") == 1
-    assert text.index("Final") < text.index("Exchange") < text.index("Partial") < text.index("MapInArrow")
+    assert text.count("Exchange hashpartitioning") == 1
+    assert text.index("Final") < text.index("Exchange hashpartitioning") < text.index("Partial") < text.index("MapInArrow")
 
 
 def test_page_markup_is_never_shuffled(spark, sf_dir, tmp_path):
@@ -50,3 +50,45 @@ def test_expensive_steps_run_once(spark, sf_dir):
     for df in (extract_links(pages, "https://x.com"), page_rejects(pages), page_titles(pages), page_fields(pages)):
         assert plan(df).count(r"</script\s") == 1
     assert plan(QUERIES["hash_encode"](spark, sf_dir)).count("ArrowEvalPython") == 1
+
+
+def test_gate_works_on_unstored_cached_and_stored_indexes(tmp_path):
+    """The gate names columns of both sides of a join; it must stay above it."""
+    from pyspark.sql import SparkSession
+
+    from pickwell.functions.vectors import HashEncoder
+    from pickwell.operators.dedup import conform
+    from pickwell.operators.rerank import clean_queries
+    from pickwell.plans.index import build_index
+    from pickwell.plans.search import recommend
+
+    spark = SparkSession.active().newSession()
+    items = spark.createDataFrame([(f"https://x.com/{i}", f"{w} test {i}") for i, w in enumerate(["java", "sales"] * 20)], "url string, title string")
+    index = build_index(conform(items), HashEncoder(32))
+    index.write.parquet(str(tmp_path / "index"))
+    asked = spark.createDataFrame([("java", 20), ("sales", None), ("java sales", 0), ("tea", -3)], "query string, topk int")
+    answers = []
+    for made in (index, index.cache(), spark.read.parquet(str(tmp_path / "index"))):
+        queries = clean_queries(asked, topk="topk", max_topk=20)
+        hits = recommend(queries, made, HashEncoder(32), max_topk=20)
+        assert "!Filter" not in hits._jdf.queryExecution().optimizedPlan().toString()
+        answers.append(sorted(map(tuple, hits.collect())))
+        n = {r.query: r.n for r in hits.join(queries, "qid").groupBy("query").agg({"*": "count"}).toDF("query", "n").collect()}
+        assert n == {"java": 20, "sales": 10, "java sales": 10, "tea": 1}
+    assert answers[0] == answers[1] == answers[2]
+
+
+def test_index_ids_are_unique_and_there(spark):
+    from pickwell.functions.vectors import HashEncoder
+    from pickwell.operators.dedup import conform
+    from pickwell.operators.rerank import clean_queries
+    from pickwell.plans.index import build_index, index_rejects
+    from pickwell.plans.search import search
+
+    rows = [("u1", "b"), ("u1", "a"), ("u1", "a"), (None, "c"), (" ", "d"), *[(f"v{i}", "e") for i in range(6)]]
+    items = conform(spark.createDataFrame(rows, "url string, title string"))
+    index = build_index(items, HashEncoder(16))
+    assert sorted((r.item_id, r.title) for r in index.collect()) == [("u1", "a"), *[(f"v{i}", "e") for i in range(6)]]
+    assert sorted(r.reason for r in index_rejects(items).collect()) == ["empty id", "no id"]
+    hits = search(clean_queries(spark.createDataFrame([("e",)], "query string")), index, 5, HashEncoder(16))
+    assert sorted(r["rank"] for r in hits.collect()) == [1, 2, 3, 4, 5]
