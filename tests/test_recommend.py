@@ -134,7 +134,7 @@ def test_result_view(index, queries):
     view = O.result_view(search(queries, index, 2, ENC).drop("level"))
     assert view.columns == ["qid", "rank", "Assessment", "URL", "Type", "Language", "Duration (min)", "Similarity", "Description"]
     assert view.first()["URL"].startswith("[link](https://")
-    with pytest.raises(ValueError, match="no expected columns"):
+    with pytest.raises(ValueError, match="among the hits' columns"):
         O.result_view(queries.select("qid"))
 
 

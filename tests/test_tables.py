@@ -55,7 +55,7 @@ def test_query_csv_finds_its_column(spark, tmp_path, header, found):
         got = S.read_queries(spark, str(tmp_path / "q.csv"))
         assert got.columns == ["query"] and [r.query for r in got.collect()] == ['a "b",\n\nc'] * 2
     else:
-        with pytest.raises(ValueError, match="no query column"):
+        with pytest.raises(ValueError, match="the text must be in a column"):
             S.read_queries(spark, str(tmp_path / "q.csv"))
 
 
