@@ -32,17 +32,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pickwell.llm import common as C
+from pickwell.llm.counts import most_frequent
 from pickwell.llm.graph import components
 from pickwell.session import materialise
 
 WORDS = 5
 PERCENT = 75
 FREQUENT = 1 << 20  # shingles that may be named frequent: a hint of bounded size
-SKETCH = 16  # 64-bit words of a sketch
+SKETCH = 16  # 64-bit words of a sketch, at least
 TASK_SHINGLES = 1 << 18
 BLOCK_MEMBERS = 2048
 MU = 0.0085  # weight of a probe against a merge step, as published with DivideSkip
@@ -189,23 +190,35 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketch(values: np.ndarray) -> np.ndarray:
-    """Parity of the shingles at each of 1,024 bits: differing bits never outnumber differing shingles."""
-    parity = np.bincount((values & _U(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    """Parity of the shingles at each bit, with a bit per shingle or more (a power of two).
+
+    Differing bits never outnumber differing shingles. Xor of its halves is the
+    sketch of half the size.
+    """
+    bits = max(64 * SKETCH, 1 << (len(values) - 1).bit_length())
+    parity = np.bincount((values & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
-_SET = "cls long, n long, bits array<long>, shingles array<long>"
+def halved(bits: np.ndarray) -> np.ndarray:
+    middle = bits.shape[-1] // 2
+    return bits[..., :middle] ^ bits[..., middle:]
+
+
+_SKETCH = "cls long, bits array<long>"
+_SET = "cls long, shingles array<long>"
 
 
 def _mark(cls: np.ndarray, doc_id: np.ndarray, bits: int) -> np.ndarray:
     return (C.mix(cls.astype(np.int64).view(np.uint64) ^ C.mix(doc_id.astype(np.int64).view(np.uint64))) & _U(bits - 1)).astype(np.int64)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Sets and sketches of the wanted classes, each from its smallest document (``cls, doc_id``).
+def sets_of(docs: DataFrame, wanted: DataFrame, sketches: bool) -> DataFrame:
+    """Sets, or their sketches, of the wanted classes, each from its smallest document (``cls, doc_id``).
 
     The wanted rows are named by a bit array of bounded size; the few rows it lets
-    through besides do no harm.
+    through besides do no harm. Sets are long, so they are made again from the
+    texts where they are needed rather than stored for every candidate.
     """
     spark = docs.sparkSession
     bits = 1 << min(28, max(16, (16 * wanted.count()).bit_length()))
@@ -226,12 +239,14 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             doc_id = pc.fill_null(C.column(block, "doc_id").cast(pa.int64()), -(2**63)).to_numpy()
             at = _mark(sets.cls.view(np.int64), doc_id, bits)
             rows = np.flatnonzero(((held.value[at >> 6] >> (at & 63)) & 1 == 1) & (sets.n > 0))
-            n = sets.n[rows]
-            drawn = np.concatenate([sketch(sets.of(r)) for r in rows.tolist()] or [np.zeros(0, np.int64)])
-            values = sets.values[C.ranges(sets.starts[rows], n)].view(np.int64)
-            yield _batch(_SET.replace("array<long>", "long"), sets.cls[rows], n, C.lists(drawn, np.full(len(rows), SKETCH), pa.int64()), C.lists(values, n, pa.int64()))
+            if sketches:
+                drawn = [sketch(sets.of(r)) for r in rows.tolist()]
+                made = C.lists(np.concatenate([*drawn, np.zeros(0, np.int64)]), np.array([len(x) for x in drawn], np.int64), pa.int64())
+            else:
+                made = C.lists(sets.values[C.ranges(sets.starts[rows], sets.n[rows])].view(np.int64), sets.n[rows], pa.int64())
+            yield _batch((_SKETCH if sketches else _SET).replace("array<long>", "long"), sets.cls[rows], made)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SET)
+    return docs.select("doc_id", "text").mapInArrow(run, _SKETCH if sketches else _SET)
 
 
 def divide_skip(lists: list[list[int]], least: int) -> dict[int, int]:
@@ -297,16 +312,23 @@ def search_cell(queries: list[tuple[int, np.ndarray]], members: list[tuple[int,
     return links
 
 
-def search(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def search(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, wanted: DataFrame) -> DataFrame:
     """Links ``a, b`` among candidate pairs (``a, n_a, b, n_b``); other true links may come along.
 
-    Pairs are put in cells of bounded numbers of shingles; a query with more members than that is in several.
+    Only classes left after the tests of size and sketch get their sets. Pairs are put in cells of bounded numbers of shingles; a query with more members than that is in several.
     """
-    xor = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
+    # sizes that may be similar are a factor of two apart at most, and so are their sketches
+    words = F.least(F.size("bits_a"), F.size("bits_b"))
+
+    def common(name: str) -> Column:
+        halves = F.zip_with(F.slice(name, 1, words), F.slice(name, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(name) > words, halves).otherwise(F.col(name))
+
+    xor = F.aggregate(F.zip_with(common("bits_a"), common("bits_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
     both = F.col("n_a") + F.col("n_b")
     least = F.expr(f"({PERCENT} * (n_a + n_b) + {99 + PERCENT}) div {100 + PERCENT}")
     sized = pairs.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT)
-    bits = sets.select("cls", "bits")
+    bits = sketches.select("cls", "bits")
     close = (
         sized.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b").filter(xor <= both - 2 * least)
         .select("a", "n_a", "b", "n_b").distinct()
@@ -319,7 +341,8 @@ def search(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     placed = close.join(load, "a").select("a", "b", F.pmod(F.xxhash64("a", part), F.lit(cells)).alias("cell"))
     member = placed.select("cell", F.col("b").alias("cls"), F.lit(False).alias("is_query")).distinct()
     query = placed.select("cell", F.col("a").alias("cls"), F.lit(True).alias("is_query")).distinct()
-    rows = member.unionByName(query).join(sets.select("cls", "shingles"), "cls")
+    left = close.select(F.col("a").alias("cls")).union(close.select("b")).distinct().join(wanted, "cls")
+    rows = member.unionByName(query).join(sets_of(docs, materialise(left), False), "cls")
 
     def run(cell: pa.Table) -> pa.Table:
         cls, is_query = cell.column("cls").to_numpy(), cell.column("is_query").to_numpy()
@@ -334,7 +357,7 @@ def search(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialise(rows.groupBy("cell").applyInArrow(run, "a long, b long"))
 
 
-def unresolved(stars: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+def unresolved(stars: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (``a, n_a, b, n_b``) of members of one star that are in different components and not ruled out by size or sketch.
 
     Only stars with a member outside their component count, and only pairs with such a member.
@@ -357,13 +380,36 @@ def unresolved(stars: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame
     index = rows.select(*columns, F.lit(False).alias("is_query"), F.pmod(h, F.col("m_parts")).cast("int").alias("i"), every("o_parts").alias("j"))
     query = rows.filter("outside").select(*columns, F.lit(True).alias("is_query"), every("m_parts").alias("i"), F.pmod(h, F.col("o_parts")).cast("int").alias("j"))
     placed = index.unionByName(query).withColumn("cell", F.pmod(F.xxhash64("a", "i", "j"), F.lit(cells)))
-    placed = placed.join(sets.select(F.col("cls").alias("b"), "bits"), "b")
+    placed = placed.join(sketches.select(F.col("cls").alias("b"), "bits"), "b")
 
     def run(cell: pa.Table) -> pa.Table:
         cell = cell.sort_by([("a", "ascending"), ("i", "ascending"), ("j", "ascending"), ("n", "ascending")]).combine_chunks()
         block = np.stack([cell.column(c).to_numpy().astype(np.int64) for c in "aij"], 1)
         b, n, root, is_query = (cell.column(c).to_numpy() for c in ("b", "n", "root", "is_query"))
-        bits = cell.column("bits").combine_chunks().flatten().to_numpy().reshape(-1, SKETCH)
+        lists = cell.column("bits").combine_chunks()
+        length = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        # sketches by their length; a row's place among those of its length
+        by_length, at = {}, np.zeros(len(length), np.int64)
+        for size in np.unique(length).tolist():
+            own = np.flatnonzero(length == size)
+            at[own] = np.arange(len(own))
+            by_length[size] = flat[ends[own][:, None] + np.arange(size)]
+
+        def differing(rows: np.ndarray, q: int) -> np.ndarray:
+            """A lower bound of the shingles in which the sets of these rows differ from that of q."""
+            out = np.zeros(len(rows), np.int64)
+            mine = by_length[length[q]][at[q]]
+            for size in np.unique(length[rows]).tolist():
+                some = length[rows] == size
+                theirs, own = by_length[size][at[rows[some]]], mine
+                if size > len(own):
+                    theirs = halved(theirs)
+                elif size < len(own):
+                    own = halved(own)
+                out[some] = np.bitwise_count(theirs ^ own).sum(1, dtype=np.int64)
+            return out
+
         cuts = np.append(np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]).any(1)])), len(b))
         out: set[tuple[int, int, int, int]] = set()
         for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
@@ -375,9 +421,8 @@ def unresolved(stars: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame
                 high = np.searchsorted(n[index], 100 * n[q] // PERCENT, "right")
                 near = index[low:high]
                 near = near[root[near] != root[q]]
-                differ = np.bitwise_count(bits[near] ^ bits[q]).sum(1, dtype=np.int64)
                 both = n[near] + n[q]
-                near = near[differ <= both - 2 * (-(-PERCENT * both // (100 + PERCENT)))]
+                near = near[differing(near, q) <= both - 2 * (-(-PERCENT * both // (100 + PERCENT)))]
                 for m in near.tolist():
                     x, y = sorted(((int(b[q]), int(n[q])), (int(b[m]), int(n[m]))))
                     out.add((*x, *y))
@@ -395,7 +440,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     found = materialise(docs.mapInArrow(_members, _MEMBERS))
     members = found.filter("kind = 0").select("doc_id", "cls", "n", "text_hash")
-    often = found.filter("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cls").limit(FREQUENT).toArrow()
+    often = materialise(found.filter("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")))
+    often = most_frequent(often, FREQUENT).toArrow()
     keys = often.column("cls").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     level = np.minimum(np.log2(np.maximum(often.column("n").to_numpy(), 1)) + 1, 31).astype(np.uint64)
@@ -406,10 +452,11 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     first = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     nodes = stars.select(F.col("a").alias("cls")).union(stars.select("b")).distinct()
     wanted = nodes.join(first, "cls").select("cls", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"))
-    sets = materialise(sets_of(docs, materialise(wanted)))
-    links = search(stars, sets)
+    wanted = materialise(wanted)
+    sketches = materialise(sets_of(docs, wanted, True))
+    links = search(docs, stars, sketches, wanted)
     roots = components(links)
-    more = search(unresolved(stars, roots, sets), sets)
+    more = search(docs, unresolved(stars, roots, sketches), sketches, wanted)
     # every class in a component of several, with the smallest document of that component
     roots = components(links.unionByName(more))
     named = first.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls"))

@@ -44,6 +44,20 @@ def test_prefix_length_is_long_enough():
         assert jaccard.needed(n, n) <= n
 
 
+def test_sketches_never_differ_more_than_the_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (3, 900, 1500, 5000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for change in (0, 1, n // 5, n):
+            b = np.unique(np.concatenate([a[change:], rng.integers(0, 2**63, change + n // 6).astype(np.uint64)]))
+            x, y = jaccard.sketch(a), jaccard.sketch(b)
+            while len(x) != len(y):
+                x, y = (jaccard.halved(x), y) if len(x) > len(y) else (x, jaccard.halved(y))
+            assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+
+
 def chains(seed=6):
     """Chains of edits, where the ends are not similar, inside a passage that all share, and one large group."""
     rng = random.Random(seed)
@@ -55,6 +69,12 @@ def chains(seed=6):
             rows.append(" ".join(w))
             w = list(w)
             w[rng.randrange(25, len(w))] = f"new{rng.random()}"
+    for size in (1500, 1990):
+        w = words(rng, "de", size)
+        for _ in range(4):
+            rows.append(" ".join(w))
+            w = [*w[:-60], *words(rng, "de", 100)]
+        rows.append(" ".join([*passage, *words(rng, "en", size), *passage]))
     base = words(rng, "de", 80)
     for _ in range(60):
         w = list(base)
