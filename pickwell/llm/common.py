@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 _U = np.uint64
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
@@ -25,6 +25,8 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = BL
         starts = np.flatnonzero(np.diff(before // most, prepend=-1))
         for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+            # a reused worker would keep what the largest block needed
+            pa.default_memory_pool().release_unused()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -31,7 +31,7 @@ from pickwell.llm import common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-MAX_CACHE = 200_000
+MAX_CACHE = 50_000
 _LITERAL = "\ue000"  # stands for a U+2581 of the text inside a part; never a piece
 
 
