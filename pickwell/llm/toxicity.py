@@ -7,7 +7,9 @@ neither means alone.
 
 Learning uses a bounded sample of the labelled rows: per label the ``max_rows``
 with the smallest hash of their id. It runs in one task on that sample; the
-model keeps terms found in at least ``MIN_DF`` of its texts.
+model keeps terms found in at least ``MIN_DF`` of its texts. The sample takes the
+two classes at different rates, so the log ratio of the rates is taken off the bias:
+scores are for the class shares of all labelled rows, however large the table is.
 
 Defined cases: NULL or blank texts get the score of the bias alone; labels other
 than 0 and 1 and documents without a label are not learned from; with no labels
@@ -128,6 +130,13 @@ def fit(row_terms: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS,
     return FactorModel(bias, keys, weights.astype(np.float32))
 
 
+def rate_ratio(rows: dict[int, int], sampled: dict[int, int]) -> float:
+    """Log of the sampling rate of label 1 over that of label 0; 0 where a class has no rows in the sample."""
+    if not all(rows.get(v) and sampled.get(v) for v in (0, 1)):
+        return 0.0
+    return float(np.log(sampled[1] / rows[1]) - np.log(sampled[0] / rows[0]))
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", max_rows: int = MAX_ROWS) -> FactorModel | None:
     """A model from at most ``max_rows`` labelled documents of each class; None without any."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull())
@@ -135,6 +144,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     order = F.xxhash64("key")
     picked = [known.filter(F.col("label") == v).orderBy(order, "key").limit(max_rows) for v in (0, 1)]
     wanted = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * max_rows small rows at most
+    every = docs.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).join(known, "key")
+    rows = {r["label"]: r["n"] for r in every.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     sample = docs.select(F.col(key).alias("key"), F.col("text").alias("text")).join(wanted, "key")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +161,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
         table = pa.Table.from_batches(held)
         row_terms = [np.asarray(x.values) for x in table.column("terms")]
         order = sorted(range(len(row_terms)), key=lambda i: (table.column("key")[i].as_py(), row_terms[i].tobytes()))
-        model = fit([row_terms[i] for i in order], table.column("label").to_numpy()[order].astype(float))
+        labels = table.column("label").to_numpy()[order].astype(float)
+        model = fit([row_terms[i] for i in order], labels)
+        model.bias -= rate_ratio(rows, {v: int((labels == v).sum()) for v in (0, 1)})
         keys = np.concatenate([[0], model.keys])
         values = np.concatenate([[[model.bias] + [0.0] * FACTORS], model.weights])
         first = np.arange(len(keys)) == 0

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from pickwell.llm import toxicity
 from tests.llm.made import words
@@ -54,3 +55,22 @@ def test_query(spark, docs, no_docs, doc_rows):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     assert {r.score for r in toxicity.toxicity_query(docs, labels.limit(0)).collect()} == {0.0}
     assert toxicity.toxicity_query(no_docs, labels).count() == 0
+
+
+def test_the_limit_of_the_sample_keeps_the_shares_of_the_classes(spark):
+    """Words that say nothing of the class: the score is the share of toxic rows, cut (300 of 2,400 clean ones) or not."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(words(rng, "en", 8)), int(i % 9 == 0)) for i in range(2700)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    plain = pa.array([None, "nothing known"])
+
+    def logit(max_rows, table=table):
+        score = toxicity.learn(table, table.select("doc_id", "toxic"), max_rows=max_rows).score(plain)
+        return np.log(score / (1 - score))
+
+    whole, cut = logit(3000), logit(300)
+    assert np.all(np.abs(cut - whole) < 0.7)
+    clean = table.filter("toxic = 0").withColumn("doc_id", F.col("doc_id") + 10_000)
+    assert np.all(np.abs(logit(300, table.unionByName(clean)) - cut + np.log(2)) < 0.7)
+    assert toxicity.rate_ratio({0: 800, 1: 100}, {0: 100, 1: 100}) == np.log(8)
+    assert toxicity.rate_ratio({0: 800}, {0: 100, 1: 0}) == toxicity.rate_ratio({0: 5, 1: 2}, {0: 5, 1: 2}) == 0
