@@ -43,3 +43,16 @@ def test_stages(spark, tmp_path, sf_dir):
         assert r.ids == sentencepiece.encode_text(r.text, pieces)
     rejected = docs.join(spark.read.parquet(str(tmp_path / "0")), "doc_id", "left_anti").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
     assert rejected.filter("toxic = 0").count() <= 0.05 * counts[0]
+
+
+def test_columns_named_as_those_of_a_stage_pass(spark, tmp_path, sf_dir):
+    names = ["size", "source_size", "target", "draws", "taken", "mix_shard", "mix_order", "lang_pred", "lang_score", "lang_spans", "_toxicity", "_others", "_copy", "_h", "a.b"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(100)
+    docs = docs.select("*", *[F.lit("own").alias(n) for n in names])
+    docs.write.parquet(path := str(tmp_path / "docs"))
+    docs = spark.read.parquet(path)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, sf_dir)
+        assert after.columns == docs.columns
+        kept = [[*r] for r in after.select(*[F.col(f"`{n}`") for n in names]).collect()]
+        assert kept and all(r == ["own"] * len(names) for r in kept)
