@@ -11,7 +11,7 @@ a hash. All row work is DataFrame functions; the driver sees one row per source.
 
 Defined cases: NULL texts have size 0 and are taken with their block; sources
 without words have target 0 and take nothing; NULL source is a source of its own,
-last in order; equal rows are taken alike; an empty table gives no rows; other
+last in order; rows of equal id and text are numbered and drawn one by one; an empty table gives no rows; other
 columns pass, old columns named as the new ones are replaced.
 """
 
@@ -25,10 +25,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pickwell.session import materialise
+
 MAX_REPEATS = 3
 DOCS_PER_BLOCK = 64
 MAX_BLOCKS = 1 << 16  # of a source; beyond, its blocks grow
 MAX_SOURCES = 100_000
+SALTED = 1024  # most repeated rows that are numbered in SALTS parts
+SALTS = 64
 SEED = 20240229
 ADDED = ("size", "source_size", "target", "draws", "taken")
 
@@ -102,15 +106,35 @@ def _hash(*cols: Column | str) -> Column:
     return F.xxhash64(F.lit(SEED), *cols)
 
 
-def plan(docs: DataFrame, key: str, text: str, source: str, shards: int, weight: Callable[[int], float], most: float) -> tuple[DataFrame, list[SourcePlan]]:
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``_h`` in place of ``_u``: a hash of ``_u`` and the row's number among the rows of that ``_u``, from 0 up.
+
+    The ``SALTED`` most repeated values are numbered in random parts; any other has less than one in
+    ``SALTED`` of the rows. The rows are stored, so that every reader sees the same numbers.
+    """
+    often = rows.groupBy("_u").count().filter(F.col("count") > SALTS).orderBy(F.desc("count"), "_u").limit(SALTED).select("_u", F.lit(True).alias("_often"))
+    salt = F.when(F.col("_often"), F.floor(F.rand(SEED) * SALTS).cast("int")).otherwise(0)
+    dealt = rows.join(F.broadcast(often), "_u", "left").withColumn("_salt", salt)
+    number = F.row_number().over(Window.partitionBy("_u", "_salt").orderBy(F.lit(0))) - 1
+    stored = materialise(dealt.withColumn("_number", number.cast("long")))
+    parts = stored.filter("_often").groupBy("_u", "_salt").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_u").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_u", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))  # SALTED * SALTS rows at most
+    found = stored.join(F.broadcast(offsets), ["_u", "_salt"], "left")
+    kept = [F.col(f"`{c}`") for c in rows.columns if c != "_u"]
+    return found.select(*kept, _hash("_u", F.col("_number") + F.coalesce("_offset", F.lit(0))).alias("_h"))
+
+
+def plan(docs: DataFrame, key: str, text: str, source: str, shards: int, weight: Callable[[int], float], most: float, narrow: bool = False) -> tuple[DataFrame, list[SourcePlan]]:
     """Documents with size and hash, and each source's plan."""
     old = [c for c in docs.columns if c not in ADDED]
     rows = docs.select(
         *[F.col(f"`{c}`") for c in old],
         word_count(F.col(text)).alias("size"),
-        _hash(F.col(key).cast("string")).alias("_h"),
+        _hash(F.col(key).cast("string"), F.lit(0), F.col(text), F.lit(0), F.col(source)).alias("_u"),
         F.col(source).alias("_source"),
     )
+    rows = _numbered(rows.drop(text) if narrow else rows)
     found = rows.groupBy("_source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -133,13 +157,19 @@ def mix_plan(
     shards: int = 8,
     weight: Callable[[int], float] = cyclic_weight,
     most: int = MAX_REPEATS,
+    narrow: bool = False,
 ) -> DataFrame:
-    """Every document with ``size, source_size, target, draws, taken``.
+    """Every document with ``size, source_size, target, draws, taken``; ``narrow`` leaves its text out.
 
     ``draws`` lists the output shard of each time the document is taken.
     """
+    return _mix_plan(docs, key, text, source, shards, weight, most, narrow).drop("_h")
+
+
+def _mix_plan(docs: DataFrame, key: str, text: str, source: str, shards: int, weight: Callable[[int], float], most: int, narrow: bool = False) -> DataFrame:
+    """``mix_plan`` with the hash of each row in ``_h``."""
     spark = docs.sparkSession
-    rows, plans = plan(docs, key, text, source, shards, weight, most)
+    rows, plans = plan(docs, key, text, source, shards, weight, most, narrow)
     kept = [c for c in rows.columns if c not in ("_h", "_source")]
     same = F.col("_source").eqNullSafe(F.col("p_source"))
 
@@ -182,25 +212,34 @@ def mix_plan(
         lambda x: x.isNotNull(),
     )
     shard = F.transform(numbers, lambda x: F.size(F.filter(F.col("p_cuts"), lambda c: c <= x)))
-    out = rows.join(full, same).select(*[F.col(f"`{c}`") for c in kept], "source_size", "target", shard.alias("draws"))
+    out = rows.join(full, same).select(*[F.col(f"`{c}`") for c in kept], "source_size", "target", "_h", shard.alias("draws"))
     return out.withColumn("taken", F.col("size") * F.size("draws"))
 
 
-def mix(docs: DataFrame, shards: int = 8, key: str = "doc_id", slices: int = 64, **options) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    shards: int = 8,
+    key: str = "doc_id",
+    slices: int = 64,
+    text: str = "text",
+    source: str = "source",
+    weight: Callable[[int], float] = cyclic_weight,
+    most: int = MAX_REPEATS,
+) -> DataFrame:
     """The mixed rows: each document as often as it is drawn, with all columns of ``docs``.
 
     ``mix_shard`` is the output shard; inside it rows lie in the random order of
     ``mix_order``, in ``slices`` consecutive partitions so that no task holds a whole shard.
     """
     old = [c for c in docs.columns if c not in (*ADDED, "mix_shard", "mix_order")]
-    planned = mix_plan(docs.select(*[F.col(f"`{c}`") for c in old]), key=key, shards=shards, **options)
-    taken = planned.select(*[F.col(f"`{c}`") for c in old], F.posexplode("draws").alias("_time", "mix_shard"))
-    placed = taken.withColumn("mix_order", _hash(F.col("mix_shard"), F.col("_time"), F.col(key).cast("string"))).drop("_time")
+    planned = _mix_plan(docs.select(*[F.col(f"`{c}`") for c in old]), key, text, source, shards, weight, most)
+    taken = planned.select(*[F.col(f"`{c}`") for c in old], "_h", F.posexplode("draws").alias("_time", "mix_shard"))
+    placed = taken.withColumn("mix_order", _hash(F.col("mix_shard"), F.col("_time"), F.col("_h"))).drop("_time", "_h")
     piece = F.floor(F.col("mix_order") / F.lit(2.0**64 / slices))
     return placed.repartition("mix_shard", piece).sortWithinPartitions("mix_shard", "mix_order")
 
 
 def mixing_query(docs: DataFrame) -> DataFrame:
     """Words taken of every document."""
-    planned = mix_plan(docs.select("doc_id", "text", "source"))
+    planned = mix_plan(docs.select("doc_id", "text", "source"), narrow=True)
     return planned.select("doc_id", "size", "source_size", "target", "taken", "draws")

@@ -86,3 +86,19 @@ def test_mixed_rows_are_the_draws(docs, no_docs):
     assert Counter((r.doc_id, r.mix_shard) for r in mixed.collect()) == drawn
     assert {"text", "lang", "n_chars"} <= set(mixed.columns)
     assert mixing.mixing_query(no_docs).count() == 0 and mixing.mix(no_docs).count() == 0
+
+
+def test_a_repeated_id_or_row_is_drawn_in_parts(spark):
+    """A third of the rows are copies of one row, a third have no id: both are cut where the target is reached."""
+    rows = [(7, "copy of one row", "a")] * 700 + [(None, f"no id {i}", "a") for i in range(700)] + [(i, "plain text here", "a") for i in range(1000, 1700)]
+    rows += [(i, "b " * 40, "b") for i in range(2000, 2200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mixing_query(docs).collect()
+    assert len(got) == len(rows)
+    own = [r for r in got if r["size"] < 10]
+    assert abs(sum(r.taken for r in own) - own[0].target) <= 4
+    assert all(len({s for r in got if r.doc_id == i for s in r.draws}) > 4 for i in (7, None))
+    again = mixing.mixing_query(docs.repartition(3)).collect()
+    assert Counter((r.doc_id, r["size"], tuple(r.draws)) for r in got) == Counter((r.doc_id, r["size"], tuple(r.draws)) for r in again)
+    mixed = mixing.mix(docs).groupBy("doc_id", "text", "mix_order").count()
+    assert mixed.filter("count > 1").count() == 0
