@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pickwell.llm import chat, jaccard, langid, lm, mixing, sentencepiece, sharding, topk, toxicity, vecdup
+from pickwell.llm import chat, jaccard, langid, lexical, licenses, lm, mixing, periodic, sentencepiece, sharding, topk, toxicity, vecdup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,10 +51,23 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_query(_read(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.lexical_query(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_query(_read(spark, sf_dir, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_query(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_chat_format, op3_toxicity, op4_ngram_jaccard, op5_hilbert_sharding,
         op6_exact_topk, op7_mixing, op8_sentencepiece, op9_embedding_dedup, op10_lm_score,
+        op11_lexical_search, op12_periodic_runs, op13_license_scan,
     )
 }

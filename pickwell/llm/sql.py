@@ -1,11 +1,13 @@
 """The corpus queries that SQL can express, as DuckDB SQL.
 
-Trained models (1, 3, 10), approximate quantiles (5), a hash that DuckDB lacks (7)
+Trained models (1, 3, 10), approximate quantiles (5), a hash that DuckDB lacks (7, 12)
 and piece ids (8) are not among them; tests hold those against brute force.
 """
 
 from __future__ import annotations
 
+from pickwell.llm import licenses
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 # every control string gets one backslash, and so does every backslash
@@ -15,6 +17,13 @@ _TURNS = """SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 
 _OK = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_KINDS = list(licenses.KINDS)
+_RULES = ", ".join(
+    f"({r.number}, '{r.lead}', '{r.label}', {_KINDS.index(r.kind)}, {licenses.KINDS[r.kind]}, {r.base}, '{licenses.bounded(r.pattern)}')"
+    for r in licenses.RULES
+)
+
 SQL: dict[str, str] = {
     "op2_chat_format": f"""SELECT conv_id, count(*) AS n_turns,
         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
@@ -54,4 +63,35 @@ SQL: dict[str, str] = {
         SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
         FROM (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY 1)
         LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1) USING (vec_id)""",
+    "op11_lexical_search": rf"""WITH terms AS (
+          SELECT row_number() OVER () AS d, doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS t FROM documents),
+        tf AS (SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(t) AS t FROM terms) GROUP BY ALL),
+        totals AS (SELECT count(*) AS big_n, sum(len(t))::BIGINT AS big_l FROM terms WHERE len(t) > 0),
+        weights AS (SELECT t, CAST(floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+          FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), totals),
+        lengths AS (SELECT d, doc_id, 50 + (50 * len(t) * big_n) // big_l AS m FROM terms, totals WHERE len(t) > 0),
+        items AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS t FROM benchmark),
+        scores AS (
+          SELECT item_id, d, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+          FROM items JOIN tf USING (t) JOIN weights USING (t) JOIN lengths USING (d) GROUP BY ALL),
+        places AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scores WHERE score > 0)
+        SELECT item_id, CAST(place AS INT) AS rank, doc_id, score FROM places WHERE place <= 50""",
+    "op13_license_scan": rf"""WITH words AS (
+          SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{licenses.LOWER_WORD}') AS w FROM documents),
+        rules(number, lead, label, kind, sure, base, pattern) AS (VALUES {_RULES}),
+        places AS (SELECT r, word, start FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS start FROM words)
+          WHERE word IN (SELECT lead FROM rules)),
+        windows AS (SELECT r, word, start, array_to_string(list_slice(w, start + 1, start + {licenses.LONGEST}), ' ') AS near
+          FROM places JOIN words USING (r)),
+        matches AS (SELECT *, start + length(m) - length(replace(m, ' ', '')) + 1 AS stop FROM (
+          SELECT r, start, number, label, kind, sure, base, regexp_extract(near, pattern, 1) AS m FROM windows JOIN rules ON lead = word) WHERE m <> ''),
+        found AS (SELECT * FROM matches d WHERE base OR NOT EXISTS (
+          SELECT 1 FROM matches e WHERE e.r = d.r AND NOT e.base AND e.start <= d.start AND e.stop >= d.stop
+            AND (e.kind, e.start - e.stop, e.start, e.number) < (d.kind, d.start - d.stop, d.start, d.number))),
+        of_text AS (
+          SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+            string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+            string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(sure) AS score FROM found GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+          coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM words LEFT JOIN of_text USING (r)""",
 }

@@ -16,7 +16,7 @@ duckdb = pytest.importorskip("duckdb")
 def test_every_operator_has_its_query():
     import __spark_entry__
 
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(__spark_entry__.queries())
 
 
