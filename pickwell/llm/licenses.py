@@ -185,9 +185,9 @@ class Rule:
     def literals(self) -> list[str]:
         """Strings that every match has."""
         plain = self.pattern
-        while plain != (plain := re.sub(r"\([^()]*\)[?*+]?|\[[^\]]*\][?*+]?|.\?|\.(?:\{[^}]*\}|[*+])", "|", plain)):
+        while plain != (plain := re.sub(r"\([^()]*\)[?*+]?", "|", plain)):
             pass
-        return re.findall("[a-z0-9]+", plain)
+        return re.findall("[a-z0-9]+", re.sub(r"\[[^\]]*\][?*+]?|[a-z0-9 ]\?|\.(?:\{[^}]*\}|[*+])", "|", plain))
 
     @property
     def needs(self) -> str:
