@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -50,6 +56,16 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
     assert _sorted(df.columns, [tuple(r) for r in df.collect()]) == _sorted(list(types), result.fetchall())
 
 
+@pytest.mark.parametrize("pipeline_stays", [False, True])
+def test_contract_loads_without_the_corpus_operators(tmp_path, pipeline_stays):
+    root = Path(contract.__file__).parent
+    left_out = shutil.ignore_patterns("llm", ".git", "__pycache__", *([] if pipeline_stays else ["corpus_pipeline.py"]))
+    shutil.copytree(root, tmp_path / "repo", ignore=left_out)
+    code = "import __spark_entry__ as e, tests.test_plans; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", capture_output=True, text=True, env=os.environ | {"PYTHONPATH": "."})
+    assert done.stdout.split() == [str(len(QUERIES))] * 2, done.stderr
+
+
 def test_entry_has_rows_and_stable_schema(spark):
     first, second = contract.entry(spark), contract.entry(spark)
     assert first.schema == second.schema
