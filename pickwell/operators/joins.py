@@ -65,7 +65,7 @@ def gather_items(hits: Hits, items: DataFrame, max_broadcast_bytes: int = MAX_BR
     """
     if hits.max_bytes is not None and hits.max_bytes <= max_broadcast_bytes:
         return items.join(F.broadcast(hits.df), "item_id")
-    rows = materialise(hits.df)
+    rows = hits.df if hits.stored else materialise(hits.df)
     if _bytes(rows, "qid", "item_id") <= max_broadcast_bytes:
         return items.join(F.broadcast(rows), "item_id")
     return salted_join(rows, items, "item_id", spread_by="qid")

@@ -4,14 +4,18 @@ Every (query, item) score is looked at, none is stored: a task multiplies a
 block of queries with a block of items and keeps k candidates per query. Only
 those leave the task, and one window per query picks the final k.
 
-Two ways, the same result:
-
-* few queries (their vectors and ids fit ``max_query_bytes``, and k of each
-  ``MAX_KEPT``): the matrix goes to every task, items are scanned where they lie,
-  and nothing but candidates is shuffled, under the number of their query; ids
-  come back after the last cut;
-* more queries: both sides are cut into blocks by a hash of their id and each
-  (query block, item block) cell is one bounded task.
+Queries come in blocks that fit every task (``max_query_bytes``, and k of each query
+``MAX_KEPT``). Items never move: a block's matrix goes to the tasks, items are scanned
+where they lie, and nothing but candidates is shuffled, under the number of their
+query; ids come back after the last cut. One block is a lazy plan. More than one
+are stored and searched one after the other: the driver holds one of them, which is
+sent, used and destroyed before the next, and its hits are added to a table in the
+shared folder. Each block reads the items again, which is little beside the
+products of its tens of thousands of queries with every item.
+
+If items lie in many tasks, a share of them is searched first. Its kth best is a
+floor that the search of all of them starts with, so a task no longer sends k
+candidates a query but those that may still be among the k best.
 
 Similarity is summed in double precision and rounded to ``DIGITS``; equal values
 are ordered by item id, so exact copies of an item rank in a fixed order.
@@ -19,21 +23,24 @@ are ordered by item id, so exact copies of an item rank in a fixed order.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pickwell.session import materialise, scratch_path
+
 DIGITS = 9
 MAX_QUERY_BYTES = 32 * 1024 * 1024
 QUERY_BLOCK_BYTES = 64 * 1024 * 1024
-ITEM_BLOCK_BYTES = 128 * 1024 * 1024
 SCAN_TASKS = 20_000
+# with more tasks than this, one item in as many is searched first
+SEED_TASKS = 64
 # candidates one task keeps
 MAX_KEPT = 4_000_000
 _SCORE_CELLS = 4_000_000
@@ -44,7 +51,8 @@ class Hits:
     """Top-k rows ``qid, item_id, rank, similarity`` and what is known of their size.
 
     ``queries`` and ``query_bytes`` (of their ids) are set if the queries were few
-    enough to be counted out, ``item_bytes`` if item ids have a fixed width.
+    enough to be counted out, ``item_bytes`` if item ids have a fixed width, ``stored``
+    if the rows are a table and no plan.
     """
 
     df: DataFrame
@@ -52,6 +60,7 @@ class Hits:
     queries: int | None = None
     query_bytes: int | None = None
     item_bytes: int | None = None
+    stored: bool = False
 
     @property
     def max_bytes(self) -> int | None:
@@ -87,8 +96,8 @@ def top_k(
     k: int,
     max_query_bytes: int = MAX_QUERY_BYTES,
     query_block_rows: int | None = None,
-    item_block_rows: int | None = None,
     scan_tasks: int = SCAN_TASKS,
+    seed_tasks: int = SEED_TASKS,
     dim: int | None = None,
 ) -> Hits:
     """The k best items of each query.
@@ -96,38 +105,100 @@ def top_k(
     ``queries``: ``qid, qvec``; ``items``: ``item_id, embedding``. Ids are unique
     on each side. Fewer items than k give fewer rows. The width of the vectors is
     that of the first one unless ``dim`` tells it; a task that meets another width
-    fails with a message. ``scan_tasks`` bounds the tasks of the first way, and with
-    them the candidates shuffled: at most k per query and task.
+    fails with a message. ``scan_tasks`` bounds the tasks of a scan, and with them the
+    candidates shuffled. Items of a plan that encodes them are stored before they
+    are read more than once.
     """
     queries, items = queries.select("qid", "qvec"), items.select("item_id", "embedding")
     qtype, itype = queries.schema["qid"].dataType, items.schema["item_id"].dataType
-    out = T.StructType(
-        [T.StructField("qid", qtype), T.StructField("item_id", itype), T.StructField("similarity", T.DoubleType())]
-    )
+    item_bytes = 8 if isinstance(itype, T.IntegralType) else None
     dim = dim or _first_dim(queries, items)
     # Measuring reads ids only; vectors are fetched once they are known to fit.
     n, id_bytes = queries.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("qid").cast("string"))), F.lit(0))).first()
-    names = None
     if n * dim * 8 + id_bytes <= max_query_bytes and n * k <= MAX_KEPT:
         block = queries.toArrow()
-        candidates = _scan_items(block["qvec"], items.coalesce(scan_tasks), k, itype)
-        names = items.sparkSession.createDataFrame(
-            pa.table({"_number": pa.array(np.arange(block.num_rows), pa.int32()), "_name": block["qid"]}),
-            T.StructType([T.StructField("_number", T.IntegerType()), T.StructField("_name", qtype)]),
-        )
-        size = {"queries": block.num_rows, "query_bytes": block["qid"].nbytes}
-    else:
-        query_rows = query_block_rows or max(1, QUERY_BLOCK_BYTES // (4 * dim))
-        item_rows = item_block_rows or max(1, ITEM_BLOCK_BYTES // (4 * dim))
-        candidates = _grid(queries, items, k, query_rows, item_rows, out)
-        size = {}
+        hits = block_hits(block, items, k, scan_tasks, seed_tasks, qtype)
+        return Hits(hits, k, block.num_rows, block["qid"].nbytes, item_bytes)
+    rows = query_block_rows or max(1, min(QUERY_BLOCK_BYTES // (4 * dim), MAX_KEPT // k))
+    return Hits(_block_by_block(queries, resting(items), k, -(-n // rows), scan_tasks, seed_tasks), k, item_bytes=item_bytes, stored=True)
+
+
+def resting(items: DataFrame) -> DataFrame:
+    """The items as they are if they are read from files, else stored."""
+    made = "UDF" in items._jdf.queryExecution().optimizedPlan().toString()
+    return materialise(items) if made or not items.inputFiles() else items
+
+
+def _block_by_block(queries: DataFrame, items: DataFrame, k: int, blocks: int, scan_tasks: int, seed_tasks: int) -> DataFrame:
+    """Hits of all queries, a hashed block of them at a time."""
+    spark, qtype = items.sparkSession, queries.schema["qid"].dataType
+    path = scratch_path(spark)
+    of_block = F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")
+    # one task writes a block, which is as large as what one task is sent
+    queries.withColumn("_block", of_block).repartition(blocks, "_block").write.partitionBy("_block").parquet(f"{path}/queries")
+    stored = spark.read.schema(T.StructType([*queries.schema, T.StructField("_block", T.IntegerType())])).parquet(f"{path}/queries")
+    schema = _hit_schema(qtype, items.schema["item_id"].dataType)
+    spark.createDataFrame([], schema).write.parquet(f"{path}/hits")
+    for number in range(blocks):
+        block = stored.filter(F.col("_block") == number).drop("_block").toArrow()
+        sent: list[Broadcast] = []
+        block_hits(block, items, k, scan_tasks, seed_tasks, qtype, sent).write.mode("append").parquet(f"{path}/hits")
+        for variable in sent:
+            variable.destroy()
+    return spark.read.schema(schema).parquet(f"{path}/hits")
+
+
+def _hit_schema(qtype: T.DataType, itype: T.DataType) -> T.StructType:
+    kinds = {"qid": qtype, "item_id": itype, "rank": T.IntegerType(), "similarity": T.DoubleType()}
+    return T.StructType([T.StructField(n, kind) for n, kind in kinds.items()])
+
+
+def block_hits(
+    block: pa.Table,
+    items: DataFrame,
+    k: int,
+    scan_tasks: int = SCAN_TASKS,
+    seed_tasks: int = SEED_TASKS,
+    qtype: T.DataType | None = None,
+    sent: list[Broadcast] | None = None,
+) -> DataFrame:
+    """``qid, item_id, rank, similarity`` of one block of queries (``qid, qvec``), items scanned where they lie.
+
+    With ``sent``, what goes to the tasks is a broadcast variable, added to that list.
+    """
+    spark = items.sparkSession
+    qtype = qtype or T.LongType()
+    if not block.num_rows:
+        return spark.createDataFrame([], _hit_schema(qtype, items.schema["item_id"].dataType))
+    items = items.coalesce(scan_tasks)
+    matrix = _matrix(block["qvec"])
+    floors = np.full(block.num_rows, -np.inf)
+    if items.rdd.getNumPartitions() > seed_tasks:
+        some = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(seed_tasks)) == 0)
+        for r in _ranked(_scan_items(_send(spark, (matrix, floors), sent), some, k), k).filter(F.col("rank") == k).toLocalIterator():
+            floors[r.qid] = r.similarity
+    ranked = _ranked(_scan_items(_send(spark, (matrix, floors), sent), items, k), k)
+    names = spark.createDataFrame(
+        pa.table({"_number": pa.array(np.arange(block.num_rows), pa.int32()), "_name": block["qid"]}),
+        T.StructType([T.StructField("_number", T.IntegerType()), T.StructField("_name", qtype)]),
+    )
+    # as many names as the block has queries
+    named = ranked.withColumnRenamed("qid", "_number").join(F.broadcast(names), "_number").withColumnRenamed("_name", "qid")
+    return named.select("qid", "item_id", "rank", "similarity")
+
+
+def _send(spark: SparkSession, value: tuple, sent: list[Broadcast] | None) -> Callable[[], tuple]:
+    """A way for tasks to get the value: part of their function, or a broadcast variable the caller destroys."""
+    if sent is None:
+        return lambda: value
+    variable = spark.sparkContext.broadcast(value)
+    sent.append(variable)
+    return lambda: variable.value
+
+
+def _ranked(candidates: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "item_id")
-    ranked = candidates.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    if names is not None:
-        named = ranked.withColumnRenamed("qid", "_number").join(F.broadcast(names), "_number")
-        ranked = named.withColumnRenamed("_name", "qid")
-    item_bytes = 8 if isinstance(itype, T.IntegralType) else None
-    return Hits(ranked.select("qid", "item_id", "rank", "similarity"), k, item_bytes=item_bytes, **size)
+    return candidates.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def _first_dim(queries: DataFrame, items: DataFrame) -> int:
@@ -138,17 +209,15 @@ def _first_dim(queries: DataFrame, items: DataFrame) -> int:
     return max(widths, default=1)
 
 
-def _scan_items(qvecs: pa.ChunkedArray, items: DataFrame, k: int, itype: T.DataType) -> DataFrame:
+def _scan_items(get: Callable[[], tuple], items: DataFrame, k: int) -> DataFrame:
     """Candidates whose ``qid`` is the number of the query in the block."""
     out = T.StructType(
-        [T.StructField("qid", T.IntegerType()), T.StructField("item_id", itype), T.StructField("similarity", T.DoubleType())]
+        [T.StructField("qid", T.IntegerType()), items.schema["item_id"], T.StructField("similarity", T.DoubleType())]
     )
-    if not len(qvecs):
-        return items.sparkSession.createDataFrame([], out)
-    qids, qmat = pa.array(np.arange(len(qvecs)), pa.int32()), _matrix(qvecs)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(qids, qmat, k)
+        matrix, floors = get()
+        best = _Best(pa.array(np.arange(len(matrix)), pa.int32()), matrix, k, floors)
         for batch in batches:
             best.add(batch.column("item_id"), batch.column("embedding"))
         yield from best.batches()
@@ -156,37 +225,6 @@ def _scan_items(qvecs: pa.ChunkedArray, items: DataFrame, k: int, itype: T.DataT
     return items.mapInArrow(scan, out)
 
 
-def _grid(
-    queries: DataFrame, items: DataFrame, k: int, query_rows: int, item_rows: int, out: T.StructType
-) -> DataFrame:
-    q_blocks = max(1, math.ceil(queries.count() / query_rows))
-    # at least one cell per core, however small the table
-    cores = queries.sparkSession.sparkContext.defaultParallelism
-    i_blocks = max(math.ceil(items.count() / item_rows), math.ceil(cores / q_blocks))
-
-    def block_of(column: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
-
-    # each query meets every item block and the other way round
-    left = queries.withColumn("_qb", block_of("qid", q_blocks)).withColumn(
-        "_ib", F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1)))
-    )
-    right = items.withColumn("_ib", block_of("item_id", i_blocks)).withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
-    )
-
-    def cell(q: pa.Table, i: pa.Table) -> pa.Table:
-        schema = _arrow_schema(q.schema.field("qid").type, i.schema.field("item_id").type)
-        if not q.num_rows or not i.num_rows:
-            return pa.Table.from_batches([], schema)
-        best = _Best(_ids(q["qid"]), _matrix(q["qvec"]), k)
-        best.add(i["item_id"], i["embedding"])
-        return pa.Table.from_batches(list(best.batches()), schema)
-
-    keys = ["_qb", "_ib"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, out)
-
-
 # ---------------------------------------------------------------- inside a task
 
 
@@ -212,13 +250,13 @@ def _arrow_schema(qid: pa.DataType, item: pa.DataType) -> pa.Schema:
 class _Best:
     """The k best items so far of each query of a block."""
 
-    def __init__(self, qids: pa.Array, qmat: np.ndarray, k: int):
+    def __init__(self, qids: pa.Array, qmat: np.ndarray, k: int, floors: np.ndarray):
         self.qids, self.k = qids, k
         self.q64 = qmat.astype(np.float64)
         self.q32 = qmat.astype(np.float32)
         self.qnorm = np.linalg.norm(self.q64, axis=1)
         self.qmax = self.qnorm[np.isfinite(self.qnorm)].max(initial=0.0)
-        self.floor = np.full(len(qmat), -np.inf)
+        self.floor = floors.copy()
         self.q = np.zeros(0, np.int64)
         self.sim = np.zeros(0)
         self.ids: pa.Array | None = None

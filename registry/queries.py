@@ -65,7 +65,7 @@ def vector_topk_blocks(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     queries = vectors.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     items = vectors.select(F.col("vec_id").alias("item_id"), "embedding")
-    hits = top_k(queries, items, TOPK, max_query_bytes=0, query_block_rows=512, item_block_rows=512)
+    hits = top_k(queries, items, TOPK, max_query_bytes=0, query_block_rows=1024)
     return hits.df.select("qid", "item_id", "rank", "similarity")
 
 

@@ -32,6 +32,34 @@ def test_top_k_reads_only_ids_and_vectors_and_cuts_before_the_shuffle(spark, sf_
     assert text.index("Final") < text.index("Exchange hashpartitioning") < text.index("Partial") < text.index("MapInArrow")
 
 
+def test_items_rest_whatever_the_number_of_queries(spark, tmp_path):
+    """No exchange between the item scan and the cut, for one block of queries and for many; blocks are let go."""
+    from pickwell.operators import topk
+
+    path = str(tmp_path / "items")
+    spark.range(4000).selectExpr("id AS item_id", "array(cast(sin(id) as float), cast(cos(id) as float)) AS embedding").repartition(6).write.parquet(path)
+    items = spark.read.parquet(path)
+    queries = items.selectExpr("item_id AS qid", "embedding AS qvec")
+    lazy = top_k(queries.limit(50), items, 5).df
+    block = queries.limit(50).toArrow()
+    sent = []
+    for df in (lazy, topk.block_hits(block, items, 5, sent=sent), topk.block_hits(block, items, 5, seed_tasks=2, sent=sent)):
+        text = plan(df)
+        assert "Exchange" not in text[text.index("MapInArrow") : text.index("FileScan")]
+        assert text.count("Exchange hashpartitioning(qid") == 1
+    assert len(sent) == 3
+    seen = []
+    whole = topk._send
+    try:
+        topk._send = lambda s, value, variables: seen.append((len(value[0]), [*variables])) or whole(s, value, variables)
+        got = top_k(queries, items, 5, max_query_bytes=0, query_block_rows=1000)
+    finally:
+        topk._send = whole
+    # a block has a variable or two of its own, hashed blocks are of about the same size
+    assert sum(n for n, _ in seen) == 4000 and max(n for n, _ in seen) < 1200 and all(not held for _, held in seen)
+    assert "FileScan" in plan(got.df) and "MapInArrow" not in plan(got.df) and got.df.count() == 20_000
+
+
 def test_page_markup_is_never_shuffled(spark, sf_dir, tmp_path):
     path = str(tmp_path / "pages")
     spark.read.parquet(f"{sf_dir}/pages.parquet").write.parquet(path)

@@ -15,7 +15,7 @@ from pickwell.plans.search import recommend, search
 
 ENC = HashEncoder(64)
 # forces the block way of the search and the shuffled way of the gather
-BLOCKS = {"max_query_bytes": 0, "query_block_rows": 2, "item_block_rows": 20}
+BLOCKS = {"max_query_bytes": 0, "query_block_rows": 2, "seed_tasks": 1}
 
 
 @pytest.fixture(scope="module")

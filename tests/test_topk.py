@@ -32,7 +32,7 @@ def got(hits):
     return sorted((r.qid, r.item_id, r["rank"], r.similarity) for r in hits.df.collect())
 
 
-WAYS = [{}, {"max_query_bytes": 0, "query_block_rows": 7, "item_block_rows": 30}]
+WAYS = [{}, {"seed_tasks": 2}, {"max_query_bytes": 0, "query_block_rows": 7, "seed_tasks": 3}]
 
 
 @pytest.mark.parametrize("way", WAYS)
@@ -48,7 +48,7 @@ def test_the_size_of_few_hits_is_known(spark):
     queries, items = tables(spark, np.ones((3, 2)), np.ones((9, 2)))
     assert top_k(queries, items, 5).max_bytes == 5 * (3 * 4 + 3 * 40)
     assert top_k(queries, items.withColumn("item_id", F.col("item_id").cast("string")), 5).max_bytes is None
-    assert top_k(queries, items, 5, **WAYS[1]).max_bytes is None
+    assert top_k(queries, items, 5, **WAYS[2]).max_bytes is None
 
 
 @pytest.mark.parametrize("way", WAYS)
