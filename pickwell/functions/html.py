@@ -189,11 +189,17 @@ def _tokens(markup: Column) -> Column:
     return F.transform(F.regexp_extract_all(markup, F.lit(rf"{_TAG}|[^<]++|<"), F.lit(0)), token)
 
 
+_OPEN = "array<struct<at:int,name:string,wanted:boolean>>"
+_SPANS = "array<struct<start:int,stop:int>>"
+_CHUNK = 128
+
+
 def _elements_of_class(markup: Column, classes: Sequence[str]) -> Column:
     """Elements carrying one of the classes, as ``start, stop, markup``, in order of their start tags.
 
     An element goes on to the end tag that closes it, elements of the same name
-    inside it counted; one inside another is an element of its own.
+    inside it counted; one inside another is an element of its own. Tags are read
+    once, with the open elements on a stack.
     """
     wanted = F.array(*map(F.lit, classes))
 
@@ -201,30 +207,60 @@ def _elements_of_class(markup: Column, classes: Sequence[str]) -> Column:
         names = F.split(strip(attribute(token["raw"], "class")), r"\s+")
         return (token["step"] == 1) & contains_any(token["raw"], classes) & F.coalesce(F.arrays_overlap(names, wanted), F.lit(False))
 
-    def element(tokens: Column, start: Column) -> Column:
-        name = tokens[start]["name"]
-        begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("taken"), F.lit(True).alias("open"))
-
-        def step(state: Column, token: Column) -> Column:
-            depth = state["depth"] + F.when(token["name"] == name, token["step"]).otherwise(0)
-            return F.when(
-                state["open"],
-                F.struct(depth.alias("depth"), (state["taken"] + 1).alias("taken"), (depth > 0).alias("open")),
-            ).otherwise(state)
-
-        taken = F.aggregate(F.slice(tokens, start + 1, F.size(tokens)), begin, step, lambda state: state["taken"])
-        return let(
-            taken,
-            lambda n: F.struct(
-                start.alias("start"),
-                (start + n).alias("stop"),
-                F.array_join(F.transform(F.slice(tokens, start + 1, n), lambda t: t["raw"]), "").alias("markup"),
-            ),
+    def spans(tokens: Column) -> Column:
+        """Places of the wanted elements, by one fold over the tags that share a name with them."""
+        tags = F.transform(
+            tokens,
+            lambda t, i: F.struct(i.alias("at"), t["name"].alias("name"), t["step"].alias("step"), carries(t).alias("wanted")),
         )
+        names = let(tags, lambda ts: F.array_distinct(F.transform(F.filter(ts, lambda t: t["wanted"]), lambda t: t["name"])))
+        def step(state: Column, tag: Column) -> Column:
+            is_open, closed = state["open"], state["closed"]
+
+            def close(place: Column) -> Column:
+                # the element opened last of all of that name; an end tag without one is passed over
+                def ends(e: Column) -> Column:
+                    others = F.concat(F.slice(is_open, 1, place - 1), F.slice(is_open, place + 1, F.size(is_open) - place))
+                    span = F.struct(e["at"].alias("start"), (tag["at"] + 1).alias("stop"))
+                    kept = F.when(e["wanted"], F.concat(closed, F.array(span))).otherwise(closed)
+                    return F.struct(others.alias("open"), kept.alias("closed"))
+
+                return F.when(place > 0, let(F.get(is_open, place - 1), ends)).otherwise(state)
+
+            one = F.array(F.struct(*(tag[n].alias(n) for n in ("at", "name", "wanted"))))
+            opened = F.struct(F.concat(is_open, one).alias("open"), closed.alias("closed"))
+            backwards = F.array_position(F.reverse(F.transform(is_open, lambda o: o["name"])), tag["name"]).cast("int")
+            place = F.when(backwards > 0, F.size(is_open) + 1 - backwards).otherwise(0)
+            return F.when(tag["step"] == 1, opened).otherwise(let(place, close))
+
+        def finish(state: Column) -> Column:
+            unclosed = F.filter(state["open"], lambda o: o["wanted"])
+            rest = F.transform(unclosed, lambda o: F.struct(o["at"].alias("start"), F.size(tokens).alias("stop")))
+            return F.array_sort(F.concat(F.flatten(state["closed"]), rest))
+
+        def fold(tags: Column) -> Column:
+            # a state is copied at each step, so what is closed is handed on a chunk at a time
+            last = F.floor((F.size(tags) - 1) / _CHUNK).cast("int")
+            chunks = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda c: F.slice(tags, c * _CHUNK + 1, _CHUNK))
+
+            def further(state: Column, chunk: Column) -> Column:
+                entry = F.struct(state["open"].alias("open"), F.array().cast(_SPANS).alias("closed"))
+                return let(
+                    F.aggregate(chunk, entry, step),
+                    lambda done: F.struct(done["open"].alias("open"), F.concat(state["closed"], F.array(done["closed"])).alias("closed")),
+                )
+
+            begin = F.struct(F.array().cast(_OPEN).alias("open"), F.array().cast(f"array<{_SPANS}>").alias("closed"))
+            return F.aggregate(chunks, begin, further, finish)
+
+        return let(names, lambda ns: let(F.filter(tags, lambda t: (t["step"] != 0) & F.array_contains(ns, t["name"])), fold))
 
     def every(tokens: Column) -> Column:
-        places = F.filter(F.transform(tokens, lambda t, i: F.when(carries(t), i)), lambda i: i.isNotNull())
-        return F.transform(places, lambda i: element(tokens, i))
+        def element(span: Column) -> Column:
+            raw = F.transform(F.slice(tokens, span["start"] + 1, span["stop"] - span["start"]), lambda t: t["raw"])
+            return F.struct(span["start"].alias("start"), span["stop"].alias("stop"), F.array_join(raw, "").alias("markup"))
+
+        return F.transform(spans(tokens), element)
 
     # most pages name none of the classes: a plain search spares them the expression
     none = F.array().cast("array<struct<start:int,stop:int,markup:string>>")

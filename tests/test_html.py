@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import random
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -226,3 +228,57 @@ def test_paragraph_ends_with_its_container(rows):
 def test_control_characters_are_not_markup(rows):
     pages = ["\x02p\x03a\x01b", "<p>a&#3;b&#2;c&lt;d</p>", "x\x06&#1;y"]
     assert rows(pages, lambda c: H.text_of(H.visible(c), " ")) == ["pab", "abc<d", "xy"]
+
+
+def _spans_by_hand(names):
+    """Of start and end tags in order: where each start tag's element ends, tags of its name counted."""
+    ends = []
+    for i, (step, name) in enumerate(names):
+        if step < 0:
+            continue
+        depth, stop = 0, len(names)
+        for j in range(i, len(names)):
+            depth += names[j][0] if names[j][1] == name else 0
+            if depth == 0:
+                stop = j + 1
+                break
+        ends.append((i, stop))
+    return ends
+
+
+def test_elements_end_where_counting_tags_says(spark):
+    """Random tag soup: nested, crossing, unclosed and stray tags."""
+    rng = random.Random(8)
+    pages, wanted = [], []
+    for _ in range(80):
+        tags = [(rng.choice([1, -1]), rng.choice(["b", "i", "div"])) for _ in range(rng.randint(0, 300))]
+        marked = [step > 0 and rng.random() < 0.5 for step, _ in tags]
+        words = [f"w{i}" for i in range(len(tags))]
+        pages.append("".join(f"<{'' if s > 0 else '/'}{n}{' class=tag' if m else ''}>{w}" for (s, n), m, w in zip(tags, marked, words)))
+        spans = [(a, b) for a, b in _spans_by_hand(tags) if marked[a]]
+        # the text after an end tag is outside
+        wanted.append(["".join(words[a : b - 1 if b < len(tags) or tags[b - 1] == (-1, tags[a][1]) and closes(tags, a, b) else b]) for a, b in spans])
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    got = df.select("i", H.class_texts(H.visible(F.col("html")), ["tag"]).alias("texts")).collect()
+    for r in got:
+        assert r.texts == [t for t in wanted[r.i] if t], pages[r.i]
+
+
+def closes(tags, a, b):
+    """Whether the tag before ``b`` closes the element of ``a``."""
+    return sum(step for step, name in tags[a:b] if name == tags[a][1]) == 0
+
+
+def test_time_grows_in_proportion_to_the_tags(spark):
+    def seconds(n):
+        page = "<div>" + "".join(f"<span class='tag big'>t{i}</span><li>x" for i in range(n)) + "</div><nav class=breadcrumb>" + "<a>y</a>" * n + "</nav>"
+        df = spark.createDataFrame([(page,)], "html string").select(H.visible(F.col("html")).alias("m"))
+        out = df.select(F.size(H.class_texts(F.col("m"), ["tag"])).alias("n"), F.length(H.breadcrumb(F.col("m"))).alias("crumb"))
+        began = time.perf_counter()
+        row = out.first()
+        assert (row.n, row.crumb) == (n, 4 * n - 3)
+        return time.perf_counter() - began
+
+    seconds(10)
+    small, large = seconds(4000), seconds(16_000)
+    assert large < 6 * small + 1
