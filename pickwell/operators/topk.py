@@ -29,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,17 +110,40 @@ def top_k(
     are read more than once.
     """
     queries, items = queries.select("qid", "qvec"), items.select("item_id", "embedding")
-    qtype, itype = queries.schema["qid"].dataType, items.schema["item_id"].dataType
-    item_bytes = 8 if isinstance(itype, T.IntegralType) else None
     dim = dim or _first_dim(queries, items)
-    # Measuring reads ids only; vectors are fetched once they are known to fit.
-    n, id_bytes = queries.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("qid").cast("string"))), F.lit(0))).first()
-    if n * dim * 8 + id_bytes <= max_query_bytes and n * k <= MAX_KEPT:
+    rested: list[DataFrame] = []
+
+    def search(block: pa.Table, sent: list[Broadcast] | None) -> DataFrame:
+        if sent is not None and not rested:
+            rested.append(resting(items))
+        return block_hits(block, rested[0] if rested else items, k, scan_tasks, seed_tasks, queries.schema["qid"].dataType, sent)
+
+    return search_in_blocks(queries, items.schema["item_id"].dataType, k, search, F.lit(8 * dim), max_query_bytes, query_block_rows)
+
+
+def search_in_blocks(
+    queries: DataFrame,
+    itype: T.DataType,
+    k: int,
+    search: Callable[[pa.Table, list[Broadcast] | None], DataFrame],
+    size: Column,
+    max_query_bytes: int = MAX_QUERY_BYTES,
+    query_block_rows: int | None = None,
+) -> Hits:
+    """Hits of ``queries`` (``qid`` and what a query is), by one search or by a search a block.
+
+    ``search`` answers a block; its list, if there is one, takes the variables it sends. ``size``
+    is what a query takes in a task, in bytes.
+    """
+    item_bytes = 8 if isinstance(itype, T.IntegralType) else None
+    # Measuring reads little more than ids; queries are fetched once they are known to fit.
+    id_bytes = F.octet_length(F.col("qid").cast("string"))
+    n, ids, most = queries.agg(F.count("*"), F.coalesce(F.sum(id_bytes), F.lit(0)), F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()
+    if most + ids <= max_query_bytes and n * k <= MAX_KEPT:
         block = queries.toArrow()
-        hits = block_hits(block, items, k, scan_tasks, seed_tasks, qtype)
-        return Hits(hits, k, block.num_rows, block["qid"].nbytes, item_bytes)
-    rows = query_block_rows or max(1, min(QUERY_BLOCK_BYTES // (4 * dim), MAX_KEPT // k))
-    return Hits(_block_by_block(queries, resting(items), k, -(-n // rows), scan_tasks, seed_tasks), k, item_bytes=item_bytes, stored=True)
+        return Hits(search(block, None), k, block.num_rows, block["qid"].nbytes, item_bytes)
+    blocks = -(-n // query_block_rows) if query_block_rows else max(-(-most // (2 * QUERY_BLOCK_BYTES)), -(-n * k // MAX_KEPT))
+    return Hits(_block_by_block(queries, itype, int(blocks), search), k, item_bytes=item_bytes, stored=True)
 
 
 def resting(items: DataFrame) -> DataFrame:
@@ -129,26 +152,26 @@ def resting(items: DataFrame) -> DataFrame:
     return materialise(items) if made or not items.inputFiles() else items
 
 
-def _block_by_block(queries: DataFrame, items: DataFrame, k: int, blocks: int, scan_tasks: int, seed_tasks: int) -> DataFrame:
+def _block_by_block(queries: DataFrame, itype: T.DataType, blocks: int, search: Callable) -> DataFrame:
     """Hits of all queries, a hashed block of them at a time."""
-    spark, qtype = items.sparkSession, queries.schema["qid"].dataType
+    spark, qtype = queries.sparkSession, queries.schema["qid"].dataType
     path = scratch_path(spark)
     of_block = F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")
     # one task writes a block, which is as large as what one task is sent
     queries.withColumn("_block", of_block).repartition(blocks, "_block").write.partitionBy("_block").parquet(f"{path}/queries")
     stored = spark.read.schema(T.StructType([*queries.schema, T.StructField("_block", T.IntegerType())])).parquet(f"{path}/queries")
-    schema = _hit_schema(qtype, items.schema["item_id"].dataType)
+    schema = hit_schema(qtype, itype)
     spark.createDataFrame([], schema).write.parquet(f"{path}/hits")
     for number in range(blocks):
         block = stored.filter(F.col("_block") == number).drop("_block").toArrow()
         sent: list[Broadcast] = []
-        block_hits(block, items, k, scan_tasks, seed_tasks, qtype, sent).write.mode("append").parquet(f"{path}/hits")
+        search(block, sent).write.mode("append").parquet(f"{path}/hits")
         for variable in sent:
             variable.destroy()
     return spark.read.schema(schema).parquet(f"{path}/hits")
 
 
-def _hit_schema(qtype: T.DataType, itype: T.DataType) -> T.StructType:
+def hit_schema(qtype: T.DataType, itype: T.DataType) -> T.StructType:
     kinds = {"qid": qtype, "item_id": itype, "rank": T.IntegerType(), "similarity": T.DoubleType()}
     return T.StructType([T.StructField(n, kind) for n, kind in kinds.items()])
 
@@ -169,25 +192,28 @@ def block_hits(
     spark = items.sparkSession
     qtype = qtype or T.LongType()
     if not block.num_rows:
-        return spark.createDataFrame([], _hit_schema(qtype, items.schema["item_id"].dataType))
+        return spark.createDataFrame([], hit_schema(qtype, items.schema["item_id"].dataType))
     items = items.coalesce(scan_tasks)
     matrix = _matrix(block["qvec"])
     floors = np.full(block.num_rows, -np.inf)
     if items.rdd.getNumPartitions() > seed_tasks:
         some = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(seed_tasks)) == 0)
-        for r in _ranked(_scan_items(_send(spark, (matrix, floors), sent), some, k), k).filter(F.col("rank") == k).toLocalIterator():
+        for r in ranked_hits(_scan_items(send(spark, (matrix, floors), sent), some, k), k).filter(F.col("rank") == k).toLocalIterator():
             floors[r.qid] = r.similarity
-    ranked = _ranked(_scan_items(_send(spark, (matrix, floors), sent), items, k), k)
-    names = spark.createDataFrame(
+    return named(ranked_hits(_scan_items(send(spark, (matrix, floors), sent), items, k), k), block, qtype)
+
+
+def named(ranked: DataFrame, block: pa.Table, qtype: T.DataType) -> DataFrame:
+    """Hits with the ids of their queries in place of numbers; as many names are sent as the block has queries."""
+    names = ranked.sparkSession.createDataFrame(
         pa.table({"_number": pa.array(np.arange(block.num_rows), pa.int32()), "_name": block["qid"]}),
         T.StructType([T.StructField("_number", T.IntegerType()), T.StructField("_name", qtype)]),
     )
-    # as many names as the block has queries
-    named = ranked.withColumnRenamed("qid", "_number").join(F.broadcast(names), "_number").withColumnRenamed("_name", "qid")
-    return named.select("qid", "item_id", "rank", "similarity")
+    joined = ranked.withColumnRenamed("qid", "_number").join(F.broadcast(names), "_number").withColumnRenamed("_name", "qid")
+    return joined.select("qid", "item_id", "rank", "similarity")
 
 
-def _send(spark: SparkSession, value: tuple, sent: list[Broadcast] | None) -> Callable[[], tuple]:
+def send(spark: SparkSession, value: tuple, sent: list[Broadcast] | None) -> Callable[[], tuple]:
     """A way for tasks to get the value: part of their function, or a broadcast variable the caller destroys."""
     if sent is None:
         return lambda: value
@@ -196,7 +222,7 @@ def _send(spark: SparkSession, value: tuple, sent: list[Broadcast] | None) -> Ca
     return lambda: variable.value
 
 
-def _ranked(candidates: DataFrame, k: int) -> DataFrame:
+def ranked_hits(candidates: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "item_id")
     return candidates.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -263,7 +289,8 @@ class _Best:
         self.pending: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
         self.pending_rows = 0
 
-    def add(self, ids: pa.Array | pa.ChunkedArray, vectors: pa.Array | pa.ChunkedArray) -> None:
+    def add(self, ids: pa.Array | pa.ChunkedArray, vectors: pa.Array | pa.ChunkedArray, only: np.ndarray | None = None) -> None:
+        """Looks at more items; with ``only``, for the queries of these numbers."""
         ids, mat = _ids(ids), _matrix(vectors)
         if not len(mat):
             return
@@ -273,9 +300,9 @@ class _Best:
             )
         step = max(1, min(len(mat), _SCORE_CELLS // max(1, len(self.q64))))
         for start in range(0, len(mat), step):
-            self._add_block(ids.slice(start, step), mat[start : start + step])
+            self._add_block(ids.slice(start, step), mat[start : start + step], only)
 
-    def _add_block(self, ids: pa.Array, mat: np.ndarray) -> None:
+    def _add_block(self, ids: pa.Array, mat: np.ndarray, only: np.ndarray | None) -> None:
         """Score in single precision, keep what may still matter, rescore that in double.
 
         A float32 product of d terms is off by at most about d * 2^-24 * |q| * |x|.
@@ -290,21 +317,23 @@ class _Best:
             if not len(mat):
                 return
         xnorm = np.linalg.norm(x64, axis=1).max()
-        slack = (mat.shape[1] + 8) * 2.0**-23 * self.qnorm * xnorm + 10.0**-DIGITS
+        own = slice(None) if only is None else only
+        slack = (mat.shape[1] + 8) * 2.0**-23 * self.qnorm[own] * xnorm + 10.0**-DIGITS
         # beyond this a single-precision sum might overflow
         if self.qmax * xnorm < 1e30:
-            scores = self.q32 @ mat.astype(np.float32).T
+            scores = self.q32[own] @ mat.astype(np.float32).T
         else:
-            scores = self.q64 @ x64.T
-        alive = scores >= (self.floor - slack)[:, None]
+            scores = self.q64[own] @ x64.T
+        alive = scores >= (self.floor[own] - slack)[:, None]
         if np.count_nonzero(alive) > 2 * self.k * len(scores):
             # k items of this very block lie above its own k-th best
             cut = scores.shape[1] - self.k
             if cut > 0:
                 kth = np.partition(scores, cut, axis=1)[:, cut]
-                self.floor = np.maximum(self.floor, kth - slack)
-                alive = scores >= (self.floor - slack)[:, None]
+                self.floor[own] = np.maximum(self.floor[own], kth - slack)
+                alive = scores >= (self.floor[own] - slack)[:, None]
         q, i = np.nonzero(alive)
+        q = q if only is None else only[q]
         if not len(q):
             return
         exact = np.empty(len(q))

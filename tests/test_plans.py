@@ -49,12 +49,12 @@ def test_items_rest_whatever_the_number_of_queries(spark, tmp_path):
         assert text.count("Exchange hashpartitioning(qid") == 1
     assert len(sent) == 3
     seen = []
-    whole = topk._send
+    whole = topk.send
     try:
-        topk._send = lambda s, value, variables: seen.append((len(value[0]), [*variables])) or whole(s, value, variables)
+        topk.send = lambda s, value, variables: seen.append((len(value[0]), [*variables])) or whole(s, value, variables)
         got = top_k(queries, items, 5, max_query_bytes=0, query_block_rows=1000)
     finally:
-        topk._send = whole
+        topk.send = whole
     # a block has a variable or two of its own, hashed blocks are of about the same size
     assert sum(n for n, _ in seen) == 4000 and max(n for n, _ in seen) < 1200 and all(not held for _, held in seen)
     assert "FileScan" in plan(got.df) and "MapInArrow" not in plan(got.df) and got.df.count() == 20_000
