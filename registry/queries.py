@@ -14,6 +14,7 @@ from pickwell.operators import pages as P
 from pickwell.operators import rerank as R
 from pickwell.operators.dedup import conform, keep_first
 from pickwell.operators.joins import gather_items
+from pickwell.operators.runs import top_k_runs, write_runs
 from pickwell.operators.topk import check_dims, top_k
 from pickwell.plans import catalog as C
 from pickwell.plans import evaluate as E
@@ -69,6 +70,22 @@ def vector_topk_blocks(spark, sf_dir):
     return hits.df.select("qid", "item_id", "rank", "similarity")
 
 
+def vector_topk_runs(spark, sf_dir):
+    """The same through a stored index with bounds."""
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    write_runs(vectors.select(F.col("vec_id").alias("item_id"), "embedding"), path := scratch_path(spark))
+    return top_k_runs(queries, path, TOPK).df.select("qid", "item_id", "rank", "similarity")
+
+
+def catalog_topk_runs(spark, sf_dir):
+    """Wishes against the catalog through a stored index with bounds."""
+    queries = _wishes(spark, sf_dir).select("query").distinct()
+    vectors = queries.select(F.col("query").alias("qid"), ENCODER(F.col("query")).alias("qvec"))
+    write_runs(_index(spark, sf_dir), path := scratch_path(spark))
+    return top_k_runs(vectors, path, TOPK).df.select(F.col("qid").alias("query"), "item_id", "rank", "similarity")
+
+
 def vector_normalize(spark, sf_dir):
     # lengths differ after scaling by the label
     scaled = table(spark, sf_dir, "embeddings").withColumn(
@@ -454,7 +471,7 @@ def mean_recall(spark, sf_dir):
 QUERIES = {
     f.__name__.removesuffix("_query"): f
     for f in (
-        vector_topk, vector_topk_blocks, vector_normalize, vector_dims, vector_inner_product,
+        vector_topk, vector_topk_blocks, vector_topk_runs, catalog_topk_runs, vector_normalize, vector_dims, vector_inner_product,
         url_normalize, url_slug, url_title_fallback,
         link_extract, link_dedup, page_title, page_description, page_body_text, page_tags,
         page_fields_crawl, page_fields_augment, page_rejects, pages_to_catalog, crawl_catalog,

@@ -283,6 +283,8 @@ _lo_hr, _hi_hr = window_bounds("low", True)
 SQL: dict[str, str] = {
     "vector_topk": VECTOR_TOPK,
     "vector_topk_blocks": VECTOR_TOPK,
+    "vector_topk_runs": VECTOR_TOPK,
+    "catalog_topk_runs": f"SELECT qid AS query, item_id, CAST(rank AS INT) AS rank, similarity FROM ({wish_topk(TOPK)})",
     "vector_normalize": """SELECT vec_id, round(n, 9) AS norm, CAST(pos - 1 AS INT) AS pos, round(CASE WHEN n > 0 THEN x / n ELSE 0 END, 9) AS x
         FROM (SELECT vec_id, n, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM (
           SELECT *, sqrt(list_inner_product(v, v)) AS n FROM (
