@@ -78,8 +78,8 @@ def _texts_at_once(dim: int) -> int:
     return max(1, min(1024, _COUNT_BYTES // (8 * dim)))
 
 
-def _hash_texts(texts: pa.Array, dim: int) -> pa.Array:
-    n = len(texts)
+def _word_buckets(texts: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and bucket of every word."""
     lists = pc.split_pattern_regex(pc.utf8_lower(texts), r"[^\pL\pN]+")
     words = pc.list_flatten(lists).dictionary_encode()
     buckets = np.array([_bucket(w, dim) for w in words.dictionary.to_pylist()], dtype=np.int64)
@@ -87,10 +87,55 @@ def _hash_texts(texts: pa.Array, dim: int) -> pa.Array:
     row = pc.list_parent_indices(lists).to_numpy()
     # splitting leaves an empty word where a text begins or ends with a separator
     real = bucket >= 0
-    counts = np.bincount(row[real] * dim + bucket[real], minlength=n * dim).reshape(n, dim).astype(np.float64)
+    return row[real], bucket[real]
+
+
+def _hash_texts(texts: pa.Array, dim: int) -> pa.Array:
+    n = len(texts)
+    row, bucket = _word_buckets(texts, dim)
+    counts = np.bincount(row * dim + bucket, minlength=n * dim).reshape(n, dim).astype(np.float64)
     return _unit_vectors(counts)
 
 
+@dataclass(frozen=True)
+class SparseHashEncoder:
+    """Feature hashing as ``HashEncoder`` does it, of which only the buckets in use are kept.
+
+    Gives ``(bucket, weight)`` lists by bucket, so ``dim`` may be large enough that words hardly
+    ever share a bucket; no array is as wide as ``dim``.
+    """
+
+    dim: int = 1 << 18
+
+    @property
+    def name(self) -> str:
+        return f"sparse-hash-md5-{self.dim}"
+
+    def __call__(self, text: Column) -> Column:
+        dim = self.dim
+
+        @F.arrow_udf("array<struct<bucket:int,weight:float>>")
+        def encode(texts: pa.Array) -> pa.Array:
+            parts = [_hash_sparse(texts.slice(i, 1024), dim) for i in range(0, len(texts), 1024)]
+            return pa.concat_arrays(parts) if parts else pa.array([], _TERMS)
+
+        return encode(F.coalesce(text, F.lit("")))
+
+
+_TERMS = pa.list_(pa.struct([("bucket", pa.int32()), ("weight", pa.float32())]))
+
+
+def _hash_sparse(texts: pa.Array, dim: int) -> pa.Array:
+    row, bucket = _word_buckets(texts, dim)
+    key, count = np.unique(row.astype(np.int64) * dim + bucket, return_counts=True)
+    row = key // dim
+    squares = np.bincount(row, count.astype(np.float64) ** 2, minlength=len(texts))
+    weight = count / np.sqrt(squares)[row]
+    cells = pa.StructArray.from_arrays([pa.array(key % dim, pa.int32()), pa.array(weight, pa.float32())], fields=list(_TERMS.value_type))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells, type=_TERMS)
+
+
 def _bucket(word: str, dim: int) -> int:
     return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % dim if word else -1
 

@@ -15,6 +15,7 @@ from pickwell.operators import rerank as R
 from pickwell.operators.dedup import conform, keep_first
 from pickwell.operators.joins import gather_items
 from pickwell.operators.runs import top_k_runs, write_runs
+from pickwell.operators.sparse import top_k_sparse
 from pickwell.operators.topk import check_dims, top_k
 from pickwell.plans import catalog as C
 from pickwell.plans import evaluate as E
@@ -29,6 +30,7 @@ from registry.inputs import derived, derived_queries, table
 SITE = "https://www.example.com"
 TOPK = 10
 ENCODER = V.HashEncoder(384)
+SPARSE = V.SparseHashEncoder(1 << 18)
 # Words of the catalog's titles, as the vocabulary of strong terms.
 TITLE_WORDS = ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget", "hot")
 # Vocabularies that occur in the prose of ``documents``.
@@ -352,6 +354,19 @@ def text_topk(spark, sf_dir):
     return top_k(queries, docs, TOPK, dim=ENCODER.dim).df.select("qid", "item_id", "rank", "similarity")
 
 
+def sparse_encode(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", SPARSE(F.col("text")).alias("terms"))
+    return docs.select("doc_id", F.inline("terms")).select("doc_id", "bucket", F.round(F.col("weight").cast("double"), 9).alias("weight"))
+
+
+def sparse_topk(spark, sf_dir):
+    """As ``text_topk``, with so many buckets that no dense vector would do."""
+    texts = table(spark, sf_dir, "documents")
+    docs = texts.select(F.col("doc_id").alias("item_id"), SPARSE(F.col("text")).alias("embedding"))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), SPARSE(F.col("text")).alias("qvec"))
+    return top_k_sparse(queries, docs, TOPK).df.select("qid", "item_id", "rank", "similarity")
+
+
 # ------------------------------------------------------------ recommend
 
 
@@ -479,7 +494,7 @@ QUERIES = {
         classify_level_word, classify_documents, duration_simple, duration_full, duration_window,
         exclude_bundles, strong_terms,
         missing_labelled_urls, augment_rows, catalog_merge, catalog_dedup, catalog_conform, catalog_counts,
-        build_doc, hash_encode, build_index_query, index_ids, text_topk,
+        build_doc, hash_encode, build_index_query, index_ids, text_topk, sparse_encode, sparse_topk,
         clamp_topk, clean_queries, recommend_rejects, topk_with_meta, keyword_gate, duration_score,
         recommend_query, result_view, response_nested, batch_export, recommend_stream_query,
         truth_sets, recall_at_k, mean_recall,

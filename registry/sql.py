@@ -9,7 +9,7 @@ from __future__ import annotations
 from pickwell.functions import text as X
 from pickwell.functions.strings import WHITESPACE
 from registry import inputs as I
-from registry.queries import ENCODER, LINK_PATHS, PROSE_K, PROSE_LEVELS, PROSE_P, SITE, TITLE_WORDS, TOPK
+from registry.queries import ENCODER, LINK_PATHS, PROSE_K, PROSE_LEVELS, PROSE_P, SITE, SPARSE, TITLE_WORDS, TOPK
 
 # ------------------------------------------------------------ expressions
 
@@ -178,10 +178,10 @@ WISHES = f"""SELECT DISTINCT {strip('query')} AS query, greatest(1, least(10, co
   FROM ({I.derived_sql(I.QUERIES, group=I.QUERY_KEYS)})"""
 
 
-def encoded(source: str, key: str, text: str) -> str:
+def encoded(source: str, key: str, text: str, dim: int = ENCODER.dim) -> str:
     """``key, bucket, weight`` rows of the hashed texts, weights in single precision."""
     words = rf"SELECT {key}, unnest(regexp_extract_all(lower({text}), '[\pL\pN]+')) AS w FROM ({source})"
-    counts = f"SELECT {key}, CAST(('0x' || substr(md5(w), 1, 8))::UBIGINT % {ENCODER.dim} AS INT) AS bucket, count(*) AS c FROM ({words}) GROUP BY ALL"
+    counts = f"SELECT {key}, CAST(('0x' || substr(md5(w), 1, 8))::UBIGINT % {dim} AS INT) AS bucket, count(*) AS c FROM ({words}) GROUP BY ALL"
     return f"SELECT {key}, bucket, CAST(c / sqrt(sum(c * c) OVER (PARTITION BY {key})) AS FLOAT) AS weight FROM ({counts})"
 
 
@@ -342,6 +342,10 @@ SQL: dict[str, str] = {
         FROM ({I.derived_sql(I.LOOSE_URLS)})) WHERE n = 1 AND trim(url) <> ''""",
     "text_topk": f"""SELECT qid, item_id, CAST(rank AS INT) AS rank, similarity FROM ({sparse_topk(
         encoded('SELECT item_id AS qid, text FROM benchmark', 'qid', 'text'), encoded('SELECT doc_id AS item_id, text FROM documents', 'item_id', 'text'), TOPK)})""",
+    "sparse_encode": CELLS.format(key="doc_id", source=encoded("SELECT * FROM documents", "doc_id", "text", SPARSE.dim)),
+    "sparse_topk": f"""SELECT qid, item_id, CAST(rank AS INT) AS rank, similarity FROM ({sparse_topk(
+        encoded('SELECT item_id AS qid, text FROM benchmark', 'qid', 'text', SPARSE.dim),
+        encoded('SELECT doc_id AS item_id, text FROM documents', 'item_id', 'text', SPARSE.dim), TOPK)})""",
     "clamp_topk": "SELECT p_partkey, CAST(CASE WHEN p_size IN (20, 27) THEN 10 WHEN p_size < 20 THEN 1 ELSE least(10, p_size - 20) END AS INT) AS topk FROM part",
     "clean_queries": f"""SELECT sha256(topk || chr(1) || query) AS qid, query, topk, count(*) AS copies FROM (SELECT {strip('query')} AS query,
         CAST(greatest(1, least(10, coalesce(nullif(topk, 0), 10))) AS INT) AS topk FROM ({I.derived_sql(I.LINES)})) WHERE query <> '' GROUP BY query, topk""",
