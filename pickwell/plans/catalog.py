@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pickwell.functions.strings import blank_to_null
@@ -90,6 +90,21 @@ def augment_catalog(catalog: DataFrame, pairs: DataFrame, pages: DataFrame, **de
     return merge_catalogs(catalog, augment_rows(missing_urls(catalog, pairs), pages, **defaults))
 
 
+def write_counted(pages: DataFrame, path: str, variant: str = "crawl") -> dict[str, int]:
+    """Write the catalog of ``pages`` as Parquet; gives the counts of ``catalog_counts``, taken along the way.
+
+    Pages are counted where they are read and items where they are written, so no job runs but
+    the write. A stage that Spark runs again for want of a lost executor's output counts its
+    pages again: ``catalog_counts`` is exact in that case as well.
+    """
+    seen, kept = Observation(), Observation()
+    fields = page_fields(pages.observe(seen, F.count("*").alias("pages")), variant)
+    catalog = catalog_rows(keep_first(fields, ["url"], ["page_id"]))
+    columns = {"items": F.lit(1), "with_description": F.col("description"), "with_type": F.col("test_type"), "with_duration": F.col("duration_min")}
+    catalog.observe(kept, *(F.count(c).alias(n) for n, c in columns.items())).write.mode("overwrite").parquet(path)
+    return seen.get | kept.get
+
+
 def catalog_counts(pages: DataFrame, catalog: DataFrame) -> DataFrame:
     """``metric, n``: pages seen, catalog rows kept, and how many carry each optional field."""
     seen = pages.agg(F.count("*").alias("pages")).unpivot([], ["pages"], "metric", "n")

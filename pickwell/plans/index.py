@@ -24,24 +24,33 @@ def index_rejects(catalog: DataFrame, item_id: str = "url") -> DataFrame:
     return catalog.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
-def build_index(catalog: DataFrame, encoder=HashEncoder(), item_id: str = "url") -> DataFrame:
-    """``item_id``, the catalog columns and ``embedding``.
+def index_documents(catalog: DataFrame, item_id: str = "url") -> DataFrame:
+    """``item_id``, the catalog columns and ``doc``, the text an item is found by.
 
     Ids are unique and there: rows without one are left out (``index_rejects`` lists
     them), and of rows with the same id the first in the order of their columns
     stays, so a hit joins with one row.
-
-    The encoder's name and width ride along as column metadata, which Parquet
-    keeps, so a search with another encoder is refused instead of answered wrongly.
     """
     usable = catalog.filter(_id_reason(item_id, catalog.schema[item_id].dataType).isNull())
     order = [F.col(f"`{c}`").asc_nulls_last() for c, kind in usable.dtypes if c != item_id and not kind.startswith(("map", "variant"))]
     df = fill_missing(keep_first(usable, [item_id], order or [item_id])).withColumn("doc", document())
-    return df.select(
-        F.col(item_id).alias("item_id"),
-        *CATALOG_COLUMNS,
-        encoder(F.col("doc")).alias("embedding", metadata={"encoder": encoder.name, "dim": encoder.dim}),
-    )
+    return df.select(F.col(item_id).alias("item_id"), *CATALOG_COLUMNS, "doc")
+
+
+def encoded(documents: DataFrame, encoder) -> DataFrame:
+    """``embedding`` in place of ``doc``.
+
+    The encoder's name and width ride along as column metadata, which Parquet
+    keeps, so a search with another encoder is refused instead of answered wrongly.
+    """
+    other = [c for c in documents.columns if c != "doc"]
+    vector = encoder(F.col("doc")).alias("embedding", metadata={"encoder": encoder.name, "dim": encoder.dim})
+    return documents.select(*other, vector)
+
+
+def build_index(catalog: DataFrame, encoder=HashEncoder(), item_id: str = "url") -> DataFrame:
+    """``item_id``, the catalog columns and ``embedding`` of every item that ``index_documents`` gives."""
+    return encoded(index_documents(catalog, item_id), encoder)
 
 
 def require_encoder(index: DataFrame, encoder) -> None:

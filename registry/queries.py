@@ -20,6 +20,7 @@ from pickwell.operators.topk import check_dims, top_k
 from pickwell.plans import catalog as C
 from pickwell.plans import evaluate as E
 from pickwell.plans import results as O
+from pickwell.plans import upsert as Up
 from pickwell.plans.index import build_index
 from pickwell.plans.search import recommend, search
 from pickwell.session import materialise, scratch_path
@@ -312,6 +313,43 @@ def catalog_counts(spark, sf_dir):
     return C.catalog_counts(pages, C.build_catalog(pages))
 
 
+def pages_split(spark, sf_dir):
+    """Good pages and rejects, both from one parse."""
+    parsed = materialise(Up.parse_pages(derived(spark, sf_dir, I.PAGES)))
+    good = Up.catalog_of(parsed).select(F.lit("item").alias("side"), "url", F.col("title").alias("note"))
+    return good.unionByName(Up.rejects_of(parsed).select(F.lit("reject").alias("side"), "url", F.col("reason").alias("note")))
+
+
+def _earlier(df: DataFrame, key: str, column: str) -> DataFrame:
+    """An earlier version of a table: some rows differ, some are missing, some are there that went since."""
+    changed = F.when(F.col(key) % 10 == 3, F.concat(column, F.lit(" before"))).otherwise(F.col(column))
+    went = df.filter(F.col(key) % 29 == 0).withColumn(key, -F.col(key) - 1)
+    return df.filter(F.col(key) % 17 != 0).withColumn(column, changed).unionByName(went)
+
+
+def pages_upsert(spark, sf_dir):
+    """A catalog out of parsed pages of an earlier crawl and the pages that changed since."""
+    pages = derived(spark, sf_dir, I.PAGES)
+    before = materialise(Up.parse_pages(_earlier(pages, "page_id", "html")))
+    return Up.catalog_of(Up.update_pages(before, pages))
+
+
+def index_upsert(spark, sf_dir):
+    """A stored index brought from one version of the catalog to the next."""
+    items = _catalog(spark, sf_dir)
+    Up.write_table(Up.index_rows(_earlier(items, "item_id", "title"), ENCODER, "item_id"), path := scratch_path(spark), folders=32)
+    before = materialise(Up.read_table(spark, path).select("fingerprint"))
+    Up.apply_changes(path, Up.index_changes(Up.read_table(spark, path), items, ENCODER, "item_id"))
+    rows = Up.read_table(spark, path).join(before.withColumn("_had", F.lit(True)), "fingerprint", "left")
+    return _cells(rows.withColumn("reused", F.col("_had").isNotNull()), "item_id", "title", "reused")
+
+
+def catalog_write_counts(spark, sf_dir):
+    """Counts that come with writing a catalog."""
+    counts = C.write_counted(table(spark, sf_dir, "pages"), f"{scratch_path(spark)}/catalog")
+    return spark.createDataFrame(list(counts.items()), "metric string, n long")
+
+
 # ------------------------------------------------------------ documents and index
 
 
@@ -495,6 +533,7 @@ QUERIES = {
         exclude_bundles, strong_terms,
         missing_labelled_urls, augment_rows, catalog_merge, catalog_dedup, catalog_conform, catalog_counts,
         build_doc, hash_encode, build_index_query, index_ids, text_topk, sparse_encode, sparse_topk,
+        catalog_write_counts, pages_split, pages_upsert, index_upsert,
         clamp_topk, clean_queries, recommend_rejects, topk_with_meta, keyword_gate, duration_score,
         recommend_query, result_view, response_nested, batch_export, recommend_stream_query,
         truth_sets, recall_at_k, mean_recall,

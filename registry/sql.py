@@ -308,6 +308,12 @@ SQL: dict[str, str] = {
     "page_rejects": f"""SELECT page_id, url, reason FROM (SELECT page_id, url, CASE WHEN html IS NULL THEN 'no html' WHEN title IS NULL THEN 'no title'
         WHEN {any_of('lower(title)', BUNDLES)} THEN 'bundle' END AS reason FROM (SELECT *, {heading(visible('html'))} AS title FROM ({PAGES}))) WHERE reason IS NOT NULL""",
     "pages_to_catalog": built_catalog("SELECT * FROM pages"),
+    "pages_split": f"""SELECT 'item' AS side, url, title AS note FROM ({KNOWN}) UNION ALL SELECT 'reject', url, CASE WHEN html IS NULL THEN 'no html'
+        WHEN title IS NULL THEN 'no title' ELSE 'bundle' END FROM (SELECT *, {heading(visible('html'))} AS title FROM ({PAGES}))
+        WHERE html IS NULL OR title IS NULL OR {any_of('lower(title)', BUNDLES)}""",
+    "pages_upsert": KNOWN,
+    "index_upsert": f"""SELECT * FROM ({CELLS.format(key='item_id', source=CATALOG_VECTORS)})
+        JOIN (SELECT item_id, title, NOT (item_id % 10 = 3 OR item_id % 17 = 0) AS reused FROM ({CATALOG})) USING (item_id)""",
     "crawl_catalog": f"""SELECT {slug('url')} AS assessment_id, title, url, description, category, test_type, level, duration_min, language, tags FROM (
         SELECT f.* REPLACE (coalesce(f.title, l.title) AS title) FROM ({page_fields('crawl')}) f
         JOIN (SELECT url, arg_min(title, (page_id, pos)) AS title FROM ({links(PAGES, PRODUCT)}) GROUP BY url) l USING (url))
@@ -333,6 +339,8 @@ SQL: dict[str, str] = {
     "catalog_dedup": r"SELECT min(page_id) AS page_id, regexp_extract(url, '^[^?#]*/') AS url FROM pages GROUP BY 2",
     "catalog_conform": """SELECT p_partkey, NULL::VARCHAR AS assessment_id, p_name AS title, NULL::VARCHAR AS url, NULL::VARCHAR AS description, NULL::VARCHAR AS category,
         NULL::VARCHAR AS test_type, NULL::VARCHAR AS level, p_size AS duration_min, NULL::VARCHAR AS language, NULL::VARCHAR AS tags FROM part""",
+    "catalog_write_counts": f"""SELECT 'pages' AS metric, count(*) AS n FROM pages UNION ALL SELECT unnest(['items', 'with_description', 'with_type', 'with_duration']),
+        unnest([count(*), count(description), count(test_type), count(duration_min)]) FROM ({built_catalog("SELECT * FROM pages")})""",
     "catalog_counts": f"""SELECT 'pages' AS metric, count(*) AS n FROM part UNION ALL SELECT unnest(['items', 'with_description', 'with_type', 'with_duration']),
         unnest([count(*), count(description), count(test_type), count(duration_min)]) FROM ({KNOWN})""",
     "build_doc": f"SELECT item_id, {DOC} AS doc FROM ({CATALOG})",
