@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pickwell.functions import text as X
+from pickwell.functions.terms import Vocabulary
 from pickwell.functions.strings import null_to_blank, strip
 
 MAX_TOPK = 10
@@ -64,13 +65,20 @@ def gate_text(columns: Sequence[str] = GATE_COLUMNS) -> Column:
     return F.lower(F.concat_ws(" ", *(null_to_blank(F.col(c)) for c in columns)))
 
 
-def keyword_gate(hits: DataFrame, terms: str = "terms", whole_word: bool = False) -> DataFrame:
+def keyword_gate(hits: DataFrame, terms: str = "terms", whole_word: bool = False, vocabulary: Vocabulary | None = None) -> DataFrame:
     """Hits whose text holds any strong term of their query; no terms keep all.
 
+    With a ``vocabulary`` that has all terms of all queries, a text is searched once for
+    all of them, not once for each term of its query.
+
     It runs after the top-k cut, as moving it before would bring other items in.
     Evaluated inside an array, it is no join condition and cannot be moved to
     one side of the join that brings hits and queries together.
     """
+    if vocabulary is not None:
+        found = hits.withColumn("_found", vocabulary.found_in(gate_text(), whole_word))
+        holds = (F.size(terms) == 0) | F.arrays_overlap(F.col("_found"), F.col(terms))
+        return found.filter(holds).drop("_found")
     text = F.array(F.struct(gate_text().alias("_gate")))
     on_topic = F.filter(text, lambda t: X.on_topic(t["_gate"], F.col(terms), whole_word))
     return hits.select("*", F.inline(on_topic)).drop("_gate")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pickwell.functions import text as X
+from pickwell.functions.terms import Vocabulary
 from pickwell.functions.vectors import HashEncoder
 from pickwell.operators.joins import MAX_BROADCAST_BYTES, gather_items
 from pickwell.operators.rerank import MAX_TOPK, OVERFETCH, clamp_topk, duration_score, final_rank, keyword_gate
@@ -35,7 +36,7 @@ def recommend(
     queries: DataFrame,
     index: DataFrame,
     encoder=HashEncoder(),
-    vocabulary: Sequence[str] = X.STRONG_TERMS,
+    vocabulary: Sequence[str] | Vocabulary = X.STRONG_TERMS,
     whole_word: bool = False,
     short_hours: bool = False,
     overfetch: int = OVERFETCH,
@@ -49,8 +50,10 @@ def recommend(
     Fetches ``overfetch * topk`` by similarity, drops off-topic hits, blends
     similarity with the fit to the wished duration, and ranks again.
     ``whole_word`` keeps a term such as "r" from matching inside other words,
-    ``short_hours`` reads "hr" and "hrs" as hours.
+    ``short_hours`` reads "hr" and "hrs" as hours. A ``Vocabulary`` may hold any number
+    of terms; a sequence of them becomes part of the plan.
     """
+    large = vocabulary if isinstance(vocabulary, Vocabulary) else None
     # stored, as it is counted, encoded and joined
     queries = materialise(queries.select("qid", "query", clamp_topk(F.col("topk"), most=max_topk).alias("topk")))
     hits = find(queries, index, overfetch * max_topk, encoder, **options)
@@ -59,16 +62,16 @@ def recommend(
     wishes = queries.select(
         "qid",
         "topk",
-        F.array_distinct(X.strong_terms(F.col("query"), vocabulary)).alias("terms"),
+        F.array_distinct(large.strong_terms(F.col("query")) if large else X.strong_terms(F.col("query"), vocabulary)).alias("terms"),
         window["lo"].alias("lo"),
         window["hi"].alias("hi"),
     )
-    if hits.queries is not None:
+    if hits.queries is not None and not large:
         per_query = sum(len(word.encode()) + 16 for word in vocabulary) + 64
         if hits.query_bytes + hits.queries * per_query <= MAX_BROADCAST_BYTES:
             wishes = F.broadcast(wishes)
     found = gather_items(hits, index.select("item_id", *CATALOG_COLUMNS)).join(wishes, "qid")
-    full = keyword_gate(found.filter(F.col("rank") <= F.col("topk") * overfetch), "terms", whole_word)
+    full = keyword_gate(found.filter(F.col("rank") <= F.col("topk") * overfetch), "terms", whole_word, large)
     scored = full.withColumn("duration_score", duration_score(F.col("duration_min"), F.col("lo"), F.col("hi")))
     return final_rank(scored, max_topk=max_topk).select(
         "qid", "rank", "item_id", *CATALOG_COLUMNS, "similarity", "duration_score", "score"

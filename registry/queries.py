@@ -10,6 +10,7 @@ from pickwell.functions import html as H
 from pickwell.functions import text as X
 from pickwell.functions import urls as U
 from pickwell.functions import vectors as V
+from pickwell.functions.terms import Vocabulary
 from pickwell.operators import pages as P
 from pickwell.operators import rerank as R
 from pickwell.operators.dedup import conform, keep_first
@@ -265,6 +266,28 @@ def strong_terms(spark, sf_dir):
     )
 
 
+def _prose_words(spark, sf_dir) -> DataFrame:
+    """Distinct words of four letters a-z or more in the documents."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))
+    return table(spark, sf_dir, "documents").select(F.explode(words).alias("word")).distinct()
+
+
+def vocabulary_found(spark, sf_dir):
+    """Which of all words of the documents the benchmark texts hold, as substrings and as words."""
+    words = Vocabulary.of(_prose_words(spark, sf_dir), "word")
+    low = F.lower("text")
+    found = table(spark, sf_dir, "benchmark").select("item_id", words.found_in(low).alias("inside"), words.found_in(low, True).alias("whole"))
+    return found.select("item_id", F.array_join("inside", " ").alias("inside"), F.array_join("whole", " ").alias("whole"))
+
+
+def vocabulary_terms(spark, sf_dir):
+    """Words of the documents that some benchmark text has."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    known = Vocabulary.of(table(spark, sf_dir, "benchmark").select(F.explode(words).alias("word")), "word")
+    terms = table(spark, sf_dir, "documents").select("doc_id", known.strong_terms(F.col("text")).alias("terms"))
+    return terms.select("doc_id", F.size("terms").alias("n"), F.array_join("terms", " ").alias("terms"))
+
+
 # ------------------------------------------------------------ catalog
 
 
@@ -530,7 +553,7 @@ QUERIES = {
         page_fields_crawl, page_fields_augment, page_rejects, pages_to_catalog, crawl_catalog,
         classify_type_p_first, classify_type_k_first, classify_language, classify_level_substring,
         classify_level_word, classify_documents, duration_simple, duration_full, duration_window,
-        exclude_bundles, strong_terms,
+        exclude_bundles, strong_terms, vocabulary_found, vocabulary_terms,
         missing_labelled_urls, augment_rows, catalog_merge, catalog_dedup, catalog_conform, catalog_counts,
         build_doc, hash_encode, build_index_query, index_ids, text_topk, sparse_encode, sparse_topk,
         catalog_write_counts, pages_split, pages_upsert, index_upsert,

@@ -308,6 +308,16 @@ SQL: dict[str, str] = {
     "page_rejects": f"""SELECT page_id, url, reason FROM (SELECT page_id, url, CASE WHEN html IS NULL THEN 'no html' WHEN title IS NULL THEN 'no title'
         WHEN {any_of('lower(title)', BUNDLES)} THEN 'bundle' END AS reason FROM (SELECT *, {heading(visible('html'))} AS title FROM ({PAGES}))) WHERE reason IS NOT NULL""",
     "pages_to_catalog": built_catalog("SELECT * FROM pages"),
+    "vocabulary_found": """WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents),
+        texts AS (SELECT item_id, lower(text) AS t, ' ' || regexp_replace(lower(text), '[^a-z]+', ' ', 'g') || ' ' AS padded FROM benchmark),
+        found AS (SELECT item_id, string_agg(w, ' ' ORDER BY w) AS inside, string_agg(w, ' ' ORDER BY w) FILTER (contains(padded, ' ' || w || ' ')) AS whole
+          FROM texts JOIN words ON contains(t, w) GROUP BY 1)
+        SELECT item_id, coalesce(inside, '') AS inside, coalesce(whole, '') AS whole FROM benchmark LEFT JOIN found USING (item_id)""",
+    "vocabulary_terms": """WITH known AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark),
+        lists AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[a-zA-Z]+') AS t FROM documents),
+        found AS (SELECT r, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS terms
+          FROM (SELECT r, lower(unnest(t)) AS w, generate_subscripts(t, 1) AS i FROM lists) JOIN known USING (w) GROUP BY r)
+        SELECT doc_id, CAST(coalesce(n, 0) AS INT) AS n, coalesce(terms, '') AS terms FROM lists LEFT JOIN found USING (r)""",
     "pages_split": f"""SELECT 'item' AS side, url, title AS note FROM ({KNOWN}) UNION ALL SELECT 'reject', url, CASE WHEN html IS NULL THEN 'no html'
         WHEN title IS NULL THEN 'no title' ELSE 'bundle' END FROM (SELECT *, {heading(visible('html'))} AS title FROM ({PAGES}))
         WHERE html IS NULL OR title IS NULL OR {any_of('lower(title)', BUNDLES)}""",
