@@ -20,6 +20,12 @@ def query_stream(spark: SparkSession, folder: str, fmt: str = "json", max_files:
     return spark.readStream.format(fmt).schema(QUERY_SCHEMA).option("maxFilesPerTrigger", max_files).load(folder)
 
 
+def require_stored(index: DataFrame) -> None:
+    """The index is read for every batch: one that a plan would encode each time is refused."""
+    if not index.inputFiles() or "PythonUDF" in index._jdf.queryExecution().optimizedPlan().toString():
+        raise ValueError("store the index first: it would be encoded again for every batch")
+
+
 def recommend_stream(
     queries: DataFrame,
     index: DataFrame,
@@ -38,9 +44,7 @@ def recommend_stream(
     Rows are independent, so there is no state and no watermark. A batch is run
     again after a failure: ``write`` should be idempotent per batch id.
     """
-
-    if not index.inputFiles() or "PythonUDF" in index._jdf.queryExecution().optimizedPlan().toString():
-        raise ValueError("store the index first: it would be encoded again for every batch")
+    require_stored(index)
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         clean = clean_queries(batch, topk="topk", max_topk=options.get("max_topk", MAX_TOPK)).persist()

@@ -25,6 +25,7 @@ from pickwell.plans import upsert as Up
 from pickwell.plans.index import build_index
 from pickwell.plans.search import recommend, search
 from pickwell.session import materialise, scratch_path
+from pickwell.streaming.answers import AnswerTable, answer_stream
 from pickwell.streaming.recommend import recommend_stream
 from registry import inputs as I
 from registry.inputs import derived, derived_queries, table
@@ -527,6 +528,23 @@ def recommend_stream_query(spark, sf_dir):
     )
 
 
+def answer_stream_query(spark, sf_dir):
+    """Every part as an arriving query, in two rounds: the second repeats the first and finds its answers."""
+    folder = scratch_path(spark)
+    part = table(spark, sf_dir, "part")
+    asked = part.select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("query"), F.lit(3).alias("topk"))
+    index = materialise(_index(spark, sf_dir))
+    for number in range(2):
+        asked.write.parquet(f"{folder}/asked/{number}")
+        arriving = spark.readStream.schema(asked.schema).parquet(f"{folder}/asked/*")
+        options = {"encoder": ENCODER, "vocabulary": TITLE_WORDS}
+        answer_stream(arriving, index, f"{folder}/answers", f"{folder}/state", clock=lambda: 1000.0 + number, **options).awaitTermination()
+    answers = AnswerTable(spark, f"{folder}/answers").read()
+    return answers.select("query", "batch", F.col("answered_at").cast("long").alias("answered_at"), F.posexplode("recommendations").alias("place", "hit")).select(
+        "query", "batch", "answered_at", (F.col("place") + 1).alias("rank"), "hit.assessment_url", "hit.similarity"
+    )
+
+
 # ------------------------------------------------------------ evaluation
 
 
@@ -558,7 +576,7 @@ QUERIES = {
         build_doc, hash_encode, build_index_query, index_ids, text_topk, sparse_encode, sparse_topk,
         catalog_write_counts, pages_split, pages_upsert, index_upsert,
         clamp_topk, clean_queries, recommend_rejects, topk_with_meta, keyword_gate, duration_score,
-        recommend_query, result_view, response_nested, batch_export, recommend_stream_query,
+        recommend_query, result_view, response_nested, batch_export, recommend_stream_query, answer_stream_query,
         truth_sets, recall_at_k, mean_recall,
     )
 }

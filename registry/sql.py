@@ -388,6 +388,8 @@ SQL: dict[str, str] = {
         SELECT query AS "Query", url AS "Assessment_url" FROM lines JOIN hits ON qid = query JOIN ({CATALOG}) USING (item_id)""",
     "recommend_stream": f"""SELECT query, CAST(rnk AS INT) AS rank, title AS assessment_name, url AS assessment_url, sim AS similarity
         FROM ({recommended("SELECT DISTINCT p_name || ' ' || lower(p_type) AS query, 3 AS topk FROM part")})""",
+    "answer_stream": f"""SELECT query, CAST(batch AS INT) AS batch, CAST(1000 AS BIGINT) AS answered_at, CAST(rnk AS INT) AS rank, url AS assessment_url, sim AS similarity
+        FROM ({recommended("SELECT DISTINCT p_name || ' ' || lower(p_type) AS query, 3 AS topk FROM part")}), (VALUES (0), (1)) b(batch)""",
     "truth_sets": f"SELECT query, count(*) AS n_truth, count(DISTINCT norm) AS n_distinct FROM ({_TRUTH}) GROUP BY 1",
     "recall_at_k": f"SELECT query, n_truth, round(recall, 9) AS recall FROM ({RECALL})",
     "mean_recall": f"SELECT count(*) AS queries, round(avg(recall), 9) AS mean_recall FROM ({RECALL})",
