@@ -29,6 +29,7 @@ from pickwell.streaming.answers import AnswerTable, answer_stream
 from pickwell.streaming.recommend import recommend_stream
 from registry import inputs as I
 from registry.inputs import derived, derived_queries, table
+from registry.stored import QUERIES as STORED
 
 SITE = "https://www.example.com"
 TOPK = 10
@@ -579,4 +580,4 @@ QUERIES = {
         recommend_query, result_view, response_nested, batch_export, recommend_stream_query, answer_stream_query,
         truth_sets, recall_at_k, mean_recall,
     )
-}
+} | STORED

@@ -276,6 +276,8 @@ VECTOR_TOPK = f"""SELECT qid, item_id, CAST(rank AS INT) AS rank, s AS similarit
     SELECT a.vec_id AS qid, b.vec_id AS item_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s
     FROM embeddings a CROSS JOIN embeddings b)) WHERE rank <= {TOPK}"""
 
+ODD_ITEMS = f"""SELECT * REPLACE (CASE WHEN item_id % 3 = 0 THEN 'The "' || title || '",' || chr(10) || 'now; a\\b' END AS description) FROM ({CATALOG})"""
+
 CELLS = "SELECT {key}, bucket, round(weight::DOUBLE, 9) AS weight FROM ({source})"
 _lo, _hi = window_bounds("low")
 _lo_hr, _hi_hr = window_bounds("low", True)
@@ -393,4 +395,13 @@ SQL: dict[str, str] = {
     "truth_sets": f"SELECT query, count(*) AS n_truth, count(DISTINCT norm) AS n_distinct FROM ({_TRUTH}) GROUP BY 1",
     "recall_at_k": f"SELECT query, n_truth, round(recall, 9) AS recall FROM ({RECALL})",
     "mean_recall": f"SELECT count(*) AS queries, round(avg(recall), 9) AS mean_recall FROM ({RECALL})",
+    "stored_catalog": f"SELECT {CATALOG_COLS} FROM ({ODD_ITEMS})",
+    "stored_metadata": f"SELECT {CATALOG_COLS} FROM ({ODD_ITEMS})",
+    "stored_pairs": PAIRS,
+    "stored_queries": "SELECT text AS query FROM conversations",
+    "stored_index": f"SELECT * FROM ({CELLS.format(key='item_id', source=CATALOG_VECTORS)}) JOIN (SELECT item_id, title FROM ({CATALOG})) USING (item_id)",
+    "stored_export": """SELECT left(html, 200) AS "Query", url AS "Assessment_url" FROM pages""",
+    "stored_view": f"""SELECT title AS "Assessment", '[link](' || url || ')' AS "URL", test_type AS "Type", level AS "Level", language AS "Language",
+        CAST(duration_min AS VARCHAR) AS "Duration (min)", description AS "Description" FROM ({ODD_ITEMS})""",
+    "stored_merge": f"SELECT {CATALOG_COLS}, true AS wrote, false AS wrote_again FROM ({ODD_ITEMS})",
 }
