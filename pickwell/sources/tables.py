@@ -72,7 +72,9 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(header="true", quote='"', escape='"', encoding="UTF-8").csv(path)
+    """Texts keep the blanks at their ends, which the writer drops unless told."""
+    blanks = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    df.write.mode("overwrite").options(header="true", quote='"', escape='"', encoding="UTF-8", **blanks).csv(path)
 
 
 def write_catalog(catalog: DataFrame, path: str) -> None:

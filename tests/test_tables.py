@@ -11,7 +11,7 @@ from pickwell.plans.results import result_view
 from pickwell.schemas import CATALOG_COLUMNS, CATALOG_SCHEMA
 from pickwell.sources import tables as S
 
-TRICKY = 'He said "yes", then\nleft; a\\b \\" é'
+TRICKY = '  He said "yes", then\nleft; a\\b \\" é '
 
 
 @pytest.fixture
