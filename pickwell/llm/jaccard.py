@@ -12,9 +12,11 @@
    that skips, probes the longest lists by binary search (DivideSkip), and keeps
    members that reach the overlap ``ceil(75 (a + b) / 175)``.
 4. Members of a star that are not in its component are compared with the other
-   members too, components apart: first by a bound from bit sketches, then by
-   the same search. With that every pair that shares a prefix shingle is decided
-   or inside one component.
+   members too, components apart, inside cells of bounded size: first by a bound from
+   bit sketches, then by the same search over the sets of those with a partner left.
+   A cell gives a forest of links, so what leaves it grows with its members and not with
+   their pairs. With that every pair that shares a prefix shingle is decided or inside
+   one component.
 
 The hints on frequent shingles and the filters only save work; no link is lost.
 
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 from pickwell.llm import common as C
 from pickwell.llm.counts import most_frequent
 from pickwell.llm.graph import components
+from pickwell.operators.joins import salted_join
 from pickwell.session import materialise
 
 WORDS = 5
@@ -45,7 +48,7 @@ PERCENT = 75
 FREQUENT = 1 << 20  # shingles that may be named frequent: a hint of bounded size
 SKETCH = 16  # 64-bit words of a sketch, at least
 TASK_SHINGLES = 1 << 18
-BLOCK_MEMBERS = 2048
+BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 1 << 20
 MU = 0.0085  # weight of a probe against a merge step, as published with DivideSkip
 
 _U = np.uint64
@@ -290,8 +293,11 @@ def divide_skip(lists: list[list[int]], least: int) -> dict[int, int]:
     return found
 
 
-def search_cell(queries: list[tuple[int, np.ndarray]], members: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
-    """Links between queries and members (class, sorted set), by T-occurrence search over the members' inverted lists."""
+def search_cell(queries: list[tuple[int, np.ndarray]], members: list[tuple[int, np.ndarray]], by_place: bool = False) -> list[tuple[int, int]]:
+    """Links between queries and members (class, sorted set), by T-occurrence search over the members' inverted lists.
+
+    ``by_place`` names members by their place in the list.
+    """
     if not members or not queries:
         return []
     sizes = [len(v) for _, v in members]
@@ -307,8 +313,8 @@ def search_cell(queries: list[tuple[int, np.ndarray]], members: list[tuple[int,
         lists = [owner[i:j].tolist() for i, j in zip(a[some].tolist(), b[some].tolist(), strict=True)]
         least = max(needed(len(values), smallest), -(-PERCENT * len(values) // 100))
         for i, times in divide_skip(lists, least).items():
-            if times >= needed(len(values), sizes[i]) and members[i][0] != cls:
-                links.append((cls, members[i][0]))
+            if times >= needed(len(values), sizes[i]) and (by_place or members[i][0] != cls):
+                links.append((cls, i if by_place else members[i][0]))
     return links
 
 
@@ -357,10 +363,13 @@ def search(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, wanted: DataF
     return materialise(rows.groupBy("cell").applyInArrow(run, "a long, b long"))
 
 
-def unresolved(stars: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (``a, n_a, b, n_b``) of members of one star that are in different components and not ruled out by size or sketch.
+def open_members(stars: DataFrame, roots: DataFrame, across: bool) -> tuple[DataFrame, int]:
+    """Members of stars with a member outside their component, dealt to blocks, and the number of cells these fill.
 
-    Only stars with a member outside their component count, and only pairs with such a member.
+    A row is ``a, i, j`` (the star and its block), ``cell``, ``b, n, root``, and whether the member is to be compared
+    with the others of the block (``is_query``) or is one of those. ``across``: members outside
+    the star's component meet all others, in blocks of both. Else a star is cut into blocks once, so
+    each member is in one of them.
     """
     root = roots.select(F.col("node"), "component")
     known = (
@@ -368,67 +377,138 @@ def unresolved(stars: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataF
         .select("a", "b", F.col("n_b").alias("n"), F.coalesce("root_b", "b").alias("root"), (F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).alias("outside"))
     )
     known = materialise(known)
-    open_ = known.groupBy("a").agg(F.count("*").alias("m"), F.count_if("outside").alias("o")).filter("m > 1 and o > 0")
-    open_ = open_.select("a", F.ceil(F.col("m") / BLOCK_MEMBERS).cast("int").alias("m_parts"), F.ceil(F.col("o") / BLOCK_MEMBERS).cast("int").alias("o_parts"), (F.col("m") + F.col("o")).alias("load"))
+    parts = lambda rows, shingles: F.greatest(F.ceil(rows / BLOCK_MEMBERS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+    sizes = known.groupBy("a").agg(
+        F.count("*").alias("m"), F.sum("n").alias("n_m"), F.count_if("outside").alias("o"), F.sum(F.when(F.col("outside"), F.col("n")).otherwise(0)).alias("n_o")
+    )
+    open_ = sizes.filter("m > 1 and o > 0").select("a", parts(F.col("m"), F.col("n_m")).alias("m_parts"), parts(F.col("o"), F.col("n_o")).alias("o_parts"), "n_m", "n_o")
     open_ = materialise(open_)
-    total = open_.agg(F.sum(F.col("load") * F.greatest("m_parts", "o_parts"))).first()[0] or 0
-    cells = max(1, -(-total // (2 * BLOCK_MEMBERS)))
-    rows = known.join(open_.drop("load"), "a")
+    load = F.col("n_m") * F.col("o_parts") + F.col("n_o") * F.col("m_parts") if across else F.col("n_m")
+    cells = max(1, -(-(open_.agg(F.sum(load)).first()[0] or 0) // BLOCK_SHINGLES))
+    rows = known.join(open_.drop("n_m", "n_o"), "a")
     h = F.xxhash64("b")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    own = lambda part: F.pmod(h, F.col(part)).cast("int")
     columns = ["a", "b", "n", "root"]
-    index = rows.select(*columns, F.lit(False).alias("is_query"), F.pmod(h, F.col("m_parts")).cast("int").alias("i"), every("o_parts").alias("j"))
-    query = rows.filter("outside").select(*columns, F.lit(True).alias("is_query"), every("m_parts").alias("i"), F.pmod(h, F.col("o_parts")).cast("int").alias("j"))
-    placed = index.unionByName(query).withColumn("cell", F.pmod(F.xxhash64("a", "i", "j"), F.lit(cells)))
-    placed = placed.join(sketches.select(F.col("cls").alias("b"), "bits"), "b")
+    if across:
+        every = lambda part: F.explode(F.sequence(F.lit(0), F.col(part) - 1))
+        index = rows.select(*columns, F.lit(False).alias("is_query"), own("m_parts").alias("i"), every("o_parts").alias("j"))
+        query = rows.filter("outside").select(*columns, F.lit(True).alias("is_query"), every("m_parts").alias("i"), own("o_parts").alias("j"))
+        placed = index.unionByName(query)
+    else:
+        placed = rows.select(*columns, F.lit(True).alias("is_query"), own("m_parts").alias("i"), F.lit(0).alias("j"))
+    return placed.withColumn("cell", F.pmod(F.xxhash64("a", "i", "j"), F.lit(cells))), cells
 
-    def run(cell: pa.Table) -> pa.Table:
-        cell = cell.sort_by([("a", "ascending"), ("i", "ascending"), ("j", "ascending"), ("n", "ascending")]).combine_chunks()
-        block = np.stack([cell.column(c).to_numpy().astype(np.int64) for c in "aij"], 1)
-        b, n, root, is_query = (cell.column(c).to_numpy() for c in ("b", "n", "root", "is_query"))
-        lists = cell.column("bits").combine_chunks()
-        length = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+
+class Sketches:
+    """Sketches of some sets, compared without regard to their lengths."""
+
+    def __init__(self, bits: list[np.ndarray]):
+        self.length = np.array([len(x) for x in bits], np.int64)
         # sketches by their length; a row's place among those of its length
-        by_length, at = {}, np.zeros(len(length), np.int64)
-        for size in np.unique(length).tolist():
-            own = np.flatnonzero(length == size)
-            at[own] = np.arange(len(own))
-            by_length[size] = flat[ends[own][:, None] + np.arange(size)]
-
-        def differing(rows: np.ndarray, q: int) -> np.ndarray:
-            """A lower bound of the shingles in which the sets of these rows differ from that of q."""
-            out = np.zeros(len(rows), np.int64)
-            mine = by_length[length[q]][at[q]]
-            for size in np.unique(length[rows]).tolist():
-                some = length[rows] == size
-                theirs, own = by_length[size][at[rows[some]]], mine
-                if size > len(own):
-                    theirs = halved(theirs)
-                elif size < len(own):
-                    own = halved(own)
-                out[some] = np.bitwise_count(theirs ^ own).sum(1, dtype=np.int64)
-            return out
-
-        cuts = np.append(np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]).any(1)])), len(b))
-        out: set[tuple[int, int, int, int]] = set()
-        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
-            span = np.arange(start, stop)
-            index = span[~is_query[start:stop]]
-            for q in span[is_query[start:stop]]:
-                # members are in order of size: those of a fitting size are a slice
-                low = np.searchsorted(n[index], -(-PERCENT * n[q] // 100))
-                high = np.searchsorted(n[index], 100 * n[q] // PERCENT, "right")
-                near = index[low:high]
-                near = near[root[near] != root[q]]
-                both = n[near] + n[q]
-                near = near[differing(near, q) <= both - 2 * (-(-PERCENT * both // (100 + PERCENT)))]
-                for m in near.tolist():
-                    x, y = sorted(((int(b[q]), int(n[q])), (int(b[m]), int(n[m]))))
-                    out.add((*x, *y))
-        return pa.table({k: pa.array([x[i] for x in sorted(out)], pa.int64()) for i, k in enumerate(("a", "n_a", "b", "n_b"))})
-
-    return placed.groupBy("cell").applyInArrow(run, _STAR).distinct()
+        self.at, self.by_length = np.zeros(len(bits), np.int64), {}
+        for size in np.unique(self.length).tolist():
+            own = np.flatnonzero(self.length == size)
+            self.at[own] = np.arange(len(own))
+            self.by_length[size] = np.stack([bits[i] for i in own]).view(np.uint64)
+
+    def differing(self, rows: np.ndarray, q: int) -> np.ndarray:
+        """A lower bound of the shingles in which the sets of these rows differ from that of q."""
+        out = np.zeros(len(rows), np.int64)
+        mine = self.by_length[self.length[q]][self.at[q]]
+        for size in np.unique(self.length[rows]).tolist():
+            some = self.length[rows] == size
+            theirs, own = self.by_length[size][self.at[rows[some]]], mine
+            if size > len(own):
+                theirs = halved(theirs)
+            elif size < len(own):
+                own = halved(own)
+            out[some] = np.bitwise_count(theirs ^ own).sum(1, dtype=np.int64)
+        return out
+
+    def near(self, index: np.ndarray, n: np.ndarray, root: np.ndarray, q: int) -> np.ndarray:
+        """Rows of ``index`` (by size) in other components than q that size and sketch leave."""
+        low = np.searchsorted(n[index], -(-PERCENT * n[q] // 100))
+        high = np.searchsorted(n[index], 100 * n[q] // PERCENT, "right")
+        rows = index[low:high]
+        rows = rows[root[rows] != root[q]]
+        both = n[rows] + n[q]
+        return rows[self.differing(rows, q) <= both - 2 * (-(-PERCENT * both // (100 + PERCENT)))]
+
+
+def _blocks_of_cell(cell: pa.Table) -> Iterator[pa.Table]:
+    """Each block of a cell, its rows by size."""
+    cell = cell.sort_by([(c, "ascending") for c in ("a", "i", "j", "n", "b")]).combine_chunks()
+    block = np.stack([cell.column(c).to_numpy().astype(np.int64) for c in "aij"], 1)
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]).any(1)])), len(block))
+    for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield cell.slice(start, stop - start)
+
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    flat = column.combine_chunks()
+    ends, values = flat.offsets.to_numpy(), flat.values.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+_PLACED = "a long, i int, j int, cell long, b long, n long, root long, is_query boolean"
+
+
+def _with_partner(cell: pa.Table) -> pa.Table:
+    """The rows of a cell that size and sketch leave a partner in their block, without their sketches."""
+    names = [f.split()[0] for f in _PLACED.split(", ")]
+    kept = []
+    for part in _blocks_of_cell(cell):
+        n, root, is_query = (part.column(c).to_numpy() for c in ("n", "root", "is_query"))
+        sketches = Sketches(_lists(part.column("bits")))
+        own = np.flatnonzero(~is_query)
+        own = own if len(own) else np.arange(len(n))
+        found = np.zeros(len(n), bool)
+        for q in np.flatnonzero(is_query):
+            near = sketches.near(own, n, root, q)
+            if len(near):
+                found[near] = found[q] = True
+        kept.append(part.select(names).filter(pa.array(found)))
+    return pa.concat_tables(kept)
+
+
+def _forest(cell: pa.Table) -> pa.Table:
+    """Links of a cell that join components, at most one fewer than it has rows.
+
+    Members are compared in turn, by T-occurrence search over the inverted lists of those that are in
+    other components by then and that size and sketch leave.
+    """
+    links: list[tuple[int, int]] = []
+    for part in _blocks_of_cell(cell):
+        b, n, root, is_query = (part.column(c).to_numpy() for c in ("b", "n", "root", "is_query"))
+        root = root.copy()
+        sets = [x.view(np.uint64) for x in _lists(part.column("shingles"))]
+        sketches = Sketches([sketch(x) for x in sets])
+        own = np.flatnonzero(~is_query)
+        own = own if len(own) else np.arange(len(n))
+        for q in np.flatnonzero(is_query):
+            near = sketches.near(own, n, root, q)
+            if not len(near):
+                continue
+            for _, found in search_cell([(int(b[q]), sets[q])], [(int(m), sets[m]) for m in near], by_place=True):
+                if root[near[found]] != root[q]:
+                    links.append((int(b[q]), int(b[near[found]])))
+                    root[root == root[near[found]]] = root[q]
+    return pa.table({k: pa.array([x[j] for x in links], pa.int64()) for j, k in enumerate("ab")})
+
+
+def joined(docs: DataFrame, stars: DataFrame, roots: DataFrame, sketches: DataFrame, wanted: DataFrame, across: bool) -> DataFrame:
+    """Links ``a, b`` between members of a star that are in different components, enough of them to join what they link.
+
+    All comparing is done inside cells of bounded size, first by sketch, then by set for the members that have a
+    partner left. Pairs never leave a cell, only members and a forest of links do.
+    """
+    placed, _ = open_members(stars, roots, across)
+    bits = sketches.select(F.col("cls").alias("b"), "bits")
+    left = placed.join(bits, "b").groupBy("cell").applyInArrow(_with_partner, _PLACED)
+    left = materialise(left)
+    own = left.select(F.col("b").alias("cls")).distinct().join(wanted, "cls")
+    sets = sets_of(docs, materialise(own), False).withColumnRenamed("cls", "b")
+    return materialise(left.join(sets, "b").groupBy("cell").applyInArrow(_forest, "a long, b long"))
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -455,13 +535,15 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     wanted = materialise(wanted)
     sketches = materialise(sets_of(docs, wanted, True))
     links = search(docs, stars, sketches, wanted)
-    roots = components(links)
-    more = search(docs, unresolved(stars, roots, sketches), sketches, wanted)
+    # first inside blocks of a star, which joins most of a group of any size; few members are left to meet all blocks
+    for across in (False, True):
+        roots = components(links)
+        links = links.unionByName(joined(docs, stars, roots, sketches, wanted, across))
     # every class in a component of several, with the smallest document of that component
-    roots = components(links.unionByName(more))
-    named = first.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls"))
+    roots = components(links)
+    named = materialise(first.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls")))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = named.join(smallest, "root").select("cls", "component_id", "root")
+    classes = salted_join(named, smallest, "root", spread_by="cls").select("cls", "component_id", "root")
     return (
         members.join(classes, "cls", "left")
         .select(

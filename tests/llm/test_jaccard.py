@@ -85,9 +85,10 @@ def chains(seed=6):
     return [(i * 3 + 1, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("members,load", [(jaccard.BLOCK_MEMBERS, jaccard.TASK_SHINGLES), (7, 900)])
-def test_components(spark, docs, doc_rows, monkeypatch, members, load):
+@pytest.mark.parametrize("members,block,load", [(jaccard.BLOCK_MEMBERS, jaccard.BLOCK_SHINGLES, jaccard.TASK_SHINGLES), (7, 1500, 900)])
+def test_components(spark, docs, doc_rows, monkeypatch, members, block, load):
     monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", members)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
     monkeypatch.setattr(jaccard, "TASK_SHINGLES", load)
     extra = [(1000 + i, t) for i, t in chains()]
     table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string").repartition(5))
@@ -96,6 +97,39 @@ def test_components(spark, docs, doc_rows, monkeypatch, members, load):
     assert got == want
 
 
+def near_copies(n, seed=9):
+    """Texts of 100 words, each with two words of its own."""
+    rng = random.Random(seed)
+    base = words(rng, "en", 100)
+    out = []
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(100), 2):
+            w[at] = f"own{i}x{at}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_rows_between_steps_grow_with_a_group_and_not_with_its_pairs(spark, monkeypatch):
+    stored = []
+    whole = jaccard.materialise
+
+    def counting(df):
+        kept = whole(df)
+        stored.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(jaccard, "materialise", counting)
+    sums = []
+    for n in (300, 600):
+        rows = near_copies(n)
+        stored.clear()
+        got = Counter(map(tuple, jaccard.jaccard_query(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()))
+        assert got == brute(rows)
+        sums.append(sum(stored))
+    assert sums[1] < 2.5 * sums[0]
+
+
 def test_one_of_each_group_stays(spark, docs, doc_rows, no_docs):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
