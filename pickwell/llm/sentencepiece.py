@@ -4,9 +4,16 @@ A text is written with ``U+2581`` for each blank and one before it. Viterbi find
 the pieces with the highest sum of scores. It streams: only the back pointers of
 the last ``longest piece`` positions are live, and whenever all of them go back
 through one boundary, everything before that boundary is final and its ids leave
-the window. Where no piece crosses from another character into ``U+2581``, that
-place is such a boundary for any text; the parts between are encoded once per
-distinct part and batch and put together in numpy.
+the window.
+
+A block of texts goes through this as arrays. Where no piece crosses from another
+character into ``U+2581``, that place is a boundary for any text, so texts become parts,
+and each distinct part is encoded once. The pieces that begin at each character are
+looked up by rolling hashes, one length after the other. All paths go through
+every place that none of them crosses: there they converge, whatever comes later, and
+the pieces before are committed. The stretches between such places are advanced in step, all
+of a block at once. A stretch longer than the window (``WINDOW``) is streamed on its own,
+with boundaries found by its back pointers.
 
 The vocabulary file is a parameter (a public model is not part of this code).
 A character without a piece, and a ``U+2581`` of the text itself, become byte pieces.
@@ -18,7 +25,8 @@ other columns pass.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +39,9 @@ from pickwell.llm import common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-MAX_CACHE = 50_000
+WINDOW = 64
+_U = np.uint64
+_SLOT_BITS = 21
 _LITERAL = "\ue000"  # stands for a U+2581 of the text inside a part; never a piece
 
 
@@ -58,10 +68,65 @@ class Pieces:
         if min(self.byte_ids) < 0:
             raise ValueError("the vocabulary needs a piece for every byte")
         self.longest = max(map(len, self.ids), default=1)
+        self.size = np.array([len(self.bytes_of[i].decode("utf-8", "replace")) for i in range(n)])
+        self.score_of = np.array(self.scores)
         self.unknown = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
         self.crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        # all beginnings of pieces, so that the search stops where none goes on
-        self.heads = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        self._index()
+
+    @cached_property
+    def heads(self) -> set[str]:
+        """All beginnings of pieces, so that the search stops where none goes on."""
+        return {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+
+    def _index(self) -> None:
+        """Beginnings of pieces by their hash, each with the piece that ends there (-1: none)."""
+        names = list(self.ids)
+        sizes = np.array([len(p) for p in names])
+        points = np.zeros((len(names), self.longest), np.uint32)
+        points[np.arange(self.longest) < sizes[:, None]] = _points("".join(names))
+        numbers = np.array([self.ids[p] for p in names], np.int64)
+        found, h = [], np.zeros(len(names), np.uint64)
+        for k in range(1, self.longest + 1):
+            own = sizes >= k
+            h[own] = _rolled(h[own], points[own, k - 1])
+            found.append(np.stack([h[own].view(np.int64), np.where(sizes[own] == k, numbers[own], -1)]))
+        key, piece = np.concatenate(found, axis=1)
+        order = np.lexsort((-piece, key.view(np.uint64)))
+        key, piece = key[order].view(np.uint64), piece[order]
+        first = C.run_starts(key)
+        # sorted keys, and by their first bits where to look
+        self.key, self.piece = key[first], piece[first]
+        slots = (self.key >> _U(64 - _SLOT_BITS)).astype(np.int64)
+        self.slot = np.searchsorted(slots, np.arange((1 << _SLOT_BITS) + 1)).astype(np.int32)
+        self.deepest = int(np.diff(self.slot).max())
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash among the beginnings, -1 where it is none."""
+        at = (h >> _U(64 - _SLOT_BITS)).astype(np.int64)
+        place, end = self.slot[at], self.slot[at + 1]
+        out = np.full(len(h), -1, np.int64)
+        look = np.flatnonzero(place < end)
+        for step in range(self.deepest):
+            here = place[look] + step
+            same = self.key[here] == h[look]
+            out[look[same]] = here[same]
+            look = look[~same & (here + 1 < end[look])]
+            if not len(look):
+                break
+        return out
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _rolled(h: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Hash of a string that is one character longer."""
+    x = (h + points.astype(np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15)
+    x ^= x >> _U(32)
+    x *= _U(0xD6E8FEB86659FD93)
+    return x ^ (x >> _U(29))
 
 
 def stream(text: str, pieces: Pieces) -> Iterator[list[int]]:
@@ -138,6 +203,104 @@ def encode_part(part: str, pieces: Pieces) -> list[int]:
     return out
 
 
+def encode_parts(parts: pa.Array, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all parts, one after the other, and the number of each part's ids."""
+    sizes = pc.utf8_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    points = _points("".join(parts.to_pylist()))
+    n = len(points)
+    if not n:
+        return np.zeros(0, np.int32), np.zeros(len(parts), np.int64)
+    start, length, piece = _edges(points, sizes, pieces)
+    # places that no edge crosses are where all paths converge
+    reach = np.arange(n) + 1
+    np.maximum.at(reach, start, start + length)
+    until = np.maximum.accumulate(reach)
+    first = np.flatnonzero(np.concatenate([[True], until[:-1] == np.arange(1, n)]))
+    stretch = np.append(first[1:], n) - first
+    taken = np.full(n, -2, np.int64)
+    _in_step(taken, start, length, piece, first, stretch, pieces)
+    for a, b in zip(first[stretch > WINDOW].tolist(), (first + stretch)[stretch > WINDOW].tolist(), strict=True):
+        at = a
+        for batch in stream(points[a:b].tobytes().decode("utf-32-le", "surrogatepass"), pieces):
+            for number in batch:
+                taken[at] = max(number, -1)
+                at += pieces.size[number] if number >= 0 else 1
+    chosen = np.flatnonzero(taken > -2)
+    ids = taken[chosen]
+    counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[chosen], minlength=len(sizes))
+    odd = np.flatnonzero(ids < 0)
+    if not len(odd):
+        return ids.astype(np.int32), counts
+    # characters without a piece become their bytes
+    kinds, which = np.unique(points[chosen[odd]], return_inverse=True)
+    spelled = [[pieces.byte_ids[x] for x in (SPACE if chr(k) == _LITERAL else chr(k)).encode("utf-8", "surrogatepass")] for k in kinds.tolist()]
+    wide = np.array([len(x) for x in spelled])
+    times = np.ones(len(ids), np.int64)
+    times[odd] = wide[which]
+    out = np.repeat(ids, times)
+    out[out < 0] = np.concatenate([*(np.array(x) for x in spelled)])[C.ranges((np.cumsum(wide) - wide)[which], wide[which])]
+    ends = np.concatenate([[0], np.cumsum(times)])[np.concatenate([[0], np.cumsum(counts)])]
+    return out.astype(np.int32), np.diff(ends)
+
+
+def _edges(points: np.ndarray, sizes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and number (-1: a character without a piece) of all pieces in the parts."""
+    n = len(points)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)
+    alive, h = np.arange(n), np.zeros(n, np.uint64)
+    bare = np.ones(n, bool)
+    found = []
+    for k in range(1, pieces.longest + 1):
+        inside = left[alive] >= k
+        alive, h = alive[inside], h[inside]
+        h = _rolled(h, points[alive + k - 1])
+        place = pieces.find(h)
+        alive, h, place = alive[place >= 0], h[place >= 0], place[place >= 0]
+        number = pieces.piece[place]
+        own = number >= 0
+        found.append((alive[own], np.full(np.count_nonzero(own), k), number[own]))
+        if k == 1:
+            bare[alive[own]] = False
+        if not len(alive):
+            break
+    odd = np.flatnonzero(bare)
+    found.append((odd, np.ones(len(odd), np.int64), np.full(len(odd), -1)))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _in_step(taken: np.ndarray, start: np.ndarray, length: np.ndarray, piece: np.ndarray, first: np.ndarray, stretch: np.ndarray, pieces: Pieces) -> None:
+    """Best pieces of the stretches up to ``WINDOW``, put where they begin. Ties go to the longer last piece."""
+    number = np.repeat(np.arange(len(first)), stretch)
+    short = stretch <= WINDOW
+    own = short[number[start]]
+    start, length, piece = start[own], length[own], piece[own]
+    offset = start - first[number[start]]
+    order = np.lexsort((length, offset))
+    start, length, piece, offset = start[order], length[order], piece[order], offset[order]
+    score = np.where(piece >= 0, pieces.score_of[piece], pieces.unknown)
+    # a stretch of m characters has m + 1 places
+    node = start + number[start]
+    best = np.full(len(number) + len(first), -np.inf)
+    best[first + np.arange(len(first))] = 0.0
+    back, by = np.zeros(len(best), np.int64), np.zeros(len(best), np.int64)
+    groups = C.run_starts(offset * 1024 + length)
+    for a, b in zip(groups.tolist(), np.append(groups[1:], len(start))[: len(groups)].tolist()):
+        total = best[node[a:b]] + score[a:b]
+        to = node[a:b] + length[a:b]
+        better = total > best[to]
+        to = to[better]
+        best[to], back[to], by[to] = total[better], length[a:b][better], piece[a:b][better]
+    begin = (first + np.arange(len(first)))[short]
+    at = begin + stretch[short]
+    shift = np.arange(len(first))[short]
+    while len(at):
+        step = back[at]
+        taken[at - step - shift] = by[at]
+        at = at - step
+        more = at > begin
+        at, begin, shift = at[more], begin[more], shift[more]
+
+
 def parts_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Row and text of the parts between boundaries; joined again they are the marked text."""
     # a private-use character of the text itself would be mistaken for the stand-in
@@ -159,7 +322,7 @@ class _Stand(Exception):
     """The texts hold the characters used as stand-ins."""
 
 
-def encode_texts(texts: pa.Array, pieces: Pieces, cache: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: pa.Array, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """All ids, one text after the other, and the number of each text's ids."""
     n = len(texts)
     try:
@@ -171,18 +334,7 @@ def encode_texts(texts: pa.Array, pieces: Pieces, cache: dict[str, list[int]]) -
         found = [encode_text(t, pieces) if t else [] for t in texts.to_pylist()]
         return np.array([i for f in found for i in f], np.int32), np.array([len(f) for f in found], np.int64)
     codes, distinct = C.distinct(parts)
-    known = []
-    for part in distinct.to_pylist():
-        ids = cache.get(part)
-        if ids is None:
-            ids = encode_part(part, pieces)
-            if len(part) <= 64:
-                if len(cache) >= MAX_CACHE:
-                    cache.clear()
-                cache[part] = ids
-        known.append(ids)
-    lengths = np.array([len(k) for k in known], np.int64)
-    flat = np.fromiter((i for k in known for i in k), np.int32, int(lengths.sum()))
+    flat, lengths = encode_parts(distinct, pieces)
     starts = np.cumsum(lengths) - lengths
     out = flat[C.ranges(starts[codes], lengths[codes])] if len(codes) else np.zeros(0, np.int32)
     return out, np.bincount(rows, lengths[codes], n).astype(np.int64)
@@ -232,10 +384,10 @@ def encode(docs: DataFrame, text: str = "text", name: str = "ids", model: str =
     names = [*docs.columns, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, cache = Pieces(held.value), {}
+        pieces = Pieces(held.value)
         for block in C.blocks(batches, text):
             texts = C.column(block, text)
-            ids, lengths = encode_texts(texts, pieces, cache)
+            ids, lengths = encode_texts(texts, pieces)
             offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
             missing = pc.is_null(texts)
             yield pa.RecordBatch.from_arrays([*block.columns, pa.ListArray.from_arrays(offsets, pa.array(ids), mask=missing)], names)

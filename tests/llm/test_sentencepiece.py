@@ -56,13 +56,38 @@ def test_parts_and_streams_agree_and_decode(pieces):
     ends = np.concatenate([[0], np.cumsum([len(b) for b in pieces.bytes_of])])
     plain = [t for t in texts if not set(t) & {"\x00", ""}]
     for group in (texts, plain):
-        ids, lengths = S.encode_texts(pa.array(group), pieces, {})
+        ids, lengths = S.encode_texts(pa.array(group), pieces)
         assert [b.decode() for b in S.decode_ids(ids.astype(np.int64), lengths, table, ends)] == group
     marks_free = [t for t in plain if S.SPACE not in t]
-    ids, lengths = S.encode_texts(pa.array(marks_free), pieces, {})
+    ids, lengths = S.encode_texts(pa.array(marks_free), pieces)
     assert ids.tolist() == [i for t in marks_free if t for i in S.encode_text(t, pieces)]
 
 
+def test_parts_in_step_give_the_best_path(pieces):
+    rng = random.Random(4)
+    some = list(pieces.ids)
+    parts = [S.SPACE + "".join(rng.choices(some, k=rng.randint(0, 6))) for _ in range(400)]
+    parts += ["".join(rng.choice("abthe rionsé漢🙂\x01") for _ in range(rng.randint(1, 60))) for _ in range(200)] + [S._LITERAL, "", "x" * 300, "the" * 100 + "🙂🙂", "ab" * 40]
+    ids, lengths = S.encode_parts(pa.array(parts), pieces)
+    stops = lengths.cumsum()
+    for part, stop, n in zip(parts, stops, lengths):
+        want = []
+        for piece in best_path(part, pieces):
+            ch = chr(-1 - piece) if piece < 0 else ""
+            want += [piece] if piece >= 0 else [pieces.byte_ids[b] for b in (S.SPACE if ch == S._LITERAL else ch).encode()]
+        assert ids[stop - n : stop].tolist() == want, part
+
+
+def test_a_long_text_without_blanks_is_committed_as_it_goes(pieces):
+    rng = random.Random(5)
+    plain, runs = "".join(rng.choices("etaoinshrdlu", k=1_000_000)), "x" * 20_000
+    for text in (plain, runs):
+        ids, lengths = S.encode_texts(pa.array([text]), pieces)
+        assert lengths.tolist() == [len(ids)] and "".join(pieces.bytes_of[i].decode() for i in ids.tolist()) == " " + text
+    assert ids.tolist() == S.encode_text(runs, pieces)
+    assert S.encode_texts(pa.array([plain[:3000]]), pieces)[0].tolist() == best_path(S.SPACE + plain[:3000], pieces)
+
+
 def test_the_library_decodes_the_ids(pieces):
     import sentencepiece
 
