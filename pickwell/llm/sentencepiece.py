@@ -274,16 +274,19 @@ def _in_step(taken: np.ndarray, start: np.ndarray, length: np.ndarray, piece: np
     short = stretch <= WINDOW
     own = short[number[start]]
     start, length, piece = start[own], length[own], piece[own]
-    offset = start - first[number[start]]
-    order = np.lexsort((length, offset))
-    start, length, piece, offset = start[order], length[order], piece[order], offset[order]
+    wide = pieces.longest + 1
+    # small numbers are sorted without comparing them
+    turn = (start - first[number[start]]) * wide + length
+    turn = turn.astype(np.uint16 if (WINDOW + 1) * wide < 1 << 16 else np.int64)
+    order = np.argsort(turn, kind="stable")
+    start, length, piece, turn = start[order], length[order], piece[order], turn[order]
     score = np.where(piece >= 0, pieces.score_of[piece], pieces.unknown)
     # a stretch of m characters has m + 1 places
     node = start + number[start]
     best = np.full(len(number) + len(first), -np.inf)
     best[first + np.arange(len(first))] = 0.0
     back, by = np.zeros(len(best), np.int64), np.zeros(len(best), np.int64)
-    groups = C.run_starts(offset * 1024 + length)
+    groups = C.run_starts(turn)
     for a, b in zip(groups.tolist(), np.append(groups[1:], len(start))[: len(groups)].tolist()):
         total = best[node[a:b]] + score[a:b]
         to = node[a:b] + length[a:b]
