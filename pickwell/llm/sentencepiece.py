@@ -40,6 +40,7 @@ from pickwell.llm import common as C
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 WINDOW = 64
+AT_ONCE = 1 << 16
 _U = np.uint64
 _SLOT_BITS = 21
 _LITERAL = "\ue000"  # stands for a U+2581 of the text inside a part; never a piece
@@ -204,7 +205,16 @@ def encode_part(part: str, pieces: Pieces) -> list[int]:
 
 
 def encode_parts(parts: pa.Array, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all parts, one after the other, and the number of each part's ids."""
+    """Ids of all parts, one after the other, and the number of each part's ids; ``AT_ONCE`` characters at a time."""
+    if not len(parts):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    before = np.cumsum(pc.utf8_length(parts).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(before // AT_ONCE, prepend=-1))
+    found = [_encode_some(parts.slice(a, b - a), pieces) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(parts)])]
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _encode_some(parts: pa.Array, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     sizes = pc.utf8_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
     points = _points("".join(parts.to_pylist()))
     n = len(points)
