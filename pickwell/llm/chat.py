@@ -10,7 +10,8 @@ Rendered, a turn is ``<s>role\\ntext</s>\\n``. A backslash stands before every
 backslash of a text and before every control string in it (in a role, before a
 line break too), so the output can be read back exactly.
 
-Defined cases: NULL text or role is empty; events with equal ``seq`` are taken in
+Defined cases: NULL text or role is empty; a message has the first role that any of its
+events since the last regeneration tells, edited ones among them; events with equal ``seq`` are taken in
 order of kind, text and role; equal rows each count; a NULL ``conv_id`` is a
 conversation of its own; an event with NULL ``msg`` is a message of its own that no
 edit or regeneration names; an empty log gives no rows; other columns are ignored.
@@ -90,10 +91,13 @@ def reconstruct(events: DataFrame) -> DataFrame:
     cut = F.min(F.when(F.col("kind") == "regenerate", F.coalesce("msg", F.lit(-(2**62))))).over(later)
     edits = Window.partitionBy("conv_id", "msg").orderBy(F.desc("seq"), F.desc("kind"), F.desc("text"), F.desc("role"))
     edited = F.max(F.when((F.col("kind") == "edit") & F.col("msg").isNotNull(), True)).over(edits.rowsBetween(Window.unboundedPreceding, -1))
+    # the window runs backwards, so the last role in it was told first
+    told = F.last(F.when(F.col("role") != "", F.col("role")), ignorenulls=True).over(edits.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    role = F.when(F.col("msg").isNull(), F.col("role")).otherwise(F.coalesce(told, F.lit("")))
     return (
         rows.withColumn("cut", cut)
         .filter((F.col("kind") != "regenerate") & F.coalesce(F.col("cut") > F.col("msg"), F.lit(True)))
-        .withColumn("edited", edited)
+        .withColumns({"edited": edited, "role": role})
         .filter(F.col("edited").isNull())
         .select("conv_id", "msg", F.col("seq").alias("part"), "kind", "role", "text")
     )

@@ -81,3 +81,14 @@ def test_empty_log(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.render(chat.reconstruct(chat.from_turns(empty))).count() == 0
     assert [r.conv_id for r in chat.chat_query(empty).collect()] == [-1]
+
+
+def test_an_edit_without_role_keeps_the_role_of_its_message(spark):
+    events = [
+        (1, 1, "message", 1, "user", "a"), (1, 2, "message", 2, "assistant", "b"), (1, 3, "edit", 2, None, "c"),
+        (1, 4, "message", 3, None, "d"), (1, 5, "delta", 3, "user", "e"), (1, 6, "edit", 3, None, "f"),
+        (2, 1, "message", 1, "assistant", "x"), (2, 2, "regenerate", 1, None, None), (2, 3, "message", 1, "user", "y"), (2, 4, "edit", 1, "", "z"),
+    ]
+    df = spark.createDataFrame(events, "conv_id long, seq long, kind string, msg long, role string, text string")
+    rows = sorted((r.conv_id, r.msg, r.role, r.text) for r in chat.reconstruct(df).collect())
+    assert rows == [(1, 1, "user", "a"), (1, 2, "assistant", "c"), (1, 3, "user", "f"), (2, 1, "user", "z")]
