@@ -10,7 +10,8 @@ holds more than half of the block's rows is kept as a dense array.
 Defined cases: vectors that are NULL or hold NULL, NaN or infinite components
 take no part, nor rows without id; of rows with the same id the smallest vector
 counts, once; a component that only one side has adds nothing; ties go to the
-smaller id; fewer than k other rows give fewer results; empty tables give none.
+smaller id; fewer than k other rows give fewer results; empty tables give none; a
+score beyond 64 bits is an error.
 """
 
 from __future__ import annotations
@@ -61,8 +62,8 @@ def search_block(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     query_ids, q_owner, q_terms, q_weights = _sparse(queries)
     n = len(ids)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    most = np.abs(weights).max(initial=1) * np.abs(q_weights).max(initial=1) * (terms.max(initial=0) + 1)
-    kind = np.int32 if float(most) < 2**31 else np.int64
+    sum_bound = float(np.abs(weights).max(initial=1)) * float(np.abs(q_weights).max(initial=1)) * (terms.max(initial=0) + 1.0)
+    kind = np.int32 if sum_bound < 2**31 else np.int64
     starts = np.append(C.run_starts(terms), len(terms))
     postings = {}
     for a, b in zip(starts[:-1], starts[1:], strict=True):
@@ -91,22 +92,50 @@ def search_block(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
                 scores += added
             else:
                 scores[own[a:b]] += added
-        # one distinct number per row: score first, then the smaller id (rows are in id order)
-        rank = scores.astype(np.int64) * n + np.arange(n - 1, -1, -1)
+        scores = scores.astype(np.int64)
         this = np.searchsorted(ids, query_ids[first : first + size])
         there = this < n
         there[there] = ids[this[there]] == query_ids[first : first + size][there]
+        if sum_bound >= 2.0**63:
+            _require_fit(own, term, weight, postings, size, n, np.flatnonzero(there), this[there])
         keep = min(k + 1, n)  # one more, as the query's own row may be among them
-        best = np.argpartition(rank, n - keep, axis=1)[:, n - keep :] if n else np.zeros((size, 0), np.int64)
+        best = _best(scores, keep)
         row = np.repeat(np.arange(size), best.shape[1])
         col = best.ravel()
         other = ~(there[row] & (col == this[row]))
         row, col = row[other], col[other]
-        out.append((query_ids[first + row], ids[col], scores[row, col].astype(np.int64)))
+        out.append((query_ids[first + row], ids[col], scores[row, col]))
     parts = [np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else ((), (), ()))]
     return pa.table([pa.array(p, pa.int64()) for p in parts], names=["query_id", "vec_id", "score"])
 
 
+def _best(scores: np.ndarray, keep: int) -> np.ndarray:
+    """Columns of the highest scores of each row; of equal ones the first, as rows are in id order."""
+    size, n = scores.shape
+    if not n or keep == n:
+        return np.tile(np.arange(n), (size, 1))
+    border = np.partition(scores, n - keep, axis=1)[:, n - keep, None]
+    above = scores > border
+    # places left for scores at the border, the first ones get them
+    at_border = scores == border
+    room = keep - above.sum(1, keepdims=True)
+    chosen = above | at_border & (np.cumsum(at_border, axis=1, dtype=np.int32) <= room)
+    return np.nonzero(chosen)[1].reshape(size, keep)
+
+
+def _require_fit(own: np.ndarray, term: np.ndarray, weight: np.ndarray, postings: dict, size: int, n: int, queries: np.ndarray, selves: np.ndarray) -> None:
+    """Sums in 64 bits wrap without harm if their result fits; one that does not is an error."""
+    total = np.zeros((size, n))
+    for q, t, w in zip(own.tolist(), term.tolist(), weight.tolist()):
+        if t in postings:
+            at, values = postings[t]
+            total[q, slice(None) if at is None else at] += float(w) * values.astype(np.float64)
+    # a query's product with itself is no score
+    total[queries, selves] = 0
+    if np.abs(total).max(initial=0) >= 2.0**63 * (1 - 1e-9):
+        raise OverflowError("an inner product does not fit 64 bits: scale the vectors down")
+
+
 def top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """``query_id, rank, vec_id, score`` of each query (``id, weights``) among the rows of other id."""
     size = lambda df: df.agg(F.count("*"), F.max(F.size("weights"))).first()

@@ -95,3 +95,27 @@ def test_near_duplicates(table, rows, monkeypatch, chunk, leaf):
 
 def test_no_vectors(table):
     assert vecdup.vecdup_query(table.limit(0)).count() == 0
+
+
+def test_large_components_and_ties(spark):
+    """Scores near 2**55, where a number for score and place together would not fit; ties of thousands."""
+    rng = np.random.default_rng(7)
+    x = rng.integers(-(2**27), 2**27, size=(3000, 3)).tolist() + [[5, 5, 5]] * 3000
+    table = spark.createDataFrame(list(enumerate(x)), "id long, weights array<long>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(table.filter("id % 1500 = 0"), table, 5).collect())
+    want = []
+    for q in range(0, 6000, 1500):
+        scores = [sum(a * b for a, b in zip(x[q], v)) for v in x]
+        best = sorted((j for j in range(6000) if j != q), key=lambda j: (-scores[j], j))[:5]
+        want += [(q, r, j, scores[j]) for r, j in enumerate(best, 1)]
+    assert got == want
+
+
+def test_scores_beyond_64_bits_are_an_error_and_wrapping_sums_are_none(spark):
+    big = 2**40
+    fits = spark.createDataFrame([(0, [big, big, 1]), (1, [big, -big, 3])], "id long, weights array<long>")
+    (row,) = topk.top_k(fits.filter("id = 0"), fits, 5).collect()
+    assert (row.vec_id, row.score) == (1, 3)
+    over = spark.createDataFrame([(0, [big]), (1, [big])], "id long, weights array<long>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(over, over, 5).collect()
