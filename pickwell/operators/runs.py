@@ -47,6 +47,7 @@ CENTERS = 256
 SAMPLE_ROWS = 16_384
 # runs of the best bounds that are searched for a first floor
 FIRST_RUNS = 4
+MERGED_ROWS = 4096
 
 
 # ---------------------------------------------------------------- writing
@@ -230,6 +231,9 @@ def _scan_runs(rows: DataFrame, get: Callable[[], tuple], k: int) -> DataFrame:
         for batch in batches:
             numbers = batch.column("run").to_numpy()
             edges = np.flatnonzero(np.diff(numbers, prepend=-2))
+            ids, vectors = batch.column("item_id"), batch.column("embedding")
+            # runs in a row that all queries need are scored at once
+            first = last = 0
             for a, b in zip(edges, [*edges[1:], len(numbers)]):
                 if numbers[a] != run:
                     run, only = numbers[a], None
@@ -238,8 +242,15 @@ def _scan_runs(rows: DataFrame, get: Callable[[], tuple], k: int) -> DataFrame:
                 if head.is_valid()[0].as_py():
                     reach = bounds.of(_matrix(head), batch.column("radius").slice(a, 1).to_numpy())[:, 0]
                     only = np.flatnonzero(reach >= best.floor)
-                if only is None or len(only):
-                    best.add(batch.column("item_id").slice(a, b - a), batch.column("embedding").slice(a, b - a), only)
+                if only is None or len(only) == len(matrix):
+                    first, last = (first if last == a else a), b
+                    if last - first < MERGED_ROWS:
+                        continue
+                elif len(only):
+                    best.add(ids.slice(a, b - a), vectors.slice(a, b - a), only)
+                best.add(ids.slice(first, last - first), vectors.slice(first, last - first))
+                first = last = 0
+            best.add(ids.slice(first, last - first), vectors.slice(first, last - first))
         yield from best.batches()
 
     return rows.select("item_id", "embedding", "run", "centroid", "radius").mapInArrow(scan, out)
