@@ -66,7 +66,7 @@ STAGES = [
     ("encoding", encode),
 ]
 
-# trained models and a seeded draw are not SQL; the tests compare with a brute-force version
+# trained models and a seeded draw are not SQL; tests compare near copies with brute force, ids with the plain encoder, and count the rest
 ORACLE_SQL = None
 
 
