@@ -3,34 +3,42 @@
 Vectors are scaled to length one, so a cosine of ``t`` is a distance of
 ``eps = sqrt(2 - 2t)``, and projected on leading principal directions (fitted on a
 bounded sample; any directions give the same result, good ones prune more). A
-grid of width eps over the first of them sends each vector to its cell; only
-neighbouring cells can hold links. Cells are cut into chunks of bounded size and
-pairs of chunks are joined in tasks: vectors sorted by grid cells, intervals of
-the sequence split recursively, and pairs of intervals whose boxes lie further
-apart than eps skipped. What is left is compared in double precision.
+grid of width eps over them gives each vector a cell, and vectors are sorted by
+cells over the whole table. The sequence is cut into blocks of bounded size, each
+with the box of its projections. Only blocks of neighbouring cells whose boxes lie
+within eps meet, and of their vectors only those within eps of the other box are
+sent. In a task, intervals of the sequence are split recursively and pairs of
+intervals whose boxes lie further apart than eps skipped. What is left is compared
+in double precision.
 
 Equal vectors are folded into one class with a weight first. A task returns a
 number of links per class and a spanning forest, never pairs.
 
 Defined cases: a vector that is NULL, empty, zero, has a NULL or non-finite
 component, or a NULL label links with nothing; vectors of different length do
-not link; equal ids are rows of their own; an empty table gives no rows.
+not link; rows of equal id, or of none, are rows of their own, linked and counted
+by their vectors; a component's id is the smallest that is not NULL, NULL if it has
+none; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pickwell.llm import common as C
 from pickwell.llm.graph import components
 from pickwell.llm.topk import finite
 from pickwell.session import materialise
 
-CELL_DIMENSIONS = 2
+CELL = ["group", "dim", "c0", "c1"]
 ORDER_DIMENSIONS = 8
 CHUNK = 1024
 LEAF = 64
@@ -41,7 +49,7 @@ SLACK = 1e-6
 def principal(classes: DataFrame, dim: int, most: int = SAMPLE) -> np.ndarray:
     """Leading directions (dim x up to 8) of at most ``most`` vectors, those with the smallest hash."""
     picked = classes.filter(F.size("vector") == dim).orderBy("h1", "h2").limit(most).select("vector").toArrow()
-    x = np.asarray(picked.column("vector").combine_chunks().flatten()).reshape(-1, dim)
+    x = np.asarray(picked.column("vector").combine_chunks().flatten()).reshape(-1, dim).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     values, vectors = np.linalg.eigh(np.cov(x.T, bias=True).reshape(dim, dim))
@@ -49,7 +57,7 @@ def principal(classes: DataFrame, dim: int, most: int = SAMPLE) -> np.ndarray:
 
 
 def unit_rows(lists: pa.Array, dim: int) -> np.ndarray:
-    x = pc.list_flatten(lists).to_numpy(zero_copy_only=False).reshape(-1, dim)
+    x = pc.list_flatten(lists).to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)  # else squares of very large or small values are lost
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -104,129 +112,211 @@ def grid_join(x: np.ndarray, y: np.ndarray | None, directions: np.ndarray, thres
             todo += [(a, b, c, m), (a, b, m, d)]
 
 
-def _forest(pairs: np.ndarray) -> np.ndarray:
-    """Those of the pairs (rows) that connect something new."""
-    parent: dict[int, int] = {}
+class Forest:
+    """Spanning forest of pairs that arrive in blocks."""
 
-    def root(v: int) -> int:
-        while parent.get(v, v) != v:
-            parent[v] = parent.get(parent[v], parent[v])
-            v = parent[v]
-        return v
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+        self.edges: list[tuple[int, int]] = []
 
-    kept = []
-    for a, b in pairs.tolist():
-        a_, b_ = root(a), root(b)
-        if a_ != b_:
-            parent[max(a_, b_)] = min(a_, b_)
-            kept.append((a, b))
-    return np.array(kept, np.int64).reshape(-1, 2)
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Only pairs of trees that are still apart are looked at one by one, each pair of trees once."""
+        a, b = np.minimum(self.root[i], self.root[j]), np.maximum(self.root[i], self.root[j])
+        apart = np.flatnonzero(a != b)
+        if not len(apart):
+            return
+        _, first = np.unique(a[apart] * len(self.root) + b[apart], return_index=True)
+        parent: dict[int, int] = {}
 
+        def top(v: int) -> int:
+            while parent.get(v, v) != v:
+                parent[v] = parent.get(parent[v], parent[v])
+                v = parent[v]
+            return v
+
+        for at in apart[first].tolist():
+            x, y = top(int(a[at])), top(int(b[at]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                self.edges.append((int(i[at]), int(j[at])))
+        moved = np.arange(len(self.root))
+        for v in parent:
+            moved[v] = top(v)
+        self.root = moved[self.root]
+
+
+def _between(names: Sequence[str], low: str, high: str) -> Column:
+    """Squared distance of a point's coordinates ``names`` from the box ``low{i}, high{i}``."""
+    gaps = [F.greatest(F.lit(0.0), F.col(f"{low}{i}") - F.col(c), F.col(c) - F.col(f"{high}{i}")) for i, c in enumerate(names)]
+    return sum((g * g for g in gaps), F.lit(0.0))
 
-def links(classes: DataFrame, threshold: float) -> DataFrame:
-    """From ``group, cls, weight, vector`` (with hashes ``h1, h2``): rows ``cls, n`` (links found) and ``cls, other`` (forest)."""
-    spark = classes.sparkSession
-    dims = classes.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim = dims[0]["dim"] if dims else 1
-    directions = principal(classes, dim) if dims else np.eye(1)
-    eps = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
-    leading = min(CELL_DIMENSIONS, directions.shape[1])
+
+def _apart(dimensions: int) -> Column:
+    """Squared distance of the boxes ``low{i}, high{i}`` and ``n_low{i}, n_high{i}``."""
+    gaps = [F.greatest(F.lit(0.0), F.col(f"low{i}") - F.col(f"n_high{i}"), F.col(f"n_low{i}") - F.col(f"high{i}")) for i in range(dimensions)]
+    return sum((g * g for g in gaps), F.lit(0.0))
+
+
+def sequence(classes: DataFrame, directions: np.ndarray, dim: int, eps: float) -> DataFrame:
+    """The classes in grid order, cut into runs: with ``dim, c0, c1, p0..`` (place) and ``run``, stored.
+
+    A run lies in one task's part of the sequence and in one cell of the first two directions.
+    """
+    width, dimensions = max(eps, 1e-3), directions.shape[1]
+    places = [f"p{i}" for i in range(dimensions)]
+    kept = classes.select("group", "node", "weight", "vector")
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
+    extra = "dim int, grid array<long>, c0 long, c1 long, " + ", ".join(f"{p} double" for p in places)
 
     def place(batches):
         for batch in batches:
             vectors = C.column(batch, "vector")
             sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
-            cells = np.zeros((batch.num_rows, CELL_DIMENSIONS), np.int64)
-            usual = sizes == dim
-            if usual.any():
-                cells[usual, :leading] = np.floor(unit_rows(vectors.filter(pa.array(usual)), dim) @ directions[:, :leading] / max(eps, 1e-3))
-            arrays = [*batch.columns, pa.array(sizes, pa.int32()), *[pa.array(cells[:, i], pa.int64()) for i in range(CELL_DIMENSIONS)]]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "dim", "c0", "c1"])
-
-    columns = "group long, cls long, weight long, vector array<double>"
-    placed = classes.select("group", "cls", "weight", "vector").mapInArrow(place, f"{columns}, dim int, c0 long, c1 long")
-    placed = materialise(placed)
-    cell = ["group", "dim", "c0", "c1"]
-    chunks = F.ceil(F.count("*") / CHUNK).cast("int")
-    cells = materialise(placed.groupBy(*cell).agg(chunks.alias("chunks")))
-    # a cell with each neighbour that is not before it; then all pairs of their chunks
+            p = np.zeros((batch.num_rows, dimensions))
+            for size in np.unique(sizes).tolist():
+                base = directions if size == dim else np.eye(size)[:, :dimensions]
+                p[sizes == size, : base.shape[1]] = unit_rows(vectors.filter(pa.array(sizes == size)), size) @ base
+            grid = np.floor(p / width).astype(np.int64)
+            grids = pa.FixedSizeListArray.from_arrays(pa.array(grid.ravel()), dimensions).cast(pa.list_(pa.int64()))
+            second = grid[:, min(1, dimensions - 1)]
+            arrays = [*batch.columns, pa.array(sizes, pa.int32()), grids, pa.array(grid[:, 0]), pa.array(second), *map(pa.array, np.ascontiguousarray(p.T))]
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "dim", "grid", "c0", "c1", *places])
+
+    order = ["group", "dim", "c0", "c1", "grid", *places, "node"]
+    placed = kept.mapInArrow(place, f"{shape}, {extra}").repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def cut(batches):
+        run, rows, last = TaskContext.get().partitionId() << 40, 0, None
+        for batch in batches:
+            runs = []
+            for cell in zip(*[C.column(batch, c).to_pylist() for c in CELL]):
+                if cell != last or rows == CHUNK:
+                    run, rows, last = run + 1, 0, cell
+                rows += 1
+                runs.append(run)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(runs, pa.int64())], [*batch.schema.names, "run"])
+
+    return materialise(placed.mapInArrow(cut, f"{shape}, {extra}, run long").drop("grid"))
+
+
+def run_pairs(placed: DataFrame, dimensions: int, eps: float) -> DataFrame:
+    """``run, a, b, side, low0.., high0..``: where the rows of a run go, and the box that a row has to be near.
+
+    Runs of a cell that tasks cut short are joined to blocks of ``CHUNK`` to ``2 * CHUNK`` rows, each
+    with its box. Blocks of the same or of neighbouring cells meet if their boxes are within ``eps``.
+    """
+    span = range(dimensions)
+    lows, highs = [f"low{i}" for i in span], [f"high{i}" for i in span]
+    boxes = [F.min(f"p{i}").alias(lows[i]) for i in span] + [F.max(f"p{i}").alias(highs[i]) for i in span]
+    runs = placed.groupBy(*CELL, "run").agg(F.count("*").alias("rows"), *boxes)
+    before = Window.partitionBy(*CELL).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = materialise(runs.withColumn("part", F.floor(F.coalesce(F.sum("rows").over(before), F.lit(0)) / CHUNK)))
+    wide = [F.min(c).alias(c) for c in lows] + [F.max(c).alias(c) for c in highs]
+    blocks = materialise(runs.groupBy(*CELL, "part").agg(F.min("run").alias("block"), *wide))
+    # a cell with each neighbour that is not before it
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
-    ahead = cells.withColumn("to", F.explode(near)).select(
-        *cell, "chunks", (F.col("c0") + F.col("to.i")).alias("n0"), (F.col("c1") + F.col("to.j")).alias("n1")
-    )
-    other = cells.select("group", "dim", F.col("c0").alias("n0"), F.col("c1").alias("n1"), F.col("chunks").alias("n_chunks"))
-    steps = ahead.join(other, ["group", "dim", "n0", "n1"])
-    one = F.col("c0").eqNullSafe(F.col("n0")) & F.col("c1").eqNullSafe(F.col("n1"))
-    # a vector of chunk k goes left to (k, every chunk there) and right to (every chunk here, k)
-    chunk = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
-    rows = placed.select(*cell, "cls", "weight", "vector")
-    left = rows.join(steps, cell).select(
-        *cell, "n0", "n1", "cls", "weight", "vector", F.lit(0).alias("side"), chunk.alias("a"),
-        F.explode(F.sequence(F.when(one, chunk).otherwise(F.lit(0)), F.col("n_chunks") - 1)).alias("b"),
-    )
-    there = F.pmod(F.xxhash64("cls"), F.col("n_chunks")).cast("int")
-    target = rows.select("group", "dim", F.col("c0").alias("n0"), F.col("c1").alias("n1"), "cls", "weight", "vector")
-    right = target.join(steps, ["group", "dim", "n0", "n1"]).select(
-        *cell, "n0", "n1", "cls", "weight", "vector", F.lit(1).alias("side"),
-        F.explode(F.sequence(F.lit(0), F.when(one, there - 1).otherwise(F.col("chunks") - 1))).alias("a"), there.alias("b"), one.alias("one"),
-    )
-    # within one cell the pairs of chunks need a < b; a = b is one chunk with itself, sent once
-    right = right.filter(~F.col("one") | ((F.col("a") >= 0) & (F.col("a") < F.col("b")))).drop("one")
-
-    def run(key: tuple, cellmates: pa.Table) -> pa.Table:
-        size = key[1].as_py()
-        same = key[2:4] == key[4:6] and key[6] == key[7]
-        side = cellmates.column("side").to_numpy()
-        vectors = unit_rows(cellmates.column("vector").combine_chunks(), size)
-        cls, weight = cellmates.column("cls").to_numpy(), cellmates.column("weight").to_numpy()
-        base = directions if size == dim else np.eye(size)[:, :ORDER_DIMENSIONS]
+    here = blocks.withColumn("to", F.explode(near)).withColumns({"n0": F.col("c0") + F.col("to.i"), "n1": F.col("c1") + F.col("to.j")})
+    there = blocks.select("group", "dim", F.col("c0").alias("n0"), F.col("c1").alias("n1"), F.col("block").alias("n_block"), *[F.col(c).alias(f"n_{c}") for c in lows + highs])
+    same = (F.col("c0") == F.col("n0")) & (F.col("c1") == F.col("n1"))
+    met = here.join(there, ["group", "dim", "n0", "n1"]).filter((~same | (F.col("block") <= F.col("n_block"))) & (_apart(dimensions) <= eps * eps))
+    met = materialise(met.select(F.col("block").alias("a"), F.col("n_block").alias("b"), *lows, *highs, *[f"n_{c}" for c in lows + highs]))
+    left = met.select("a", "b", F.col("a").alias("block"), F.lit(0).alias("side"), *[F.col(f"n_{c}").alias(c) for c in lows + highs])
+    right = met.filter("a <> b").select("a", "b", F.col("b").alias("block"), F.lit(1).alias("side"), *lows, *highs)
+    members = runs.select("run", *CELL, "part").join(blocks.select(*CELL, "part", "block"), [*CELL, "part"]).select("run", "block")
+    return members.join(left.unionByName(right), "block").drop("block")
+
+
+def links(classes: DataFrame, threshold: float) -> DataFrame:
+    """From ``group, node, weight, vector`` (with hashes ``h1, h2``): rows ``node, n`` (links found) and ``node, other`` (forest)."""
+    dims = classes.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
+    dim = dims[0]["dim"] if dims else 1
+    directions = principal(classes, dim) if dims else np.eye(1)
+    dimensions = directions.shape[1]
+    eps = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
+    placed = sequence(classes, directions, dim, eps)
+    goes = run_pairs(placed, dimensions, eps)
+    places = [f"p{i}" for i in range(dimensions)]
+    sent = placed.join(goes, "run").filter(_between(places, "low", "high") <= eps * eps).select("a", "b", "side", "node", "weight", "vector")
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        nodes = rows.column("node").combine_chunks()
+        vectors = rows.column("vector").combine_chunks()
+        side = rows.column("side").to_numpy()
+        weight = rows.column("weight").to_numpy()
+        same = key[0] == key[1]
         a = np.flatnonzero(side == 0)
         b = a if same else np.flatnonzero(side == 1)
-        n = np.zeros(len(cls), np.int64)
-        trees = np.zeros((0, 2), np.int64)
-        for i, j in grid_join(vectors[a], None if same else vectors[b], base, threshold):
-            i, j = a[i], b[j]
-            np.add.at(n, i, weight[j])
-            np.add.at(n, j, weight[i])
-            trees = _forest(np.concatenate([trees, np.stack([cls[i], cls[j]], 1)]))
+        n = np.zeros(len(nodes), np.int64)
+        forest = Forest(len(nodes))
+        if len(a) and len(b):
+            size = len(vectors[0])
+            x = unit_rows(vectors, size)
+            base = directions if size == dim else np.eye(size)[:, :ORDER_DIMENSIONS]
+            for i, j in grid_join(x[a], None if same else x[b], base, threshold):
+                i, j = a[i], b[j]
+                np.add.at(n, i, weight[j])
+                np.add.at(n, j, weight[i])
+                forest.add(i, j)
         some = np.flatnonzero(n)
+        ends = np.array(forest.edges, np.int64).reshape(-1, 2)
         return pa.table(
             {
-                "cls": pa.array(np.concatenate([cls[some], trees[:, 0]]), pa.int64()),
-                "other": pa.array([None] * len(some) + trees[:, 1].tolist(), pa.int64()),
-                "n": pa.array(np.concatenate([n[some], np.zeros(len(trees), np.int64)]), pa.int64()),
+                "node": nodes.take(pa.array(np.concatenate([some, ends[:, 0]]))),
+                "other": nodes.take(pa.array(np.concatenate([np.zeros(len(some), np.int64), ends[:, 1]]), mask=np.arange(len(some) + len(ends)) < len(some))),
+                "n": pa.array(np.concatenate([n[some], np.zeros(len(ends), np.int64)]), pa.int64()),
             }
         )
 
-    pairs = left.unionByName(right).groupBy(*cell, "n0", "n1", "a", "b")
-    return materialise(pairs.applyInArrow(run, "cls long, other long, n long"))
+    kind = classes.schema["node"].dataType.simpleString()
+    return materialise(sent.groupBy("a", "b").applyInArrow(run, f"node {kind}, other {kind}, n long"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", group: Column | None = None) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row; ``group`` limits links to equal values of it (NULL: to none)."""
     group = F.lit(0) if group is None else group
-    number = F.transform(vector, lambda x: x.cast("double"))
+    element = vectors.select(vector).schema[0].dataType.elementType
+    kind = "float" if isinstance(element, T.FloatType) else "double"
+    # -0.0 and 0.0 are one number
+    number = F.transform(vector, lambda x: x.cast(kind) + F.lit(0.0).cast(kind))
     usable = finite(F.col(vector)) & F.exists(vector, lambda x: x != 0) & group.isNotNull()
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.when(F.coalesce(usable, F.lit(False)), number).alias("vector"), group.cast("long").alias("group"))
-    # -0.0 and 0.0 are one number
-    rows = rows.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
     rows = rows.withColumns({"h1": F.xxhash64("group", "vector"), "h2": F.xxhash64(F.lit(7), "vector", "group")})
-    linked = rows.filter(F.col("vector").isNotNull() & F.col("vec_id").isNotNull())
-    classes = materialise(linked.groupBy("h1", "h2").agg(F.first("group").alias("group"), F.min("vec_id").alias("cls"), F.count("*").alias("weight"), F.first("vector").alias("vector")))
+    linked = rows.filter(F.col("vector").isNotNull())
+    classes = linked.groupBy("h1", "h2").agg(F.first("group").alias("group"), F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector"))
+    # nodes order by smallest id, those without any last; the number tells classes apart that share an id
+    node = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), F.monotonically_increasing_id().alias("number"))
+    classes = materialise(classes.withColumn("node", node).drop("id"))
     found = links(classes, threshold)
-    counts = found.filter("other is null").groupBy("cls").agg(F.sum("n").alias("n"))
-    roots = components(found.filter("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")))
+    counts = found.filter("other is null").groupBy("node").agg(F.sum("n").alias("n"))
+    roots = components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    root = F.coalesce("component", "node")
     facts = (
-        classes.select("h1", "h2", "cls", "weight")
-        .join(counts, "cls", "left")
-        .join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-        .select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
+        classes.select("h1", "h2", "node", "weight")
+        .join(counts, "node", "left")
+        .join(roots, "node", "left")
+        .select("h1", "h2", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"), F.when(~root["none"], root["id"]).alias("root"))
     )
-    alone = F.col("vector").isNull()
-    h1 = F.when(~alone & F.col("vec_id").isNotNull(), F.col("h1"))
-    out = rows.select("vec_id", h1.alias("h1"), "h2").join(facts, ["h1", "h2"], "left")
-    root = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), (F.col("vec_id") == root).alias("kept"))
+    return _with_facts(rows, materialise(facts))
+
+
+def _with_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Each row with the facts of its class.
+
+    Classes that hold over a thousandth of the rows are fewer than a thousand, so they are broadcast;
+    their rows and those without a usable vector then carry keys of their own through the shuffle.
+    """
+    total = facts.agg(F.sum("weight")).first()[0] or 0
+    frequent = F.col("weight") * 1000 > total
+    hot = facts.filter(frequent).select("h1", "h2", F.col("links").alias("hot_links"), F.col("root").alias("hot_root"))
+    usable = F.col("vector").isNotNull()
+    out = rows.select("vec_id", "h1", F.when(usable, F.col("h2")).alias("h2")).join(F.broadcast(hot), ["h1", "h2"], "left")
+    asks = F.col("h2").isNotNull() & F.col("hot_links").isNull()
+    out = out.withColumns({"asks": asks, "h1": F.when(asks, F.col("h1")).otherwise(F.monotonically_increasing_id())})
+    rest = facts.filter(~frequent).select("h1", "h2", F.lit(True).alias("asks"), "links", "root")
+    out = out.join(rest, ["h1", "h2", "asks"], "left")
+    root = F.coalesce("hot_root", "root", "vec_id")
+    count = F.coalesce("hot_links", "links", F.lit(0)).cast("long")
+    return out.select("vec_id", count.alias("n_links"), root.alias("component_id"), F.col("vec_id").eqNullSafe(root).alias("kept"))
 
 
 def vecdup_query(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:

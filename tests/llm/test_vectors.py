@@ -93,6 +93,46 @@ def test_near_duplicates(table, rows, monkeypatch, chunk, leaf):
     assert got == want and sum(n for _, n, *_ in want) > 100
 
 
+def test_ids_that_repeat_or_are_missing(spark):
+    """Links follow the vectors; an id may stand on several of them or on none."""
+    turn = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+    rows = [(7, turn(0), 1), (7, turn(90), 1), (5, turn(15), 1), (None, turn(15), 1), (None, turn(80), 1), (None, turn(200), 1), (9, turn(90), 1), (None, None, 1)]
+    table = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+    got = sorted(map(str, map(tuple, vecdup.vecdup_query(table).collect())))
+    want = [(7, 2, 5, False), (7, 2, 7, True), (5, 2, 5, True), (None, 2, 5, False), (None, 2, 7, False), (None, 0, None, True), (9, 2, 7, False), (None, 0, None, True)]
+    assert got == sorted(map(str, want))
+
+
+def test_rows_sent_grow_in_proportion(spark, monkeypatch):
+    """One label of groups of near copies: blocks that lie apart do not meet, so twice the rows send about twice."""
+    monkeypatch.setattr(vecdup, "CHUNK", 64)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 1, (400, 4))
+    found = []
+    for n in (2000, 4000):
+        x = centres[np.arange(n) % (n // 10)] + rng.normal(0, 0.02, (n, 4))
+        rows = spark.createDataFrame([(1, (False, i, i), 1, v) for i, v in enumerate(x.tolist())], "group long, node struct<none boolean, id long, number long>, weight long, vector array<double>")
+        eps = np.sqrt(2 - 2 * 0.999)
+        placed = vecdup.sequence(rows, np.eye(4), 4, eps)
+        goes = vecdup.run_pairs(placed, 4, eps)
+        near = vecdup._between(["p0", "p1", "p2", "p3"], "low", "high") <= eps * eps
+        found.append(placed.join(goes, "run").filter(near).count())
+    assert found[1] < 2.6 * found[0]
+
+
+def test_forest_joins_what_is_linked():
+    rng = np.random.default_rng(5)
+    forest, parts = vecdup.Forest(60), [{i} for i in range(60)]
+    for _ in range(12):
+        i, j = rng.integers(0, 60, 4), rng.integers(0, 60, 4)
+        forest.add(i, j)
+        for a, b in zip(i, j):
+            joined = next(p for p in parts if a in p) | next(p for p in parts if b in p)
+            parts = [p for p in parts if not p & joined] + [joined]
+    assert len(forest.edges) == 60 - len(parts)
+    assert all(len({forest.root[v] for v in p}) == 1 for p in parts) and len(set(forest.root)) == len(parts)
+
+
 def test_no_vectors(table):
     assert vecdup.vecdup_query(table.limit(0)).count() == 0
 
