@@ -8,10 +8,10 @@ the block; the bests of all blocks are merged by rank. A postings list that
 holds more than half of the block's rows is kept as a dense array.
 
 Defined cases: vectors that are NULL or hold NULL, NaN or infinite components
-take no part, nor rows without id; of rows with the same id the smallest vector
-counts, once; a component that only one side has adds nothing; ties go to the
-smaller id; fewer than k other rows give fewer results; empty tables give none; a
-score beyond 64 bits is an error.
+take no part, nor rows without id; rows with the same id are rows of their own, as
+queries and as hits, told apart by ``row``; a component that only one side has adds
+nothing; ties go to the smaller id; fewer than k other rows give fewer results;
+empty tables give none; a score beyond 64 bits is an error.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pickwell.llm import common as C
+from pickwell.session import materialise
 
 BLOCK_VALUES = 1 << 18  # components of one side in a task
 SCORES = 1 << 20  # dense scores held at once
@@ -36,32 +37,37 @@ def finite(vector: Column) -> Column:
 
 
 def quantised(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFrame:
-    """``id, weights``: every component as ``floor(scale * x)``, x taken as double."""
+    """``id, row, weights``: every component as ``floor(scale * x)``, x taken as double; stored, so that a row keeps its number."""
     rows = vectors.filter(F.col(key).isNotNull() & finite(F.col(vector))).select(
         F.col(key).cast("long").alias("id"),
         F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("weights"),
     )
-    return rows.groupBy("id").agg(F.min("weights").alias("weights"))
+    return materialise(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
-def _sparse(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids in order, and the (row, component, weight) of all components, by component."""
-    rows = rows.sort_by("id").combine_chunks()
+def _sparse(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in order, their row numbers, and the (place, component, weight) of all components, by component."""
+    rows = rows.sort_by([("id", "ascending"), ("row", "ascending")]).combine_chunks()
     ids = rows.column("id").to_numpy()
     lists = rows.column("weights").combine_chunks()
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     weights = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     terms = C.ranges(np.zeros(len(lengths), np.int64), lengths)
     order = np.argsort(terms, kind="stable")
-    return ids, np.repeat(np.arange(len(ids)), lengths)[order], terms[order], weights[order]
+    return ids, rows.column("row").to_numpy(), np.repeat(np.arange(len(ids)), lengths)[order], terms[order], weights[order]
 
 
 def search_block(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     """The k best rows of this block for each query of this block."""
-    ids, owner, terms, weights = _sparse(rows)
-    query_ids, q_owner, q_terms, q_weights = _sparse(queries)
+    ids, numbers, owner, terms, weights = _sparse(rows)
+    query_ids, q_numbers, q_owner, q_terms, q_weights = _sparse(queries)
     n = len(ids)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    by_number = np.argsort(numbers)
+    selves = np.searchsorted(numbers, q_numbers, sorter=by_number)
+    known = selves < n
+    selves = by_number[np.minimum(selves, n - 1)] if n else selves
+    known[known] = numbers[selves[known]] == q_numbers[known]
+    out: list[tuple[np.ndarray, ...]] = []
     sum_bound = float(np.abs(weights).max(initial=1)) * float(np.abs(q_weights).max(initial=1)) * (terms.max(initial=0) + 1.0)
     kind = np.int32 if sum_bound < 2**31 else np.int64
     starts = np.append(C.run_starts(terms), len(terms))
@@ -93,9 +99,7 @@ def search_block(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
             else:
                 scores[own[a:b]] += added
         scores = scores.astype(np.int64)
-        this = np.searchsorted(ids, query_ids[first : first + size])
-        there = this < n
-        there[there] = ids[this[there]] == query_ids[first : first + size][there]
+        this, there = selves[first : first + size], known[first : first + size]
         if sum_bound >= 2.0**63:
             _require_fit(own, term, weight, postings, size, n, np.flatnonzero(there), this[there])
         keep = min(k + 1, n)  # one more, as the query's own row may be among them
@@ -104,9 +108,9 @@ def search_block(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
         col = best.ravel()
         other = ~(there[row] & (col == this[row]))
         row, col = row[other], col[other]
-        out.append((query_ids[first + row], ids[col], scores[row, col]))
-    parts = [np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else ((), (), ()))]
-    return pa.table([pa.array(p, pa.int64()) for p in parts], names=["query_id", "vec_id", "score"])
+        out.append((q_numbers[first + row], query_ids[first + row], ids[col], scores[row, col]))
+    parts = [np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else ((), (), (), ()))]
+    return pa.table([pa.array(p, pa.int64()) for p in parts], names=["query", "query_id", "vec_id", "score"])
 
 
 def _best(scores: np.ndarray, keep: int) -> np.ndarray:
@@ -137,27 +141,31 @@ def _require_fit(own: np.ndarray, term: np.ndarray, weight: np.ndarray, postings
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """``query_id, rank, vec_id, score`` of each query (``id, weights``) among the rows of other id."""
+    """``query_id, rank, vec_id, score`` of each query (``id, weights``) among the other rows.
+
+    ``row`` tells which row is the query's own; without that column the id does, and has to be unique.
+    """
+    queries, rows = [df if "row" in df.columns else df.withColumn("row", F.col("id")) for df in (queries, rows)]
     size = lambda df: df.agg(F.count("*"), F.max(F.size("weights"))).first()
     (n, width), (m, q_width) = size(rows), size(queries)
     per_task = max(16, BLOCK_VALUES // max(width or 1, q_width or 1, 1))
     row_blocks, query_blocks = -(-max(n, 1) // per_task), -(-max(m, 1) // per_task)
 
     def block(count: int) -> Column:
-        return F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+        return F.pmod(F.xxhash64("row"), F.lit(count)).cast("int")
 
     def every(count: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
-    left = queries.select("id", "weights", F.lit(True).alias("is_query"), block(query_blocks).alias("q"), every(row_blocks).alias("r"))
-    right = rows.select("id", "weights", F.lit(False).alias("is_query"), block(row_blocks).alias("r"), every(query_blocks).alias("q"))
+    left = queries.select("id", "row", "weights", F.lit(True).alias("is_query"), block(query_blocks).alias("q"), every(row_blocks).alias("r"))
+    right = rows.select("id", "row", "weights", F.lit(False).alias("is_query"), block(row_blocks).alias("r"), every(query_blocks).alias("q"))
 
     def run(cell: pa.Table) -> pa.Table:
         is_query = cell.column("is_query")
         return search_block(cell.filter(is_query), cell.filter(pc.invert(is_query)), k)
 
-    found = left.unionByName(right).groupBy("q", "r").applyInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = left.unionByName(right).groupBy("q", "r").applyInArrow(run, "query long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

@@ -47,6 +47,33 @@ def test_shards_of_tables_with_few_rows_and_other_columns(spark, no_docs):
     assert sorted((r.shard, r.slot) for r in got) == [(0, 0), (1, 0)] and got[0].asDict().keys() == {"doc_id", "v", "hilbert", "shard", "slot"}
 
 
+def test_strings_are_cut_by_rank_however_long_they_begin_alike(spark):
+    """Sources that share a long beginning get cells of their own, so every shard holds few of them."""
+    rows = [(i, f"https://example.com/data/part-{i % 16:02d}", "en", "x") for i in range(1600)]
+    docs = spark.createDataFrame([*rows, (9999, None, None, None)], "doc_id long, source string, lang string, text string").repartition(5)
+    assert sharding.text_cuts(docs, F.col("source")) == [f"https://example.com/data/part-{i:02d}" for i in range(1, 16)]
+    assert sharding.text_cuts(docs, F.lit(None).cast("string")) == [] and sharding.text_cuts(docs.limit(0), F.col("source")) == []
+    shards = sharding.sharding_query(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("shard").agg(F.countDistinct("source").alias("n")).collect()
+    assert len(shards) == 8 and max(r.n for r in shards) <= 3
+
+
+def test_equal_rows_are_numbered_in_parts(spark, monkeypatch):
+    """A third of the rows are one row without id, spread over several units; slots are whole and do not depend on the layout."""
+    monkeypatch.setattr(sharding, "ROWS_PER_BUCKET", 20)
+    rows = [(None, "a", "en", "one text")] * 500 + [(i, f"s{i % 5}", "en", f"text {i}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    found = []
+    for parts in (3, 7):
+        got = sharding.sharding_query(docs.repartition(parts)).collect()
+        by = defaultdict(list)
+        for r in got:
+            by[r.shard].append(r.slot)
+        assert len(got) == 1500 and {len(v) for v in by.values()} == {187, 188}
+        assert all(sorted(v) == list(range(len(v))) for v in by.values())
+        found.append(Counter((r.doc_id, r.shard, r.slot) for r in got))
+    assert found[0] == found[1]
+
+
 def test_targets_stop_at_the_cap_and_share_the_rest():
     got = mixing.targets([100, 10, 0, 50], [1, 2, 3, 1])
     assert got[1] == 30 and got[2] == 0 and np.isclose(sum(got), 160) and np.isclose(got[0], got[3])

@@ -58,7 +58,8 @@ def test_topk(table, rows, monkeypatch, block):
 
 def test_topk_of_few_rows(spark):
     few = spark.createDataFrame([(0, [1.0], 1, ""), (50, [1.0], 1, ""), (50, [1.0], 1, "")], SCHEMA)
-    assert sorted(map(tuple, topk.topk_query(few).collect())) == [(0, 1, 50, 65536), (50, 1, 0, 65536)]
+    hits = [(0, 1, 50, 65536), (0, 2, 50, 65536)] + 2 * [(50, 1, 0, 65536)] + 2 * [(50, 2, 50, 65536)]
+    assert sorted(map(tuple, topk.topk_query(few).collect())) == hits
     assert topk.topk_query(few.limit(0)).count() == 0
 
 
@@ -151,6 +152,21 @@ def test_large_components_and_ties(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [topk.BLOCK_VALUES, 40])
+def test_topk_of_ids_that_repeat(spark, monkeypatch, block):
+    """Every row but the query's own is a candidate, also those of its id; rows without id take no part."""
+    monkeypatch.setattr(topk, "BLOCK_VALUES", block)
+    rng = np.random.default_rng(11)
+    rows = [(int(rng.integers(0, 8)) * 25, rng.integers(-3, 4, 4).astype(float).tolist(), 1, "") for _ in range(90)]
+    got = topk.topk_query(spark.createDataFrame([*rows, (None, [9.0] * 4, 1, "")], SCHEMA).repartition(4)).collect()
+    want = []
+    for a, (q, x, *_) in enumerate(rows):
+        if q % 50 == 0:
+            scores = sorted((-int(256 * 256 * np.dot(x, y)), i) for b, (i, y, *_) in enumerate(rows) if b != a)
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:5], 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_scores_beyond_64_bits_are_an_error_and_wrapping_sums_are_none(spark):
     big = 2**40
     fits = spark.createDataFrame([(0, [big, big, 1]), (1, [big, -big, 3])], "id long, weights array<long>")
