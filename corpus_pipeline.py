@@ -2,6 +2,11 @@
 
 A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame. All but the last
 return the columns of ``docs``.
+
+Defined cases: no documents give no rows; without labels nothing is toxic; texts that
+are NULL or have no letters leave at the language stage; repeated rows count as
+copies, of which one stays; of a group whose documents have no id, one stays; the
+last stage replaces a column ``ids``; other columns pass under their names.
 """
 
 from __future__ import annotations
@@ -66,7 +71,7 @@ STAGES = [
     ("encoding", encode),
 ]
 
-# trained models and a seeded draw are not SQL; tests compare near copies with brute force, ids with the plain encoder, and count the rest
+# trained models and a seeded draw are not SQL; a test compares run() with a plain chain over texts on the driver
 ORACLE_SQL = None
 
 
