@@ -106,8 +106,8 @@ def top_k(
     on each side. Fewer items than k give fewer rows. The width of the vectors is
     that of the first one unless ``dim`` tells it; a task that meets another width
     fails with a message. ``scan_tasks`` bounds the tasks of a scan, and with them the
-    candidates shuffled. Items of a plan that encodes them are stored before they
-    are read more than once.
+    candidates shuffled. Items of a plan that encodes or shuffles them are stored before
+    they are read more than once.
     """
     queries, items = queries.select("qid", "qvec"), items.select("item_id", "embedding")
     dim = dim or _first_dim(queries, items)
@@ -147,8 +147,12 @@ def search_in_blocks(
 
 
 def resting(items: DataFrame) -> DataFrame:
-    """The items as they are if they are read from files, else stored."""
-    made = "UDF" in items._jdf.queryExecution().optimizedPlan().toString()
+    """The items as they are if they are read from files, else stored.
+
+    A plan that encodes items or deals them out anew would do so for every block.
+    """
+    plans = items._jdf.queryExecution()
+    made = "UDF" in plans.optimizedPlan().toString() or "Exchange" in plans.executedPlan().toString()
     return materialise(items) if made or not items.inputFiles() else items
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pickwell.functions import vectors as V
-from pickwell.operators import joins
+from pickwell.operators import joins, topk
 from pickwell.operators.joins import gather_items, restrict_to, salted_join
 from pickwell.operators.topk import Hits, require_same_dims, top_k
 
@@ -173,3 +173,16 @@ def test_restrict_to_keeps_what_is_wanted_whatever_the_size(spark):
         assert kept.join(many, "url").count() == 5000
     assert kept.count() < 5200 and restrict_to(wide, wanted.limit(0), "url").count() == 0
     assert joins.MAX_BROADCAST_BYTES <= 1 << 27
+
+
+def test_shuffled_items_are_stored_before_blocks_of_queries_read_them(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    queries, items = tables(spark, rng.normal(size=(30, 6)), rng.normal(size=(90, 6)))
+    items.write.parquet(path := str(tmp_path / "items"))
+    dealt = spark.read.parquet(path).repartition(3)
+    plans, whole = [], topk.block_hits
+    monkeypatch.setattr(topk, "block_hits", lambda block, own, *rest: plans.append(own._jdf.queryExecution().executedPlan().toString()) or whole(block, own, *rest))
+    want = got(top_k(queries, items, 4))
+    plans.clear()
+    assert got(top_k(queries, dealt, 4, max_query_bytes=0, query_block_rows=7)) == want
+    assert len(plans) == 5 and not any("Exchange" in p for p in plans)
