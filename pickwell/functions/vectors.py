@@ -114,17 +114,36 @@ class SparseHashEncoder:
     def __call__(self, text: Column) -> Column:
         dim = self.dim
 
-        @F.arrow_udf("array<struct<bucket:int,weight:float>>")
-        def encode(texts: pa.Array) -> pa.Array:
-            parts = [_hash_sparse(texts.slice(i, 1024), dim) for i in range(0, len(texts), 1024)]
-            return pa.concat_arrays(parts) if parts else pa.array([], _TERMS)
+        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            # each part is handed on before the next is hashed
+            for texts in batches:
+                if not len(texts):
+                    yield pa.array([], _TERMS)
+                for part in _text_parts(texts):
+                    yield _hash_sparse(part, dim)
 
-        return encode(F.coalesce(text, F.lit("")))
+        encode.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        return F.arrow_udf(encode, "array<struct<bucket:int,weight:float>>")(F.coalesce(text, F.lit("")))
 
 
 _TERMS = pa.list_(pa.struct([("bucket", pa.int32()), ("weight", pa.float32())]))
 
 
+# the texts hashed at once have so many bytes; a longer one is hashed by itself
+_TEXT_BYTES = 4 * 1024 * 1024
+
+
+def _text_parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of at most 1,024 texts and bounded size."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = min(start + 1024, max(start + 1, int(np.searchsorted(ends, before + _TEXT_BYTES, "right"))))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
 def _hash_sparse(texts: pa.Array, dim: int) -> pa.Array:
     row, bucket = _word_buckets(texts, dim)
     key, count = np.unique(row.astype(np.int64) * dim + bucket, return_counts=True)

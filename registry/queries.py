@@ -419,7 +419,9 @@ def text_topk(spark, sf_dir):
 
 def sparse_encode(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", SPARSE(F.col("text")).alias("terms"))
-    return docs.select("doc_id", F.inline("terms")).select("doc_id", "bucket", F.round(F.col("weight").cast("double"), 9).alias("weight"))
+    # as in _cells, the bare column would be encoded twice
+    terms = F.transform("terms", lambda t: F.struct(t["bucket"].alias("bucket"), t["weight"].cast("double").alias("weight")))
+    return docs.select("doc_id", F.inline(terms)).select("doc_id", "bucket", _round("weight"))
 
 
 def sparse_topk(spark, sf_dir):

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pickwell.functions import vectors as V
 from pickwell.operators.sparse import BestSparse, Postings, top_k_sparse
 from pickwell.operators.topk import top_k
+from registry.queries import QUERIES
 from tests.test_topk import got
 
 KIND = "array<struct<bucket:int,weight:float>>"
@@ -103,3 +105,15 @@ def test_agrees_with_dense_vectors(spark, sf_dir):
         queries = asked.select(F.col("doc_id").cast("int").alias("qid"), encoder(F.col("text")).alias("qvec"))
         both.append(got(search(queries, items, 5)))
     same(*both)
+
+
+def test_texts_are_hashed_in_parts_of_bounded_size():
+    texts = pa.array(["a b"] * 1500 + ["c" * 3_000_000, "d" * 3_000_000, "e" * 9_000_000, "", "f"])
+    parts = list(V._text_parts(texts))
+    assert [len(p) for p in parts] == [1024, 477, 1, 1, 2]
+    assert pa.concat_arrays(parts).equals(texts)
+
+
+def test_encoding_runs_once_a_text(spark, sf_dir):
+    plan = QUERIES["sparse_encode"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
