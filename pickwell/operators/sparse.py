@@ -48,7 +48,7 @@ from pickwell.operators.topk import (
 
 SEGMENT = 128
 ITEMS_AT_ONCE = 16_384
-ENTRIES_AT_ONCE = 4_000_000
+ENTRIES_AT_ONCE = 2_000_000
 
 
 def top_k_sparse(
@@ -107,7 +107,8 @@ def _scan(items: DataFrame, get: Callable[[], tuple], k: int) -> DataFrame:
         terms, floors = get()
         best = BestSparse(terms, floors, k)
         for batch in batches:
-            for part in _parts(batch.filter(_usable(batch.column("embedding")))):
+            for part in _parts(batch):
+                part = part.filter(_usable(part.column("embedding")))
                 best.add(part.column("item_id"), *_terms(part.column("embedding")))
         yield from best.batches()
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pickwell.functions import vectors as V
-from pickwell.operators.sparse import BestSparse, Postings, top_k_sparse
+from pickwell.operators.sparse import BestSparse, Postings, _parts, top_k_sparse
 from pickwell.operators.topk import top_k
 from registry.queries import QUERIES
 from tests.test_topk import got
@@ -117,3 +117,11 @@ def test_texts_are_hashed_in_parts_of_bounded_size():
 def test_encoding_runs_once_a_text(spark, sf_dir):
     plan = QUERIES["sparse_encode"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_postings_are_made_of_bounded_numbers_of_entries():
+    n = 1_500_000
+    cells = pa.StructArray.from_arrays([pa.array(np.tile(np.arange(n, dtype=np.int32), 2)), pa.array(np.ones(2 * n, np.float32))], ["bucket", "weight"])
+    lists = pa.ListArray.from_arrays(pa.array([0, n, 2 * n], pa.int32()), cells)
+    batch = pa.record_batch([pa.array([1, 2]), lists], ["item_id", "embedding"])
+    assert [p.num_rows for p in _parts(batch)] == [1, 1]
