@@ -48,6 +48,8 @@ SAMPLE_ROWS = 16_384
 # runs of the best bounds that are searched for a first floor
 FIRST_RUNS = 4
 MERGED_ROWS = 4096
+# bounds of queries and runs that are taken at once
+_BOUND_CELLS = 1_000_000
 
 
 # ---------------------------------------------------------------- writing
@@ -170,13 +172,18 @@ class Bounds:
     """Upper bounds of the inner products of queries with what lies in a run."""
 
     def __init__(self, matrix: np.ndarray):
-        self.q = matrix.astype(np.float64)
+        self.q = matrix.astype(np.float64, copy=False)
         self.length = np.linalg.norm(self.q, axis=1)
 
-    def of(self, centroids: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    def of(self, centroids: np.ndarray, radii: np.ndarray, part: slice = slice(None)) -> np.ndarray:
         """One row a query; the margin covers rounding, here and of similarities."""
-        reach = self.length[:, None] * (radii + 1e-12 * np.linalg.norm(centroids, axis=1))
-        return self.q @ centroids.T + reach + 10.0**-DIGITS
+        reach = self.length[part, None] * (radii + 1e-12 * np.linalg.norm(centroids, axis=1))
+        return self.q[part] @ centroids.T + reach + 10.0**-DIGITS
+
+    def parts(self, runs: int) -> Iterator[slice]:
+        """Queries in turn, so few that their bounds of so many runs take little room."""
+        step = max(1, _BOUND_CELLS // max(1, runs))
+        return (slice(a, min(len(self.q), a + step)) for a in range(0, len(self.q), step))
 
 
 def _heads(runs: DataFrame) -> DataFrame:
@@ -192,14 +199,17 @@ def _best_runs(heads: DataFrame, get: Callable[[], tuple], most: int) -> DataFra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            b = bounds.of(_matrix(batch.column("centroid")), batch.column("radius").to_numpy())
-            top = np.argsort(-b, axis=1, kind="stable")[:, :most]
-            q = np.repeat(np.arange(len(b)), top.shape[1])
-            values = b[q, top.ravel()]
-            usable = ~np.isnan(values)
-            yield pa.record_batch(
-                [pa.array(q[usable], pa.int32()), batch.column("run").take(pa.array(top.ravel()[usable])), pa.array(values[usable])], ["qid", "item_id", "similarity"]
-            )
+            centroids, radii = _matrix(batch.column("centroid")), batch.column("radius").to_numpy()
+            for part in bounds.parts(len(radii)):
+                b = bounds.of(centroids, radii, part)
+                top = np.argsort(-b, axis=1, kind="stable")[:, :most]
+                q = np.repeat(np.arange(len(b)), top.shape[1])
+                values = b[q, top.ravel()]
+                usable = ~np.isnan(values)
+                yield pa.record_batch(
+                    [pa.array(q[usable] + part.start, pa.int32()), batch.column("run").take(pa.array(top.ravel()[usable])), pa.array(values[usable])],
+                    ["qid", "item_id", "similarity"],
+                )
 
     found = heads.select("run", "centroid", "radius").mapInArrow(look, "qid int, item_id long, similarity double")
     return ranked_hits(found, most).select(F.col("item_id").alias("run")).distinct()
@@ -213,8 +223,11 @@ def _alive(heads: DataFrame, get: Callable[[], tuple]) -> DataFrame:
         bounds = Bounds(matrix)
         for batch in batches:
             if batch.num_rows:
-                b = bounds.of(_matrix(batch.column("centroid")), batch.column("radius").to_numpy())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((b >= floors[:, None]).any(0))], ["run", "cluster", "rows", "alive"])
+                centroids, radii = _matrix(batch.column("centroid")), batch.column("radius").to_numpy()
+                alive = np.zeros(len(radii), bool)
+                for part in bounds.parts(len(radii)):
+                    alive |= (bounds.of(centroids, radii, part) >= floors[part, None]).any(0)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(alive)], ["run", "cluster", "rows", "alive"])
 
     return heads.select("run", "cluster", "rows", "centroid", "radius").mapInArrow(look, "run long, cluster int, rows int, alive boolean")
 
@@ -225,8 +238,8 @@ def _scan_runs(rows: DataFrame, get: Callable[[], tuple], k: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix, floors = get()
-        bounds = Bounds(matrix)
         best = _Best(pa.array(np.arange(len(matrix)), pa.int32()), matrix, k, floors)
+        bounds = Bounds(best.q64)
         run, only = -1, None
         for batch in batches:
             numbers = batch.column("run").to_numpy()

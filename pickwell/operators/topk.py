@@ -44,6 +44,8 @@ SEED_TASKS = 64
 # candidates one task keeps
 MAX_KEPT = 4_000_000
 _SCORE_CELLS = 4_000_000
+# queries whose scores are taken at once; more are taken in turn
+_QUERIES_AT_ONCE = 1 << 16
 
 
 @dataclass
@@ -282,8 +284,8 @@ class _Best:
 
     def __init__(self, qids: pa.Array, qmat: np.ndarray, k: int, floors: np.ndarray):
         self.qids, self.k = qids, k
-        self.q64 = qmat.astype(np.float64)
-        self.q32 = qmat.astype(np.float32)
+        self.q64 = qmat.astype(np.float64, copy=False)
+        self.q32 = qmat.astype(np.float32, copy=False)
         self.qnorm = np.linalg.norm(self.q64, axis=1)
         self.qmax = self.qnorm[np.isfinite(self.qnorm)].max(initial=0.0)
         self.floor = floors.copy()
@@ -302,11 +304,14 @@ class _Best:
             raise ValueError(
                 f"queries have {self.q64.shape[1]} dimensions, items {mat.shape[1]}; were they made by the same encoder?"
             )
-        step = max(1, min(len(mat), _SCORE_CELLS // max(1, len(self.q64))))
-        for start in range(0, len(mat), step):
-            self._add_block(ids.slice(start, step), mat[start : start + step], only)
-
-    def _add_block(self, ids: pa.Array, mat: np.ndarray, only: np.ndarray | None) -> None:
+        asked = len(self.q64) if only is None else len(only)
+        step = max(1, min(len(mat), _SCORE_CELLS // max(1, min(asked, _QUERIES_AT_ONCE))))
+        for first in range(0, asked, _QUERIES_AT_ONCE):
+            part = slice(first, min(asked, first + _QUERIES_AT_ONCE))
+            for start in range(0, len(mat), step):
+                self._add_block(ids.slice(start, step), mat[start : start + step], part if only is None else only[part])
+
+    def _add_block(self, ids: pa.Array, mat: np.ndarray, own: slice | np.ndarray) -> None:
         """Score in single precision, keep what may still matter, rescore that in double.
 
         A float32 product of d terms is off by at most about d * 2^-24 * |q| * |x|.
@@ -321,7 +326,6 @@ class _Best:
             if not len(mat):
                 return
         xnorm = np.linalg.norm(x64, axis=1).max()
-        own = slice(None) if only is None else only
         slack = (mat.shape[1] + 8) * 2.0**-23 * self.qnorm[own] * xnorm + 10.0**-DIGITS
         # beyond this a single-precision sum might overflow
         if self.qmax * xnorm < 1e30:
@@ -337,7 +341,7 @@ class _Best:
                 self.floor[own] = np.maximum(self.floor[own], kth - slack)
                 alive = scores >= (self.floor[own] - slack)[:, None]
         q, i = np.nonzero(alive)
-        q = q if only is None else only[q]
+        q = q + own.start if isinstance(own, slice) else own[q]
         if not len(q):
             return
         exact = np.empty(len(q))

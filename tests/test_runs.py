@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from pickwell.operators import runs, topk
 from pickwell.operators.runs import Bounds, read_runs, top_k_runs, write_runs
 from pickwell.operators.topk import top_k
 from tests.test_topk import brute, got, tables
@@ -60,3 +62,26 @@ def test_text_ids_odd_vectors_and_empty_sides(spark, tmp_path):
     assert top_k_runs(queries.limit(0), path, 2).df.count() == 0
     write_runs(items.limit(0), path := str(tmp_path / "none"))
     assert top_k_runs(queries, path, 2).df.count() == 0
+
+
+def test_many_queries_are_bounded_and_scored_in_turn(monkeypatch):
+    """Neither bounds nor scores of all queries are held at once."""
+    monkeypatch.setattr(runs, "_BOUND_CELLS", 40)
+    monkeypatch.setattr(topk, "_QUERIES_AT_ONCE", 7)
+    rng = np.random.default_rng(14)
+    q, x, c = (rng.normal(size=(n, 5)) for n in (23, 60, 9))
+    bounds = Bounds(q)
+    parts = list(bounds.parts(9))
+    sizes = [bounds.of(c, np.ones(9), p).shape for p in parts]
+    assert max(a * b for a, b in sizes) <= 40
+    assert np.allclose(np.vstack([bounds.of(c, np.ones(9), p) for p in parts]), bounds.of(c, np.ones(9)))
+    seen, whole = [], topk._Best._add_block
+    monkeypatch.setattr(topk._Best, "_add_block", lambda self, ids, mat, own: seen.append(len(self.q64[own])) or whole(self, ids, mat, own))
+    best = topk._Best(pa.array(np.arange(23), pa.int32()), q.astype(np.float32), 4, np.full(23, -np.inf))
+    vectors = pa.array(x.astype(np.float32).tolist(), pa.list_(pa.float32()))
+    best.add(pa.array(np.arange(30)), vectors.slice(0, 30))
+    best.add(pa.array(np.arange(30, 60)), vectors.slice(30), np.flatnonzero(np.arange(23) != 5))
+    (batch,) = best.batches()
+    hits = sorted(zip(*(batch.column(n).to_pylist() for n in ("qid", "item_id"))))
+    want = sorted(h[:2] for h in brute(q, x, list(range(60)), 4))
+    assert max(seen) <= 7 and [h for h in hits if h[0] != 5] == [h for h in want if h[0] != 5]
