@@ -178,110 +178,148 @@ def start_tag(element: Column) -> Column:
 _VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 
-def _tokens(markup: Column) -> Column:
-    """Tags and the text between them, in order, as ``raw, name, step`` (1: start tag, -1: end tag, 0: neither)."""
+# a tag, or "<" that begins none, with the text that follows it
+_PIECE = rf"(?:{_TAG}|<)[^<]*+"
 
-    def token(raw: Column) -> Column:
-        name = F.lower(F.regexp_extract(raw, "^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
-        step = F.when(name.isin("", *_VOID), 0).when(raw.startswith("</"), -1).otherwise(1)
-        return F.struct(raw.alias("raw"), name.alias("name"), step.alias("step"))
-
-    return F.transform(F.regexp_extract_all(markup, F.lit(rf"{_TAG}|[^<]++|<"), F.lit(0)), token)
-
-
-_OPEN = "array<struct<at:int,name:string,wanted:boolean>>"
-_SPANS = "array<struct<start:int,stop:int>>"
+_CLASSES = "array<string>"
+_OPEN = f"array<struct<at:int,name:string,classes:{_CLASSES}>>"
+_SPANS = f"array<struct<start:int,stop:int,classes:{_CLASSES}>>"
 _CHUNK = 128
 
 
-def _elements_of_class(markup: Column, classes: Sequence[str]) -> Column:
-    """Elements carrying one of the classes, as ``start, stop, markup``, in order of their start tags.
+def elements_of_class(markup: Column, classes: Sequence[str]) -> Column:
+    """Elements carrying one of the classes, as ``start, stop, classes, markup``, in order of their start tags.
 
     An element goes on to the end tag that closes it, elements of the same name
     inside it counted; one inside another is an element of its own. Tags are read
-    once, with the open elements on a stack.
+    once; a start tag that its own end tag follows is an element at once, all
+    others go through a stack of the open elements.
     """
     wanted = F.array(*map(F.lit, classes))
+    none = F.array().cast(_CLASSES)
 
-    def carries(token: Column) -> Column:
-        names = F.split(strip(attribute(token["raw"], "class")), r"\s+")
-        return (token["step"] == 1) & contains_any(token["raw"], classes) & F.coalesce(F.arrays_overlap(names, wanted), F.lit(False))
+    def tag(raw: Column, at: Column) -> Column:
+        name = F.lower(F.regexp_extract(raw, "^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+        is_end = raw.startswith("</")
+        carried = F.array_intersect(F.split(strip(attribute(F.regexp_extract(raw, f"^{_TAG}", 0), "class")), r"\s+"), wanted)
+        # most tags name none of the classes: a plain search spares them the expressions
+        found = F.coalesce(F.when(contains_any(raw, classes) & ~is_end & ~name.isin("", *_VOID), carried), none)
+        return F.struct(at.alias("at"), name.alias("name"), F.when(is_end, -1).otherwise(1).alias("step"), found.alias("classes"))
+
+    def sharing_names(tags: Column) -> Column:
+        """The tags that share a name with a wanted element."""
+        names = F.array_distinct(F.transform(F.filter(tags, lambda t: F.size(t["classes"]) > 0), lambda t: t["name"]))
+        return let(names, lambda ns: F.filter(tags, lambda t: F.array_contains(ns, t["name"])))
+
+    def pairs(tags: Column) -> Column:
+        """The tags with ``stop``, the place of an end tag that comes next, and ``paired``, also true for that end tag."""
+
+        def pair(t: Column, i: Column) -> Column:
+            after, before = F.get(tags, i + 1), F.get(tags, i - 1)
+            closed = F.coalesce((after["step"] == -1) & (after["name"] == t["name"]), F.lit(False))
+            closes = F.coalesce((before["step"] == 1) & (before["name"] == t["name"]), F.lit(False))
+            paired = F.when(t["step"] == 1, closed).otherwise(closes)
+            return F.struct(
+                *(t[n].alias(n) for n in ("at", "name", "step", "classes")), after["at"].alias("stop"), paired.alias("paired")
+            )
+
+        return F.transform(tags, pair)
+
+    def span(start: Column, stop: Column, classes: Column) -> Column:
+        return F.struct(start.alias("start"), stop.alias("stop"), classes.alias("classes"))
+
+    def spans(tags: Column, end: Column) -> Column:
+        """Places of the wanted elements: of their start tag, and of their end tag or ``end``."""
+        whole = F.filter(tags, lambda t: t["paired"] & (F.size(t["classes"]) > 0))
+        simple = F.transform(whole, lambda t: span(t["at"], t["stop"], t["classes"]))
+        return F.array_sort(F.concat(simple, let(F.filter(tags, lambda t: ~t["paired"]), lambda rest: fold(rest, end))))
+
+    def step(state: Column, tag: Column) -> Column:
+        is_open, closed = state["open"], state["closed"]
+
+        def close(place: Column) -> Column:
+            # the element opened last of all of that name; an end tag without one is passed over
+            def ends(e: Column) -> Column:
+                others = F.concat(F.slice(is_open, 1, place - 1), F.slice(is_open, place + 1, F.size(is_open) - place))
+                one = F.array(span(e["at"], tag["at"], e["classes"]))
+                kept = F.when(F.size(e["classes"]) > 0, F.concat(closed, one)).otherwise(closed)
+                return F.struct(others.alias("open"), kept.alias("closed"))
+
+            return F.when(place > 0, let(F.get(is_open, place - 1), ends)).otherwise(state)
+
+        one = F.array(F.struct(*(tag[n].alias(n) for n in ("at", "name", "classes"))))
+        opened = F.struct(F.concat(is_open, one).alias("open"), closed.alias("closed"))
+        backwards = F.array_position(F.reverse(F.transform(is_open, lambda o: o["name"])), tag["name"]).cast("int")
+        place = F.when(backwards > 0, F.size(is_open) + 1 - backwards).otherwise(0)
+        return F.when(tag["step"] == 1, opened).otherwise(let(place, close))
+
+    def fold(tags: Column, end: Column) -> Column:
+        def finish(state: Column) -> Column:
+            unclosed = F.filter(state["open"], lambda o: F.size(o["classes"]) > 0)
+            return F.concat(F.flatten(state["closed"]), F.transform(unclosed, lambda o: span(o["at"], end, o["classes"])))
 
-    def spans(tokens: Column) -> Column:
-        """Places of the wanted elements, by one fold over the tags that share a name with them."""
-        tags = F.transform(
-            tokens,
-            lambda t, i: F.struct(i.alias("at"), t["name"].alias("name"), t["step"].alias("step"), carries(t).alias("wanted")),
-        )
-        names = let(tags, lambda ts: F.array_distinct(F.transform(F.filter(ts, lambda t: t["wanted"]), lambda t: t["name"])))
-        def step(state: Column, tag: Column) -> Column:
-            is_open, closed = state["open"], state["closed"]
-
-            def close(place: Column) -> Column:
-                # the element opened last of all of that name; an end tag without one is passed over
-                def ends(e: Column) -> Column:
-                    others = F.concat(F.slice(is_open, 1, place - 1), F.slice(is_open, place + 1, F.size(is_open) - place))
-                    span = F.struct(e["at"].alias("start"), (tag["at"] + 1).alias("stop"))
-                    kept = F.when(e["wanted"], F.concat(closed, F.array(span))).otherwise(closed)
-                    return F.struct(others.alias("open"), kept.alias("closed"))
-
-                return F.when(place > 0, let(F.get(is_open, place - 1), ends)).otherwise(state)
-
-            one = F.array(F.struct(*(tag[n].alias(n) for n in ("at", "name", "wanted"))))
-            opened = F.struct(F.concat(is_open, one).alias("open"), closed.alias("closed"))
-            backwards = F.array_position(F.reverse(F.transform(is_open, lambda o: o["name"])), tag["name"]).cast("int")
-            place = F.when(backwards > 0, F.size(is_open) + 1 - backwards).otherwise(0)
-            return F.when(tag["step"] == 1, opened).otherwise(let(place, close))
+        # a state is copied at each step, so what is closed is handed on a chunk at a time
+        last = F.floor((F.size(tags) - 1) / _CHUNK).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda c: F.slice(tags, c * _CHUNK + 1, _CHUNK))
 
-        def finish(state: Column) -> Column:
-            unclosed = F.filter(state["open"], lambda o: o["wanted"])
-            rest = F.transform(unclosed, lambda o: F.struct(o["at"].alias("start"), F.size(tokens).alias("stop")))
-            return F.array_sort(F.concat(F.flatten(state["closed"]), rest))
+        def further(state: Column, chunk: Column) -> Column:
+            entry = F.struct(state["open"].alias("open"), F.array().cast(_SPANS).alias("closed"))
+            return let(
+                F.aggregate(chunk, entry, step),
+                lambda done: F.struct(done["open"].alias("open"), F.concat(state["closed"], F.array(done["closed"])).alias("closed")),
+            )
 
-        def fold(tags: Column) -> Column:
-            # a state is copied at each step, so what is closed is handed on a chunk at a time
-            last = F.floor((F.size(tags) - 1) / _CHUNK).cast("int")
-            chunks = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda c: F.slice(tags, c * _CHUNK + 1, _CHUNK))
+        begin = F.struct(F.array().cast(_OPEN).alias("open"), F.array().cast(f"array<{_SPANS}>").alias("closed"))
+        return F.when(F.size(tags) > 0, F.aggregate(chunks, begin, further, finish)).otherwise(F.array().cast(_SPANS))
 
-            def further(state: Column, chunk: Column) -> Column:
-                entry = F.struct(state["open"].alias("open"), F.array().cast(_SPANS).alias("closed"))
-                return let(
-                    F.aggregate(chunk, entry, step),
-                    lambda done: F.struct(done["open"].alias("open"), F.concat(state["closed"], F.array(done["closed"])).alias("closed")),
-                )
+    def every(pieces: Column) -> Column:
+        def element(s: Column) -> Column:
+            inside = F.array_join(F.slice(pieces, s["start"] + 1, s["stop"] - s["start"]), "")
+            # the end tag belongs to the element, the text after it does not
+            end = F.regexp_extract(F.coalesce(F.get(pieces, s["stop"]), F.lit("")), f"^{_TAG}", 0)
+            return F.struct(*(s[n].alias(n) for n in ("start", "stop", "classes")), F.concat(inside, end).alias("markup"))
 
-            begin = F.struct(F.array().cast(_OPEN).alias("open"), F.array().cast(f"array<{_SPANS}>").alias("closed"))
-            return F.aggregate(chunks, begin, further, finish)
+        found = let(F.transform(pieces, tag), sharing_names)
+        return F.transform(let(found, lambda tags: let(pairs(tags), lambda ts: spans(ts, F.size(pieces)))), element)
 
-        return let(names, lambda ns: let(F.filter(tags, lambda t: (t["step"] != 0) & F.array_contains(ns, t["name"])), fold))
+    # most pages name none of the classes: a plain search spares them all of it
+    empty = F.array().cast(f"array<struct<start:int,stop:int,classes:{_CLASSES},markup:string>>")
+    return F.when(contains_any(markup, classes), let(F.regexp_extract_all(markup, F.lit(_PIECE), F.lit(0)), every)).otherwise(empty)
 
-    def every(tokens: Column) -> Column:
-        def element(span: Column) -> Column:
-            raw = F.transform(F.slice(tokens, span["start"] + 1, span["stop"] - span["start"]), lambda t: t["raw"])
-            return F.struct(span["start"].alias("start"), span["stop"].alias("stop"), F.array_join(raw, "").alias("markup"))
 
-        return F.transform(spans(tokens), element)
+def _of_class(elements: Column, classes: Sequence[str]) -> Column:
+    wanted = F.array(*map(F.lit, classes))
+    return F.filter(elements, lambda e: F.arrays_overlap(e["classes"], wanted))
+
 
-    # most pages name none of the classes: a plain search spares them the expression
-    none = F.array().cast("array<struct<start:int,stop:int,markup:string>>")
-    return F.when(contains_any(markup, classes), let(_tokens(markup), every)).otherwise(none)
+def element_texts(elements: Column, classes: Sequence[str]) -> Column:
+    """Non-empty texts of those of the elements that carry one of the classes, in order."""
+    return F.filter(F.transform(_of_class(elements, classes), lambda e: text_of(e["markup"], "")), lambda t: t != "")
 
 
 def class_texts(markup: Column, classes: Sequence[str]) -> Column:
     """Non-empty texts of the elements carrying one of the classes, in order."""
-    found = _elements_of_class(markup, classes)
-    return F.filter(F.transform(found, lambda e: text_of(e["markup"], "")), lambda t: t != "")
+    return element_texts(elements_of_class(markup, classes), classes)
 
 
-def breadcrumb(markup: Column, cls: str = "breadcrumb", joiner: str = " > ") -> Column:
-    """Anchor texts inside the elements of class ``breadcrumb``, or NULL. An anchor counts once, however deep it lies."""
+# Fixed value: the class of a breadcrumb.
+BREADCRUMB = "breadcrumb"
+
+
+def element_breadcrumb(elements: Column, cls: str = BREADCRUMB, joiner: str = " > ") -> Column:
+    """Anchor texts inside those of the elements that carry the class, or NULL. An anchor counts once, however deep it lies."""
     begin = F.struct(F.lit(0).alias("stop"), F.array().cast("array<string>").alias("kept"))
 
     def outermost(state: Column, e: Column) -> Column:
         further = F.struct(e["stop"].alias("stop"), F.concat(state["kept"], F.array(e["markup"])).alias("kept"))
         return F.when(e["start"] >= state["stop"], further).otherwise(state)
 
-    containers = F.aggregate(_elements_of_class(markup, [cls]), begin, outermost, lambda state: state["kept"])
+    containers = F.aggregate(_of_class(elements, [cls]), begin, outermost, lambda state: state["kept"])
     links = F.flatten(F.transform(containers, anchors))
     texts = F.filter(F.transform(links, lambda a: text_of(a, "")), lambda t: t != "")
     return blank_to_null(F.array_join(texts, joiner))
+
+
+def breadcrumb(markup: Column, cls: str = BREADCRUMB, joiner: str = " > ") -> Column:
+    """Anchor texts inside the elements of class ``breadcrumb``, or NULL. An anchor counts once, however deep it lies."""
+    return element_breadcrumb(elements_of_class(markup, [cls]), cls, joiner)

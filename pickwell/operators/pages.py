@@ -78,15 +78,17 @@ def page_fields(
     keep = [c for c in pages.columns if c != "html"]
     description = H.meta_content(metas, "name", "description")
     if variant == "crawl":
+        # one reading of the tags serves the breadcrumb and the tag elements
+        df = df.withColumn("_elements", H.elements_of_class(markup, [H.BREADCRUMB, *tag_classes]))
         fields: dict[str, Column] = {
             "title": F.col("_heading"),
             "description": F.coalesce(description, H.first_paragraph(markup)),
-            "category": H.breadcrumb(markup),
+            "category": H.element_breadcrumb(F.col("_elements")),
             "test_type": X.test_type_personality_first(body),
             "level": X.level_substring(body),
             "duration_min": X.duration_simple(body),
             "language": X.language(body),
-            "tags": F.nullif(F.array_join(H.class_texts(markup, tag_classes), ";"), F.lit("")),
+            "tags": F.nullif(F.array_join(H.element_texts(F.col("_elements"), tag_classes), ";"), F.lit("")),
         }
     elif variant == "augment":
         fields = {

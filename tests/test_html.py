@@ -282,3 +282,28 @@ def test_time_grows_in_proportion_to_the_tags(spark):
     seconds(10)
     small, large = seconds(4000), seconds(16_000)
     assert large < 6 * small + 1
+
+
+def _readings(df) -> int:
+    """How often a plan looks for class attributes."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(r"(?i)^class\s*=")
+
+
+def test_tags_of_a_page_are_read_once_for_breadcrumb_and_tags(spark):
+    pages = spark.createDataFrame([(1, "https://x.com/p", PAGE)], "page_id int, url string, html string")
+    assert _readings(page_fields(pages, "crawl")) == 1
+    assert _readings(page_fields(pages, "augment")) == 0
+
+
+def test_classes_searched_together_give_what_each_gives(spark):
+    rng = random.Random(3)
+    parts = ["<b class=tag>", "</b>", "<i class='badge breadcrumb'>", "</i>", "<div class=breadcrumb>", "</div>", "<a class=tag>", "</a>", "<a>", "<b>", "<br class=tag>", "<", "</b class=tag>", "w "]
+    pages = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 50))) for _ in range(300)] + [None]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string").withColumn("m", H.visible(F.col("html")))
+    both = df.withColumn("e", H.elements_of_class(F.col("m"), ["breadcrumb", "tag", "badge"]))
+    got = both.select(
+        H.element_texts(F.col("e"), ["tag", "badge"]).alias("texts"), H.class_texts(F.col("m"), ["tag", "badge"]).alias("own_texts"),
+        H.element_breadcrumb(F.col("e")).alias("crumb"), H.breadcrumb(F.col("m")).alias("own_crumb"),
+    ).collect()
+    assert sum(bool(r.texts) for r in got) > 100 and sum(bool(r.crumb) for r in got) > 50
+    assert all(r.texts == r.own_texts and r.crumb == r.own_crumb for r in got)
