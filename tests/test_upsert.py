@@ -14,6 +14,7 @@ from pickwell.operators.pages import page_rejects
 from pickwell.plans import catalog as C
 from pickwell.plans import upsert as U
 from pickwell.plans.index import build_index
+from pickwell.session import materialise
 from registry.inputs import PAGES, derived
 from registry.queries import _earlier
 
@@ -157,3 +158,12 @@ print(write_counted(spark.read.parquet("{tmp_path}/pages"), "{tmp_path}/catalog"
     assert rows(spark.read.parquet(f"{tmp_path}/catalog")) == rows(C.build_catalog(pages))
     plans = [e for e in events if e["Event"].endswith("SparkListenerSQLExecutionStart")]
     assert len(plans) == 1
+
+
+def test_changed_pages_have_their_tags_read_once(spark):
+    pages = spark.createDataFrame([(1, "u", "<h1>x</h1><b class=tag>y</b><nav class=breadcrumb><a>z</a></nav>")], "page_id long, url string, html string")
+    parsed = U.parse_pages(pages)
+    assert (parsed.first().tags, parsed.first().category) == ("y", "z")
+    updated = U.update_pages(materialise(U.parse_pages(pages.filter("page_id > 1"))), pages)
+    for df in (parsed, updated):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count(r"(?i)^class\s*=") == 1
