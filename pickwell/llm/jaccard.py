@@ -8,8 +8,8 @@
    of these prefixes are grouped by shingle; each list is reduced to a star, its
    smallest class with every other, so a list of any length stays linear.
 3. Pairs of a star are looked up by T-occurrence search: in a task the sets of
-   the members are inverted lists; a query merges its short lists with a heap
-   that skips, probes the longest lists by binary search (DivideSkip), and keeps
+   the members are inverted lists; a query merges its short lists by counting,
+   probes the longest lists by binary search for what is left (DivideSkip), and keeps
    members that reach the overlap ``ceil(75 (a + b) / 175)``.
 4. Members of a star that are not in its component are compared with the other
    members too, components apart, inside cells of bounded size: first by a bound from
@@ -27,8 +27,6 @@ id never names a component unless all of it are NULL; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +39,7 @@ from pickwell.llm import common as C
 from pickwell.llm.counts import most_frequent
 from pickwell.llm.graph import components
 from pickwell.operators.joins import salted_join
-from pickwell.session import materialise
+from pickwell.session import batch_rows, materialise
 
 WORDS = 5
 PERCENT = 75
@@ -50,6 +48,9 @@ SKETCH = 16  # 64-bit words of a sketch, at least
 TASK_SHINGLES = 1 << 18
 BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 1 << 20
 MU = 0.0085  # weight of a probe against a merge step, as published with DivideSkip
+LONG = 2048  # a shorter list is counted in less time than probed
+SMALL_BLOCK, CHUNK = 32, 1 << 20
+BATCH_ROWS = 2000  # of a batch on its way to Python: whole texts, twice in memory there and on the way
 
 _U = np.uint64
 
@@ -118,19 +119,29 @@ def _batch(names: str, *arrays) -> pa.RecordBatch:
     )
 
 
-_MEMBERS = "kind int, doc_id long, cls long, n long, text_hash long"
+_MEMBERS = "kind int, doc_id long, cls long, n long, text_hash long, bits array<long>"
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: each row with class and set size. Kind 1: shingles that several classes of a block hold, with their number."""
+    """Kind 0: each row with class and set size, and the sketch with the first row of a class in a task.
+
+    Kind 1: shingles that several classes of a block hold, with their number.
+    """
+    sketched: set[int] = set()
     for block in C.blocks(batches):
         sets = Sets(C.column(block, "text"))
-        yield _batch(_MEMBERS, np.zeros(block.num_rows, np.int32), C.column(block, "doc_id"), sets.cls, sets.n, C.column(block, "text_hash"))
+        new = sets.first_of_class(sketched)
+        drawn, length = sketches(sets.values[C.ranges(sets.starts[new], sets.n[new])], sets.n[new]) if new else (np.zeros(0, np.int64), 0)
+        lengths = np.zeros(block.num_rows, np.int64)
+        lengths[new] = length
+        bits = C.lists(drawn, lengths, pa.int64())
+        yield _batch(_MEMBERS, np.zeros(block.num_rows, np.int32), C.column(block, "doc_id"), sets.cls, sets.n, C.column(block, "text_hash"), bits)
         rows = sets.first_of_class(set())
         held = sets.values[C.ranges(sets.starts[rows], sets.n[rows])] if rows else sets.values[:0]
         value, times = np.unique(held, return_counts=True)
         value, times = value[times > 1], times[times > 1]
-        yield _batch(_MEMBERS, np.ones(len(value), np.int32), pa.nulls(len(value), pa.int64()), value, times, pa.nulls(len(value), pa.int64()))
+        none = pa.nulls(len(value), pa.int64())
+        yield _batch(_MEMBERS, np.ones(len(value), np.int32), none, value, times, none, pa.nulls(len(value), pa.list_(pa.int64())))
 
 
 def prefix_length(n: int) -> int:
@@ -192,15 +203,21 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(_STAR, *[np.ascontiguousarray(pairs[:, i]) for i in range(4)])
 
 
-def sketch(values: np.ndarray) -> np.ndarray:
-    """Parity of the shingles at each bit, with a bit per shingle or more (a power of two).
+def sketches(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches of sets that lie one after the other, with their lengths: parity of the shingles at each bit, with a bit per shingle or more (a power of two).
 
     Differing bits never outnumber differing shingles. Xor of its halves is the
     sketch of half the size.
     """
-    bits = max(64 * SKETCH, 1 << (len(values) - 1).bit_length())
-    parity = np.bincount((values & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+    bits = np.array([max(64 * SKETCH, 1 << (x - 1).bit_length()) for x in n.tolist()], np.int64)
+    ends = np.cumsum(bits)
+    place = np.repeat(ends - bits, n) + (values & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
+    parity = np.bincount(place, minlength=int(ends[-1])) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64), bits >> 6
+
+
+def sketch(values: np.ndarray) -> np.ndarray:
+    return sketches(values, np.array([len(values)]))[0]
 
 
 def halved(bits: np.ndarray) -> np.ndarray:
@@ -208,89 +225,78 @@ def halved(bits: np.ndarray) -> np.ndarray:
     return bits[..., :middle] ^ bits[..., middle:]
 
 
-_SKETCH = "cls long, bits array<long>"
 _SET = "cls long, shingles array<long>"
+MARKS = 3  # bits that a wanted row sets
 
 
-def _mark(cls: np.ndarray, doc_id: np.ndarray, bits: int) -> np.ndarray:
-    return (C.mix(cls.astype(np.int64).view(np.uint64) ^ C.mix(doc_id.astype(np.int64).view(np.uint64))) & _U(bits - 1)).astype(np.int64)
+def _marks(doc_id: pa.Array, text_hash: pa.Array, bits: int) -> Iterator[np.ndarray]:
+    """Places of a row, named by its id and the hash of its text, in a bit array; a NULL id counts as the largest."""
+    ids, texts = (pc.fill_null(c.cast(pa.int64()), 2**63 - 1).to_numpy(zero_copy_only=False).view(np.uint64) for c in (doc_id, text_hash))
+    h = C.mix(texts ^ C.mix(ids))
+    for _ in range(MARKS):
+        yield (h & _U(bits - 1)).astype(np.int64)
+        h = C.mix(h + _U(1))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, sketches: bool) -> DataFrame:
-    """Sets, or their sketches, of the wanted classes, each from its smallest document (``cls, doc_id``).
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Sets of the wanted classes, each from the document that stands for it (``cls, doc_id, text_hash``).
 
-    The wanted rows are named by a bit array of bounded size; the few rows it lets
-    through besides do no harm. Sets are long, so they are made again from the
-    texts where they are needed rather than stored for every candidate.
+    The wanted rows are named by a bit array of bounded size that is asked before a text is
+    split; the few rows it lets through besides do no harm. Sets are long, so they are made again
+    from the texts where they are needed rather than stored for every candidate.
     """
     spark = docs.sparkSession
     bits = 1 << min(28, max(16, (16 * wanted.count()).bit_length()))
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = _mark(C.column(batch, "cls").to_numpy(), C.column(batch, "doc_id").to_numpy(), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6, pa.int64()), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64), pa.int64())], ["word", "mask"])
+            for at in _marks(C.column(batch, "doc_id"), C.column(batch, "text_hash"), bits):
+                yield pa.RecordBatch.from_arrays([pa.array(at >> 6, pa.int64()), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64), pa.int64())], ["word", "mask"])
 
     words = wanted.mapInArrow(marks, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     array = np.zeros(bits >> 6, np.int64)
     array[words.column("word").to_numpy()] = words.column("mask").to_numpy()
     held = spark.sparkContext.broadcast(array)
 
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.ones(batch.num_rows, bool)
+            for at in _marks(C.column(batch, "doc_id"), C.column(batch, "text_hash"), bits):
+                found &= (held.value[at >> 6] >> (at & 63)) & 1 == 1
+            if found.any():
+                yield batch.filter(pa.array(found))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in C.blocks(batches):
+        seen: set[int] = set()
+        for block in C.blocks(marked(batches)):
             sets = Sets(C.column(block, "text"))
-            doc_id = pc.fill_null(C.column(block, "doc_id").cast(pa.int64()), -(2**63)).to_numpy()
-            at = _mark(sets.cls.view(np.int64), doc_id, bits)
-            rows = np.flatnonzero(((held.value[at >> 6] >> (at & 63)) & 1 == 1) & (sets.n > 0))
-            if sketches:
-                drawn = [sketch(sets.of(r)) for r in rows.tolist()]
-                made = C.lists(np.concatenate([*drawn, np.zeros(0, np.int64)]), np.array([len(x) for x in drawn], np.int64), pa.int64())
-            else:
-                made = C.lists(sets.values[C.ranges(sets.starts[rows], sets.n[rows])].view(np.int64), sets.n[rows], pa.int64())
-            yield _batch((_SKETCH if sketches else _SET).replace("array<long>", "long"), sets.cls[rows], made)
+            rows = np.array(sets.first_of_class(seen), np.int64)
+            yield _batch(_SET.replace("array<long>", "long"), sets.cls[rows], C.lists(sets.values[C.ranges(sets.starts[rows], sets.n[rows])].view(np.int64), sets.n[rows], pa.int64()))
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SKETCH if sketches else _SET)
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, _SET)
 
 
-def divide_skip(lists: list[list[int]], least: int) -> dict[int, int]:
-    """How often each number occurs in the sorted lists, of those that occur at least ``least`` times."""
+def divide_skip(lists: list, least: int) -> dict[int, int]:
+    """How often each number occurs in the sorted lists of small numbers, of those that occur at least ``least`` times."""
     if len(lists) < least:
         return {}
     lists = sorted(lists, key=len)
     longest = len(lists[-1])
     n_long = min(len(lists) - 1, least - 1, int(least / (MU * np.log2(longest + 1) + 1)))
-    short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    want = least - n_long
-    heap = [(values[0], i, 0) for i, values in enumerate(short) if values]
-    heapq.heapify(heap)
-    found: dict[int, int] = {}
-    while len(heap) >= want:
-        top = heap[0][0]
-        out = []
-        while heap and heap[0][0] == top:
-            out.append(heapq.heappop(heap))
-        if len(out) >= want:
-            times = len(out)
-            for i, values in enumerate(long):
-                at = bisect_left(values, top)
-                times += at < len(values) and values[at] == top
-                if times + len(long) - 1 - i < least:
-                    break
-            if times >= least:
-                found[top] = times
-            goal = top + 1
-        else:
-            # numbers below the (want)th smallest front cannot occur often enough
-            while heap and len(out) < want - 1:
-                out.append(heapq.heappop(heap))
-            if not heap:
-                break
-            goal = max(top + 1, heap[0][0])
-        for _, i, at in out:
-            at = bisect_left(short[i], goal, at)
-            if at < len(short[i]):
-                heapq.heappush(heap, (short[i][at], i, at))
-    return found
+    n_long = min(n_long, sum(len(x) > LONG for x in lists)) if longest > LONG else 0
+    # a number that occurs often enough is in (least - n_long) short lists
+    times = np.bincount(np.concatenate(lists[: len(lists) - n_long], dtype=np.int64, casting="unsafe"))
+    found = np.flatnonzero(times >= least - n_long)
+    times = times[found]
+    for left, values in zip(range(n_long - 1, -1, -1), lists[len(lists) - n_long :], strict=True):
+        if not len(found):
+            break
+        at = np.searchsorted(values, found)
+        at[at == len(values)] = 0
+        times = times + (values[at] == found)
+        likely = times + left >= least
+        found, times = found[likely], times[likely]
+    return dict(zip(found.tolist(), times.tolist(), strict=True))
 
 
 def search_cell(queries: list[tuple[int, np.ndarray]], members: list[tuple[int, np.ndarray]], by_place: bool = False) -> list[tuple[int, int]]:
@@ -304,13 +310,19 @@ def search_cell(queries: list[tuple[int, np.ndarray]], members: list[tuple[int,
     smallest = min(sizes)
     flat = np.concatenate([v for _, v in members])
     owner = np.repeat(np.arange(len(members)), sizes)
+    if len(queries) == 1 and len(members) > 1:
+        # for one query only its own shingles need an inverted list
+        at = np.searchsorted(queries[0][1], flat)
+        at[at == len(queries[0][1])] = 0
+        held = queries[0][1][at] == flat
+        flat, owner = flat[held], owner[held]
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     links = []
     for cls, values in queries:
         a, b = np.searchsorted(flat, values), np.searchsorted(flat, values, "right")
         some = b > a
-        lists = [owner[i:j].tolist() for i, j in zip(a[some].tolist(), b[some].tolist(), strict=True)]
+        lists = [owner[i:j] for i, j in zip(a[some].tolist(), b[some].tolist(), strict=True)]
         least = max(needed(len(values), smallest), -(-PERCENT * len(values) // 100))
         for i, times in divide_skip(lists, least).items():
             if times >= needed(len(values), sizes[i]) and (by_place or members[i][0] != cls):
@@ -348,7 +360,7 @@ def search(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, wanted: DataF
     member = placed.select("cell", F.col("b").alias("cls"), F.lit(False).alias("is_query")).distinct()
     query = placed.select("cell", F.col("a").alias("cls"), F.lit(True).alias("is_query")).distinct()
     left = close.select(F.col("a").alias("cls")).union(close.select("b")).distinct().join(wanted, "cls")
-    rows = member.unionByName(query).join(sets_of(docs, materialise(left), False), "cls")
+    rows = member.unionByName(query).join(sets_of(docs, materialise(left)), "cls")
 
     def run(cell: pa.Table) -> pa.Table:
         cls, is_query = cell.column("cls").to_numpy(), cell.column("is_query").to_numpy()
@@ -435,13 +447,11 @@ class Sketches:
         return rows[self.differing(rows, q) <= both - 2 * (-(-PERCENT * both // (100 + PERCENT)))]
 
 
-def _blocks_of_cell(cell: pa.Table) -> Iterator[pa.Table]:
-    """Each block of a cell, its rows by size."""
+def _blocks_of_cell(cell: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The rows of a cell by block and size, and where the blocks begin, with the end of the last."""
     cell = cell.sort_by([(c, "ascending") for c in ("a", "i", "j", "n", "b")]).combine_chunks()
     block = np.stack([cell.column(c).to_numpy().astype(np.int64) for c in "aij"], 1)
-    cuts = np.append(np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]).any(1)])), len(block))
-    for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        yield cell.slice(start, stop - start)
+    return cell, np.append(np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]).any(1)])), len(block))
 
 
 def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -453,22 +463,54 @@ def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
 _PLACED = "a long, i int, j int, cell long, b long, n long, root long, is_query boolean"
 
 
+def _near_in_small(cuts: np.ndarray, n: np.ndarray, root: np.ndarray, is_query: np.ndarray, column: pa.ChunkedArray) -> np.ndarray:
+    """Which rows of these small blocks have a partner by size and sketch: all pairs of many blocks at once."""
+    found = np.zeros(len(n), bool)
+    size = np.diff(cuts)
+    queries = np.add.reduceat(is_query, cuts[:-1], dtype=np.int64)
+    start, size, mixed = (np.repeat(x, size) for x in (cuts[:-1], size, queries < size))
+    flat = column.combine_chunks()
+    ends, words = flat.offsets.to_numpy(), flat.values.to_numpy().view(np.uint64)
+    length = np.diff(ends)
+    asked = np.flatnonzero(is_query & (size > 1) & (size <= SMALL_BLOCK))
+    for part in np.split(asked, np.flatnonzero(np.diff(np.cumsum(size[asked]) // CHUNK)) + 1):
+        q, r = np.repeat(part, size[part]), C.ranges(start[part], size[part])
+        some = (root[q] != root[r]) & ~(is_query[r] & mixed[r]) & (100 * n[r] >= PERCENT * n[q]) & (PERCENT * n[r] <= 100 * n[q])
+        q, r = q[some], r[some]
+        # the sizes are similar, so a sketch is as long as the other, or twice
+        q, r = np.where(length[q] <= length[r], q, r), np.where(length[q] <= length[r], r, q)
+        both = n[q] + n[r]
+        most = both - 2 * (-(-PERCENT * both // (100 + PERCENT)))
+        for short, long in set(zip(length[q].tolist(), length[r].tolist(), strict=True)):
+            pairs = np.flatnonzero((length[q] == short) & (length[r] == long))
+            for at in np.split(pairs, np.arange(CHUNK // long + 1, len(pairs), CHUNK // long + 1)):
+                theirs = words[ends[r[at]][:, None] + np.arange(long)]
+                while theirs.shape[1] > short:
+                    theirs = halved(theirs)
+                own = words[ends[q[at]][:, None] + np.arange(short)]
+                near = at[np.bitwise_count(theirs ^ own).sum(1, dtype=np.int64) <= most[at]]
+                found[q[near]] = found[r[near]] = True
+    return found
+
+
 def _with_partner(cell: pa.Table) -> pa.Table:
     """The rows of a cell that size and sketch leave a partner in their block, without their sketches."""
     names = [f.split()[0] for f in _PLACED.split(", ")]
-    kept = []
-    for part in _blocks_of_cell(cell):
-        n, root, is_query = (part.column(c).to_numpy() for c in ("n", "root", "is_query"))
-        sketches = Sketches(_lists(part.column("bits")))
-        own = np.flatnonzero(~is_query)
-        own = own if len(own) else np.arange(len(n))
-        found = np.zeros(len(n), bool)
-        for q in np.flatnonzero(is_query):
-            near = sketches.near(own, n, root, q)
+    cell, cuts = _blocks_of_cell(cell)
+    n, root, is_query = (cell.column(c).to_numpy() for c in ("n", "root", "is_query"))
+    found = _near_in_small(cuts, n, root, is_query, cell.column("bits"))
+    for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if stop - start <= SMALL_BLOCK:
+            continue
+        some = slice(start, stop)
+        sketches = Sketches(_lists(cell.column("bits").slice(start, stop - start)))
+        own = np.flatnonzero(~is_query[some])
+        own = own if len(own) else np.arange(stop - start)
+        for q in np.flatnonzero(is_query[some]):
+            near = sketches.near(own, n[some], root[some], q)
             if len(near):
-                found[near] = found[q] = True
-        kept.append(part.select(names).filter(pa.array(found)))
-    return pa.concat_tables(kept)
+                found[start + near] = found[start + q] = True
+    return cell.select(names).filter(pa.array(found))
 
 
 def _forest(cell: pa.Table) -> pa.Table:
@@ -478,7 +520,9 @@ def _forest(cell: pa.Table) -> pa.Table:
     other components by then and that size and sketch leave.
     """
     links: list[tuple[int, int]] = []
-    for part in _blocks_of_cell(cell):
+    cell, cuts = _blocks_of_cell(cell)
+    for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        part = cell.slice(start, stop - start)
         b, n, root, is_query = (part.column(c).to_numpy() for c in ("b", "n", "root", "is_query"))
         root = root.copy()
         sets = [x.view(np.uint64) for x in _lists(part.column("shingles"))]
@@ -507,7 +551,7 @@ def joined(docs: DataFrame, stars: DataFrame, roots: DataFrame, sketches: DataFr
     left = placed.join(bits, "b").groupBy("cell").applyInArrow(_with_partner, _PLACED)
     left = materialise(left)
     own = left.select(F.col("b").alias("cls")).distinct().join(wanted, "cls")
-    sets = sets_of(docs, materialise(own), False).withColumnRenamed("cls", "b")
+    sets = sets_of(docs, materialise(own)).withColumnRenamed("cls", "b")
     return materialise(left.join(sets, "b").groupBy("cell").applyInArrow(_forest, "a long, b long"))
 
 
@@ -516,6 +560,11 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     Besides, ``text_hash`` tells rows of one id apart and ``root`` names the component's class (0: empty set).
     """
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
+        return _similar_documents(docs)
+
+
+def _similar_documents(docs: DataFrame) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     found = materialise(docs.mapInArrow(_members, _MEMBERS))
@@ -529,11 +578,13 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     postings = docs.select("text").mapInArrow(_postings(frequent), _POSTING)
     stars = postings.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_stars, _STAR)
     stars = materialise(stars.distinct())
-    first = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    nodes = stars.select(F.col("a").alias("cls")).union(stars.select("b")).distinct()
-    wanted = nodes.join(first, "cls").select("cls", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"))
-    wanted = materialise(wanted)
-    sketches = materialise(sets_of(docs, wanted, True))
+    # the row that stands for a class: of its smallest id, the smallest text hash
+    stands = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    first = materialise(members.filter("n > 0").groupBy("cls").agg(stands.alias("row")).select("cls", "row.doc_id", "row.text_hash"))
+    nodes = materialise(stars.select(F.col("a").alias("cls")).union(stars.select("b")).distinct())
+    wanted = materialise(nodes.join(first, "cls"))
+    drawn = found.filter("kind = 0 and size(bits) > 0").select("cls", "bits")
+    sketches = materialise(drawn.join(nodes, "cls", "left_semi").groupBy("cls").agg(F.first("bits").alias("bits")))
     links = search(docs, stars, sketches, wanted)
     # first inside blocks of a star, which joins most of a group of any size; few members are left to meet all blocks
     for across in (False, True):
@@ -541,7 +592,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         links = links.unionByName(joined(docs, stars, roots, sketches, wanted, across))
     # every class in a component of several, with the smallest document of that component
     roots = components(links)
-    named = materialise(first.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls")))
+    named = materialise(first.drop("text_hash").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls")))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = salted_join(named, smallest, "root", spread_by="cls").select("cls", "component_id", "root")
     return (
