@@ -60,9 +60,7 @@ class Sets:
 
     def __init__(self, texts: pa.Array):
         rows_n = len(texts)
-        rows, words = C.split_words(pc.fill_null(texts, ""))
-        codes, found = C.distinct(words)
-        h = C.hash_words(found)[codes]
+        rows, h = C.hashed_words(pc.fill_null(texts, ""))
         counts = np.bincount(rows, minlength=rows_n)
         begins = np.cumsum(counts) - counts
         m = max(0, len(h) - WORDS + 1)

@@ -142,3 +142,74 @@ def test_one_of_each_group_stays(spark, docs, doc_rows, no_docs):
     assert jaccard.keep_one(no_docs).count() == 0 and jaccard.jaccard_query(no_docs).count() == 0
     two = spark.createDataFrame([(1, "", "en", "s", 0), (1, "", "en", "s", 0), (1, "a b", "en", "s", 0)], SCHEMA)
     assert sorted(r.text for r in jaccard.keep_one(two).collect()) == ["", "", "a b"]
+
+
+def test_words_are_hashed_from_bytes_as_one_by_one():
+    import numpy as np
+    import pyarrow as pa
+
+    from pickwell.llm import common as C
+
+    rng = random.Random(5)
+    letters = [" ", "\t", "\n", "\x0b", "\r", "\x1c", "\x00", "A", "Z", "b", "é", "日", "\xa0", "İ"]
+    for _ in range(300):
+        texts = pa.array(["".join(rng.choice(letters) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 6))], pa.string())
+        for part in (texts, texts[1:], texts[:0]):
+            rows, words = C.split_words(part)
+            want = C.hash_words(words)
+            for most in (1, 3, 1 << 16):
+                got = C.hashed_words(part, most)
+                assert np.array_equal(got[0], rows) and np.array_equal(got[1], want)
+
+
+def test_partners_in_small_blocks_are_those_of_one_query_after_the_other(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for a in range(60):
+        base = rng.integers(0, 2**63, int(rng.integers(1, 3000))).astype(np.uint64)
+        for b in range(int(rng.integers(1, 9 if a else 60))):
+            values = np.unique(np.concatenate([base[int(rng.integers(0, len(base) // 4 + 1)) :], rng.integers(0, 2**63, len(base) // 12).astype(np.uint64)]))
+            asked = bool(a % 3 == 0 or rng.integers(0, 2))
+            rows.append({"a": a, "i": 0, "j": 0, "cell": 0, "b": 1000 * a + b, "n": len(values), "root": int(rng.integers(0, 4)), "is_query": asked, "bits": jaccard.sketch(values).tolist()})
+    order = rng.permutation(len(rows))
+    cell = pa.Table.from_pylist([rows[i] for i in order])
+    want = set()
+    for a in range(60):
+        block = sorted((r for r in rows if r["a"] == a), key=lambda r: (r["n"], r["b"]))
+        n, root = (np.array([r[c] for r in block]) for c in ("n", "root"))
+        own = np.array([i for i, r in enumerate(block) if not r["is_query"]] or range(len(block)))
+        held = jaccard.Sketches([np.array(r["bits"], np.int64) for r in block])
+        for q, r in enumerate(block):
+            near = held.near(own, n, root, q) if r["is_query"] else own[:0]
+            want |= {block[i]["b"] for i in [*near.tolist(), *([q] if len(near) else [])]}
+    for chunk in (jaccard.CHUNK, 50):
+        monkeypatch.setattr(jaccard, "CHUNK", chunk)
+        got = jaccard._with_partner(cell)
+        assert set(got.column("b").to_pylist()) == want and "bits" not in got.column_names
+    assert 20 < len(want) < len(rows)
+
+
+def test_a_wanted_text_in_many_rows_gives_its_set_once_a_task(spark):
+    """Equal rows without id stand for their class alike; other texts are left out before they are split."""
+    from pyspark.sql import functions as F
+
+    rows = [(None, "one text that very many of the rows hold")] * 200 + [(i, f"text {i} of its own, that is not wanted at all") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("text_hash", F.xxhash64("text"))
+    found = jaccard.sets_of(docs, docs.filter("doc_id is null").limit(1)).collect()
+    assert 1 <= len(found) <= 3 and {len(r.shingles) for r in found} == {5}
+
+
+def test_batches_to_python_are_short_while_documents_are_compared(spark, docs, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", set()
+    before, whole = spark.conf.get(key), jaccard.materialise
+
+    def looking(df):
+        seen.add(int(spark.conf.get(key)))
+        return whole(df)
+
+    monkeypatch.setattr(jaccard, "materialise", looking)
+    jaccard.jaccard_query(docs)
+    assert seen == {min(jaccard.BATCH_ROWS, int(before))} and spark.conf.get(key) == before
